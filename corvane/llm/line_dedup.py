@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import SPACES, ascii_lower, id_column
+from corvane.llm._shared import SPACES, ascii_lower, id_column, materialise
 
 
 def split_lines(text: Column) -> Column:
@@ -33,7 +33,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line whose key is found in two documents or more stays only in the one with the smallest id.
     """
-    keys = line_keys(docs, id_col, text_col, min_chars)
+    keys = materialise(line_keys(docs, id_col, text_col, min_chars))
     repeated = keys.groupBy("__k").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first <> __last").select("__k", "__first")
     drops = keys.join(repeated, "__k").where("__id <> __first").groupBy("__id", "__t").agg(F.collect_set("__pos").alias("__drop"))
     marked = docs.withColumns({"__id": id_column(id_col), "__t": F.xxhash64(text_col)}).join(drops, ["__id", "__t"], "left")
