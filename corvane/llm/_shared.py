@@ -50,8 +50,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000) -> int:
-    return max(1, -(-rows // per_bucket))
+def buckets_for(rows: int) -> int:
+    """About 500 rows a bucket up to 1,024 buckets, so that even a small table spreads; 50,000 rows beyond."""
+    return max(1, -(-rows // 50_000), min(1024, -(-rows // 500)))
 
 
 def ranked(df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[Column], value: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 Rows are shuffled by a seeded hash within each source and ranked there; a row's fractional rank is (rank + 1/2) / rows
 of its source.  Sorted by fractional rank, every stretch of rows holds each source in proportion, so cutting the
 sequence into equal stretches gives shards that match the mixture.  Both rankings work on hash or fraction buckets of
-about 50,000 rows and a table of bucket counts, so no task sorts a whole source, however large; the text is not
+50,000 rows at most on average and a table of bucket counts, so no task sorts a whole source, however large; the text is not
 shuffled for the assignment.
 
 Law: ``rows`` - counts of any two shards differ by one at most, for every table.  Equal texts are not kept together,
