@@ -14,12 +14,17 @@ rows of their own; a null id stays null; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import gc
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,50 +32,100 @@ from corvane.llm._shared import buckets_for, materialise, ranked, small_batches
 
 LENGTH = 2048
 END_ID = 1
-KEPT_PARTS = 400_000
+KEPT_PARTS = 1_000_000
+#: Marks that may follow a word.
+MARKS = '.,;:!?"#$%&)*'
 
 
 class PartEncoder:
-    """Encodes texts part by part; remembers the ids of the parts it has seen, up to a number of parts."""
+    """Encodes texts part by part and remembers parts as a stem and a tail of marks, whose ids are those of both.
+
+    The pre-tokeniser always cuts between a letter and a mark, and lower-cases, so parts that differ in capitals or in
+    the marks after the word share their stem's ids.  A stem of letters that the normaliser leaves as it is goes to
+    the tokenizer's model directly, in its byte alphabet.  What is remembered is bounded and then forgotten.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spare = iter(range(256, 512))  # the alphabet: printable Latin-1 bytes stand for themselves
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {i: chr(i if i in own else next(spare)) for i in range(256)}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), 0
-
-    def _learn(self, parts: list[bytes]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
+        self.parts: dict[str, int] = {}
+        self.pairs = np.zeros((0, 2), np.int64)  # of each part: its stem and its tail
+        self.units: dict[str, int] = {"": 0}
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    @staticmethod
+    def _cut(part: str) -> tuple[str, str]:
+        stem = part.rstrip(MARKS)
+        if not stem or len(stem) == len(part):
+            return part, ""
+        last = stem[-1]
+        if not last.isascii():  # what the normaliser makes of the last letter must end with a letter
+            last = unicodedata.normalize("NFC", last).lower()[-1]
+        return (stem, part[len(stem) :]) if last.isalpha() else (part, "")
+
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        found: list = [None] * len(units)
+        rest = []
+        for i, u in enumerate(units):
+            if u.isalpha() and (u.isascii() or unicodedata.is_normalized("NFC", u)) and u == u.lower():
+                found[i] = [t.id for t in self.model.tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(self.alphabet))]
+            else:
+                rest.append(i)
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = x.ids
+        return found
+
+    def _learn(self, parts: list[str]) -> None:
+        cuts = [self._cut(p) for p in parts]
+        new = list(dict.fromkeys(u for c in cuts for u in c if u not in self.units))
+        found = self._ids(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        n = len(self.known)
-        self.known.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
+        pairs = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cuts)), np.int64, 2 * len(cuts))
+        self.pairs = np.concatenate([self.pairs, pairs.reshape(-1, 2)])
+        self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the position at which each text's ids end."""
-        parts = [(t or b"").split() for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = [p for x in parts for p in x]
-        if len(self.known) > KEPT_PARTS:
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's string is told by its case
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.parts) > KEPT_PARTS:
             self._clear()
-        if new := list(dict.fromkeys(p for p in flat if p not in self.known)):
-            self._learn(new)
-        known = self.known
-        at = np.fromiter((known[p] for p in flat), np.int64, len(flat))
-        sizes = self.starts[at + 1] - self.starts[at]
+        gc.disable()  # many small objects that all stay
+        try:
+            if new := [p for p in distinct if p not in self.parts]:
+                self._learn(new)
+        finally:
+            gc.enable()
+        at = np.fromiter(map(self.parts.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        units = self.pairs[at].ravel()
+        starts = self.starts[units]
+        sizes = self.starts[units + 1] - starts
         ends = np.cumsum(sizes)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
-        return self.ids[where], np.concatenate([[0], ends])[np.cumsum(counts)]
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+        offsets = split.offsets.to_numpy()
+        return self.ids[where], np.concatenate([[0], ends])[2 * (offsets[1:] - offsets[0])]
+
+
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> PartEncoder:
+    """One encoder a Python worker, which serves task after task."""
+    return PartEncoder(path)
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -85,9 +140,9 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(vocab_path)
-        for batch in small_batches(batches, 1, 2 << 20):
-            ids, ends = encoder.encode(batch.column(1).to_pylist())
+        encoder = encoder_for(vocab_path)
+        for batch in small_batches(batches, 1):
+            ids, ends = encoder.encode(batch.column(1).cast(pa.string()))
             rows: list[tuple[int, int, int, int, int]] = []
             held, at = [], 0
             for i, to in enumerate(ends.tolist()):
