@@ -32,7 +32,7 @@ from corvane.llm._shared import buckets_for, materialise, ranked, small_batches
 
 LENGTH = 2048
 END_ID = 1
-KEPT_PARTS = 1_000_000
+KEPT_PARTS = 800_000
 #: Marks that may follow a word.
 MARKS = '.,;:!?"#$%&)*'
 
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocab_path)
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, 4 << 20):
             ids, ends = encoder.encode(batch.column(1).cast(pa.string()))
             rows: list[tuple[int, int, int, int, int]] = []
             held, at = [], 0
