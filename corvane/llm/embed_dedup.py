@@ -75,15 +75,19 @@ class Subspaces:
         """Linked pairs of left x right whose first block within its share is b; upper: left is right, count once."""
         norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
         part = y[:, self.edges[b] : (self.edges[b + 1] if b + 1 < len(self.edges) else None)].astype(np.float32)
-        square = (part * part).sum(1)
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            far = square[rows][:, None] + square[right][None, :] - 2 * (part[rows] @ part[right].T)
-            i, j = np.nonzero(far <= self.share[b] + 1e-5)
+        square = (part * part).sum(1, keepdims=True)
+        one = np.ones_like(square)
+        # a row of `from_` times one of `to` is the squared distance of the two, in one product
+        from_, to = np.concatenate([-2 * part, square, one], axis=1)[left], np.concatenate([part, one, square], axis=1)[right]
+        tiles = [(m, n) for m in range(0, len(left), 256) for n in range(0, len(right), 4096) if not upper or n + 4096 > m]
+        for m, n in tiles:
+            near = from_[m : m + 256] @ to[n : n + 4096].T <= np.float32(self.share[b] + 1e-5)
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
             if upper:
-                i, j = i[j > i + at], j[j > i + at]
+                later = j + n > i + m
+                i, j = i[later], j[later]
             for s in range(0, len(i), 1 << 15):
-                p, q = rows[i[s : s + (1 << 15)]], right[j[s : s + (1 << 15)]]
+                p, q = left[m + i[s : s + (1 << 15)]], right[n + j[s : s + (1 << 15)]]
                 near = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= self.cosine
                 p, q = p[near], q[near]
                 apart = y[p] - y[q]
