@@ -32,7 +32,7 @@ from corvane.llm._shared import buckets_for, materialise, ranked, small_batches
 
 LENGTH = 2048
 END_ID = 1
-KEPT_PARTS = 800_000
+KEPT_PARTS = 400_000
 #: Marks that may follow a word.
 MARKS = '.,;:!?"#$%&)*'
 
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocab_path)
-        for batch in small_batches(batches, 1, 4 << 20):
+        for batch in small_batches(batches, 1, 3 << 20):
             ids, ends = encoder.encode(batch.column(1).cast(pa.string()))
             rows: list[tuple[int, int, int, int, int]] = []
             held, at = [], 0
@@ -159,6 +159,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
             if with_ids:
                 columns.append(pa.array(held, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], [c.type for c in columns], strict=True))))
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, schema)
 
