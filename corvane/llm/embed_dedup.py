@@ -78,10 +78,18 @@ class Subspaces:
         square = (part * part).sum(1, keepdims=True)
         one = np.ones_like(square)
         # a row of `from_` times one of `to` is the squared distance of the two, in one product
+        # in the order of the next coordinate, a tile meets only the stretch within reach of it
+        along = y[:, min(self.edges[b] + self.grid[b], self.edges[b] + part.shape[1] - 1)]
+        left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
+        reach = np.sqrt(self.share[b]) + 1e-9
         from_, to = np.concatenate([-2 * part, square, one], axis=1)[left], np.concatenate([part, one, square], axis=1)[right]
-        tiles = [(m, n) for m in range(0, len(left), 256) for n in range(0, len(right), 4096) if not upper or n + 4096 > m]
-        for m, n in tiles:
-            near = from_[m : m + 256] @ to[n : n + 4096].T <= np.float32(self.share[b] + 1e-5)
+        tiles = []
+        for m in range(0, len(left), 256):
+            begin = np.searchsorted(along[right], along[left[m]] - reach)
+            end = np.searchsorted(along[right], along[left[min(m + 255, len(left) - 1)]] + reach, side="right")
+            tiles += [(m, n, min(n + 4096, int(end))) for n in range(max(int(begin), m if upper else 0), int(end), 4096)]
+        for m, n, end in tiles:
+            near = from_[m : m + 256] @ to[n:end].T <= np.float32(self.share[b] + 1e-5)
             i, j = np.divmod(np.flatnonzero(near), near.shape[1])
             if upper:
                 later = j + n > i + m
