@@ -13,10 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corvane.operators.dialogue import STATES, step
 
 
-def stream_states(replies: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def stream_states(replies: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """replies(session_id, turn, aside, level) as they come -> the same rows as dialogue_states, turn by turn.
 
-    State is a stage and a count a session and goes after an idle hour; replies of a batch are taken in turn order.
+    State is a stage and a count a session and goes after ``idle_ms`` without replies, if given (such a query runs on and
+    can't be one that stops when its input ends); replies of a batch are taken in turn order.
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,10 +30,11 @@ def stream_states(replies: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             stage, rounds, kind = step(stage, rounds, bool(row.aside) if row.aside is not None else False, row.level)
             out.append((key[0], row.turn, stage, rounds, kind))
         state.update((stage, rounds))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
 
-    return replies.groupBy("session_id").applyInPandasWithState(fold, STATES, "stage string, rounds int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return replies.groupBy("session_id").applyInPandasWithState(fold, STATES, "stage string, rounds int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def write_turn_log(turns: DataFrame, path: str, checkpoint: str, time_col: str = "time") -> StreamingQuery:
