@@ -48,12 +48,14 @@ class Subspaces:
         self.grid = [min(int(w), max(1, ceil(log2(max(1, rows) / 32_768)))) for w in width]
         self.step = 2 * np.sqrt(self.share) + 1e-9
 
-    def rotated(self, x: np.ndarray) -> np.ndarray:
-        """Unit vectors turned; summed one coordinate after another, so a vector's result depends on it alone."""
+    def rotated(self, x: np.ndarray, b: int | None = None) -> np.ndarray:
+        """Unit vectors turned (block b of them); summed one coordinate after another, so a vector's result depends on
+        it alone."""
+        turn = self.turn if b is None else self.turn[:, self.edges[b] : self.edges[b] + BLOCK]
         unit = x / np.sqrt(np.cumsum(x * x, axis=1)[:, -1:])
-        out = np.zeros_like(unit)
+        out = np.zeros((len(x), turn.shape[1]))
         for k in range(unit.shape[1]):
-            out += unit[:, k : k + 1] * self.turn[k]
+            out += unit[:, k : k + 1] * turn[k]
         return out
 
     def cells(self, y: np.ndarray, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -71,15 +73,15 @@ class Subspaces:
                 fits = np.all([np.ones(len(y), bool) if m == 0 else below[:, j] if m < 0 else above[:, j] for j, m in enumerate(move)], axis=0)
                 yield np.flatnonzero(fits), key[fits] + by, False
 
-    def links(self, b: int, x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, b: int, x: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Linked pairs of left x right whose first block within its share is b; upper: left is right, count once."""
         norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
-        part = y[:, self.edges[b] : (self.edges[b + 1] if b + 1 < len(self.edges) else None)].astype(np.float32)
+        part = block.astype(np.float32)
         square = (part * part).sum(1, keepdims=True)
         one = np.ones_like(square)
         # a row of `from_` times one of `to` is the squared distance of the two, in one product
         # in the order of the next coordinate, a tile meets only the stretch within reach of it
-        along = y[:, min(self.edges[b] + self.grid[b], self.edges[b] + part.shape[1] - 1)]
+        along = block[:, min(self.grid[b], block.shape[1] - 1)]
         left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
         reach = np.sqrt(self.share[b]) + 1e-9
         from_, to = np.concatenate([-2 * part, square, one], axis=1)[left], np.concatenate([part, one, square], axis=1)[right]
@@ -98,7 +100,9 @@ class Subspaces:
                 p, q = left[m + i[s : s + (1 << 15)]], right[n + j[s : s + (1 << 15)]]
                 near = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= self.cosine
                 p, q = p[near], q[near]
-                apart = y[p] - y[q]
+                rows, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+                y = self.rotated(x[rows])
+                apart = y[at[: len(p)]] - y[at[len(p) :]]
                 within = np.add.reduceat(apart * apart, self.edges, axis=1) <= self.share if len(p) else np.zeros((0, len(self.edges)), bool)
                 first = np.argmax(within, axis=1) == b
                 yield p[first & within[:, b]], q[first & within[:, b]]
@@ -133,7 +137,7 @@ def vector_links(classes: DataFrame, spaces: Subspaces, dim: int, kind: str) ->
         b, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
         node, copies, home, c = (table.column(k).to_numpy() for k in ("node", "copies", "home", "c"))
         x = matrix(table.column("v"), dim)
-        y = spaces.rotated(x)
+        y = spaces.rotated(x, b)
         at = lambda own, chunk: np.flatnonzero((home == own) & (c == chunk))
         work = [(at(True, i), at(True, i), True), (at(True, i), at(False, i), False)] if i == j else [(at(True, i), at(True, j), False), (at(True, i), at(False, j), False), (at(True, j), at(False, i), False)]
         count, root = np.zeros(len(x), np.int64), np.arange(len(x))
