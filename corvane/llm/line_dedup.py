@@ -2,7 +2,8 @@
 
 A line's key is the line stripped of white space at both ends with A-Z lower-cased.  The hash has 128 bits.  Only
 hashes, ids and positions are shuffled to find repeats; min and max of the id per hash tell whether two documents
-share a line, so a very common line is combined before the shuffle and its documents are never gathered.
+share a line, so a very common line is combined before the shuffle and its documents are never gathered.  The table
+of repeated lines is written before the join, so both sides are plain shuffles and Spark can split a common line's rows.
 
 Defined cases: a null or empty text is one empty line (and comes back as an empty text); a null id ranks after all
 others; rows that repeat an id are one document (a line that only they share is not repeated); other columns of the
@@ -34,7 +35,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line whose key is found in two documents or more stays only in the one with the smallest id.
     """
     keys = materialise(line_keys(docs, id_col, text_col, min_chars))
-    repeated = keys.groupBy("__k").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first <> __last").select("__k", "__first")
+    repeated = materialise(keys.groupBy("__k").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first <> __last").select("__k", "__first"))
     drops = keys.join(repeated, "__k").where("__id <> __first").groupBy("__id", "__t").agg(F.collect_set("__pos").alias("__drop"))
     marked = docs.withColumns({"__id": id_column(id_col), "__t": F.xxhash64(text_col)}).join(drops, ["__id", "__t"], "left")
     lines = split_lines(F.col(text_col))
