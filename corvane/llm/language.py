@@ -81,7 +81,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     languages = sorted(r[0] for r in drawn.groupBy("lang").count().where(F.col("count") >= min(LEAST, max(1, rows // 50))).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1, 4 << 20):
+        for batch in small_batches(batches, 1, 1 << 20):
             own = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in sorted(set(own) & set(languages)):
                 code, letter, _ = trigrams(batch.column(1).filter(pa.array(own == lang)).to_pylist())
@@ -107,7 +107,7 @@ def identify(rows: DataFrame, model: TrigramModel) -> DataFrame:
     levels = ["suffix", "domain", "host"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1, 4 << 20):
+        for batch in small_batches(batches, 1, 1 << 20):
             scores, n = model.scores(batch.column(1).to_pylist())
             alike = scores + np.log([(1 - UND_PRIOR) / max(1, len(names) - 1)] * (len(names) - 1) + [UND_PRIOR])
             soft = np.exp(alike - alike.max(1, keepdims=True))

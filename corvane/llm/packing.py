@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocab_path)
-        for batch in small_batches(batches, 1, 3 << 20):
+        for batch in small_batches(batches, 1, 3 << 19):
             ids, ends = encoder.encode(batch.column(1).cast(pa.string()))
             rows: list[tuple[int, int, int, int, int]] = []
             held, at = [], 0
