@@ -72,20 +72,26 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
     layout: list[str] = []
     paths: dict[tuple[int, str, str], int] = {}
 
+    blank = True
+
     def flush() -> Iterator[tuple[int, str, bool, bool, str]]:
+        nonlocal blank
         text = " ".join("".join(parts).split())
         if text:
             _, path, inside, drop = held[0]
             yield path, " ".join(layout), inside, drop, text
         parts.clear()
         layout.clear()
+        blank = True
 
     held = [stack[0]]
 
     def add(text: str) -> None:
-        if not parts or not "".join(parts).strip():
-            held[0] = stack[-1]
-        parts.append(html.unescape(text) if "&" in text else text)
+        nonlocal blank
+        text = html.unescape(text) if "&" in text else text
+        if blank:  # the block is where its first visible text is
+            held[0], blank = stack[-1], not text.strip()
+        parts.append(text)
 
     at = 0
     while True:

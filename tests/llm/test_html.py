@@ -24,6 +24,7 @@ def test_blocks():
     assert text_of("<p>1 < 2</p><p>cut <a href='") == ["1 < 2", "cut"]
     assert text_of("") == [] and text_of(None) == [] and text_of("<" * 1000) == ["<" * 1000]
     assert len(text_of("<div>" * 20_000 + "deep")) == 1
+    assert text_of("<p>" + "word <b>bold</b> " * 50_000) == [" ".join(["word bold"] * 50_000)]
 
 
 def test_style_tree(spark):
