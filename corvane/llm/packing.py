@@ -20,7 +20,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ class PartEncoder:
 
     The pre-tokeniser always cuts between a letter and a mark, and lower-cases, so parts that differ in capitals or in
     the marks after the word share their stem's ids.  A stem of letters that the normaliser leaves as it is goes to
-    the tokenizer's model directly, in its byte alphabet.  What is remembered is bounded and then forgotten.
+    the tokenizer's model directly, in its byte alphabet.  What is remembered is bounded: beyond KEPT_PARTS parts, those
+    met in the most slices stay (half of the bound at most, no part met once) and the others are forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,6 +62,20 @@ class PartEncoder:
         self.pairs = np.zeros((0, 2), np.int64)  # of each part: its stem and its tail
         self.units: dict[str, int] = {"": 0}
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.met = np.zeros(0, np.int32)  # of each part: slices that had it
+
+    def _forget(self) -> None:
+        least = 2
+        while (stay := self.met >= least).sum() > KEPT_PARTS // 2:
+            least += 1
+        used, pairs = np.unique(np.append(self.pairs[stay].ravel(), 0), return_inverse=True)
+        keep = np.zeros(len(self.units), bool)
+        keep[used] = True
+        sizes = np.diff(self.starts)
+        self.parts = {p: i for i, p in enumerate(compress(self.parts, stay))}
+        self.units = {u: i for i, u in enumerate(compress(self.units, keep))}
+        self.pairs, self.met = pairs[:-1].reshape(-1, 2), np.ones(len(self.parts), np.int32)
+        self.ids, self.starts = self.ids[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])])
 
     @staticmethod
     def _cut(part: str) -> tuple[str, str]:
@@ -94,6 +109,7 @@ class PartEncoder:
         self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
         pairs = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cuts)), np.int64, 2 * len(cuts))
         self.pairs = np.concatenate([self.pairs, pairs.reshape(-1, 2)])
+        self.met = np.concatenate([self.met, np.zeros(len(parts), np.int32)])
         self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +121,16 @@ class PartEncoder:
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.parts) > KEPT_PARTS:
-            self._clear()
+            self._forget()
         gc.disable()  # many small objects that all stay
         try:
             if new := [p for p in distinct if p not in self.parts]:
                 self._learn(new)
         finally:
             gc.enable()
-        at = np.fromiter(map(self.parts.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        units = self.pairs[at].ravel()
+        own = np.fromiter(map(self.parts.__getitem__, distinct), np.int64, len(distinct))
+        self.met[own] += 1
+        units = self.pairs[own[coded.indices.to_numpy()]].ravel()
         starts = self.starts[units]
         sizes = self.starts[units + 1] - starts
         ends = np.cumsum(sizes)
@@ -141,7 +158,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocab_path)
-        for batch in small_batches(batches, 1, 3 << 19):
+        for batch in small_batches(batches, 1, 2 << 20):
             ids, ends = encoder.encode(batch.column(1).cast(pa.string()))
             rows: list[tuple[int, int, int, int, int]] = []
             held, at = [], 0

@@ -302,3 +302,19 @@ def test_digest_of_lines(spark):
 
     row = op3_line_dedup(spark, SF).orderBy("doc_id").first()
     assert row.kept_sha256 == hashlib.sha256(next(t for i, _, _, t in brute_lines(rows_of(spark.read.parquet(f"{SF}/documents.parquet"))) if i == row.doc_id).encode()).hexdigest()
+
+
+def test_packing_forgets_parts(docs, monkeypatch):
+    """Ids stay those of the tokenizer however often parts are forgotten."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT_PARTS", 300)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing.PartEncoder(path), Tokenizer.from_file(path)
+    texts = [r.text for r in docs.select("text").limit(60).collect()] + [t for _, t, *_ in ODD]
+    for at in range(0, len(texts), 5):
+        part = texts[at : at + 5]
+        ids, ends = encoder.encode(pa.array(part, pa.string()))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
