@@ -38,8 +38,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = materialise(keys.groupBy("__k").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first <> __last").select("__k", "__first"))
     drops = keys.join(repeated, "__k").where("__id <> __first").groupBy("__id", "__t").agg(F.collect_set("__pos").alias("__drop"))
     marked = docs.withColumns({"__id": id_column(id_col), "__t": F.xxhash64(text_col)}).join(drops, ["__id", "__t"], "left")
-    lines = split_lines(F.col(text_col))
+    # a column of its own: written into the lambda below, the split would run once for each line
+    marked, lines = marked.withColumn("__lines", split_lines(F.col(text_col))), F.col("__lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
     kept = F.when(F.col("__drop").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     dropped = F.coalesce(F.size("__drop"), F.lit(0))
-    return marked.withColumns({"__n_lines": F.size(lines).cast("long"), "__n_dropped": F.when(F.col("__drop").isNull(), 0).otherwise(dropped).cast("long"), "__kept": kept}).drop("__id", "__t", "__drop")
+    return marked.withColumns({"__n_lines": F.size(lines).cast("long"), "__n_dropped": F.when(F.col("__drop").isNull(), 0).otherwise(dropped).cast("long"), "__kept": kept}).drop("__id", "__t", "__drop", "__lines")
