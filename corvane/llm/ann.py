@@ -5,11 +5,12 @@ graph over the centroids, each linked to its nearest ones, is kept in memory in
 over it finds the centroids near a vector.  A vector goes to the list of its nearest centroid and, near a boundary,
 to further lists whose centroid is within (1 + CLOSURE) of the nearest distance, REPLICAS at most.  A query searches
 the lists whose centroid is within (1 + RATIO) of its nearest one (distance-ratio pruning), and more of them if these
-hold too few candidates.  Lists are searched in chunks of bounded size, so a crowded list is many tasks' work.
+hold too few candidates.  A list's vectors and its queries are both cut into chunks of bounded size, and each pair of
+chunks is searched by itself, so a list that is crowded or much asked is many tasks' work.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 for a query), so
 vectors need not have unit length.  Every vector is indexed; only centroids are fitted on a sample (SAMPLE rows,
-chosen by a hash of the id).  The number of lists is the power of two nearest to sqrt(rows) / 2, 4,096 at most.
+chosen by a hash of id and vector).  The number of lists is the power of two nearest to sqrt(rows) / 2, 4,096 at most.
 
 Defined cases: vectors that take no part (vectors.valid_vectors) are neither queries nor candidates; a null id takes
 no part; rows that repeat an id are one candidate (its best score); an empty table gives no rows.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import NULL_ID
+from corvane.llm._shared import NULL_ID, materialise
 from corvane.llm.vectors import matrix, valid_vectors
 
 SAMPLE = 32_768
@@ -155,7 +156,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     count, most = rows.agg(F.count(F.lit(1)), F.max(square)).first()
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), "vec_id"), F.lit(max(1, count))) < SAMPLE).select("v").toArrow()
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), "vec_id", "v"), F.lit(max(1, count))) < SAMPLE).select("v").toArrow()
     longer = lambda x: np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1, keepdims=True)))], axis=1)
     drawn = matrix(sample.column("v"), dim) if sample.num_rows else matrix(rows.limit(1).select("v").toArrow().column("v"), dim)
     graph = CentroidGraph(bisect(longer(drawn), min(LISTS, 1 << max(0, round(np.log2(max(1.0, np.sqrt(count) / 2)))))))
@@ -171,9 +172,13 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
         return run
 
-    sizes = np.zeros(len(graph.points), np.int64)
-    for own, n in rows.mapInArrow(post(False), "list long, vec_id long").groupBy("list").count().collect():
-        sizes[own] = n
+    def held(rows_of_lists: DataFrame) -> np.ndarray:
+        found = np.zeros(len(graph.points), np.int64)
+        for own, n in rows_of_lists.groupBy("list").count().collect():  # a row a list, 4,096 at most
+            found[own] = n
+        return found
+
+    sizes = held(rows.mapInArrow(post(False), "list long, vec_id long"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,10 +189,12 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
                 yield pa.RecordBatch.from_pydict({"list": pa.array(own), "query_id": batch.column(0).take(pa.array(row)), "q": batch.column(1).take(pa.array(row))})
 
     wanted = valid_queries(asked, id_col, vector_col, dim)
-    parts = {"list": pa.array(np.arange(len(sizes))), "parts": pa.array(np.maximum(1, -(-sizes // CHUNK)))}
-    chunks = spark.createDataFrame(pa.table(parts))  # one row a list, 4,096 at most
-    posted = rows.mapInArrow(post(True), f"list long, vec_id long, v {kind}").join(F.broadcast(chunks), "list").withColumn("c", F.pmod(F.xxhash64("vec_id"), "parts"))
-    probing = wanted.mapInArrow(probe, f"list long, query_id long, q {kind}").join(F.broadcast(chunks), "list").withColumn("c", F.explode(F.expr("sequence(0L, parts - 1)")))
+    probed = materialise(wanted.mapInArrow(probe, f"list long, query_id long, q {kind}"))
+    parts = {"list": np.arange(len(sizes)), "parts": np.maximum(1, -(-sizes // CHUNK)), "askers": np.maximum(1, -(-held(probed) // QUERY_CHUNK))}
+    chunks = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in parts.items()}))  # one row a list, 4,096 at most
+    posted = rows.mapInArrow(post(True), f"list long, vec_id long, v {kind}").join(F.broadcast(chunks), "list")
+    posted = posted.withColumn("c", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("d", F.explode(F.expr("sequence(0L, askers - 1)")))
+    probing = probed.join(F.broadcast(chunks), "list").withColumn("d", F.pmod(F.xxhash64("query_id"), "askers")).withColumn("c", F.explode(F.expr("sequence(0L, parts - 1)")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         pid, p = left.column("vec_id").to_numpy(), matrix(left.column("v"), dim)
@@ -200,7 +207,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         a, b, s = (np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in enumerate((np.int64, np.int64, np.float64)))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
-    found = posted.select("list", "c", "vec_id", "v").groupBy("list", "c").cogroup(probing.select("list", "c", "query_id", "q").groupBy("list", "c")).applyInArrow(search, result)
+    block = ["list", "c", "d"]
+    found = posted.select(*block, "vec_id", "v").groupBy(*block).cogroup(probing.select(*block, "query_id", "q").groupBy(*block)).applyInArrow(search, result)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,8 +21,10 @@ def brute(x, ids, asked, k):
     return out
 
 
-@pytest.mark.parametrize("scale", [False, True])
-def test_recall(spark, scale):
+@pytest.mark.parametrize(("scale", "chunk"), [(False, 16_384), (True, 16_384), (True, 20)])
+def test_recall(spark, monkeypatch, scale, chunk):
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    monkeypatch.setattr(ann, "QUERY_CHUNK", min(chunk, 4096))
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((30, 16))
     x = centres[rng.integers(0, 30, 3000)] + 0.4 * rng.standard_normal((3000, 16))
