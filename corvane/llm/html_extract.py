@@ -17,8 +17,9 @@ The tree is a grouped count over (host, path, text or layout), combined before t
 all pages is spread; the pages themselves are not shuffled unless the table of removed paths is too large to send.
 
 Defined cases: null or empty html gives an empty text; a null or malformed url is host ''; unclosed and stray tags
-are read leniently; a tag cut off by the end of the page is dropped; repeated pages are pages of their own; an empty
-table gives no rows; other columns are ignored.
+are read leniently; a script, style, title or textarea without an end tag reaches to the end of the page, another
+element that is left out whole is then ignored alone; a tag cut off by the end of the page is dropped;
+repeated pages are pages of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ GAMMA, THRESHOLD, PAGES = 0.9, 0.3, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math canvas object select option noframes".split())
+TO_END = frozenset("script style title textarea".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 FENCES = frozenset("ul ol dl table article section div main aside nav header footer form body html".split())
@@ -71,6 +73,7 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
     parts: list[str] = []
     layout: list[str] = []
     paths: dict[tuple[int, str, str], int] = {}
+    unclosed: set[str] = set()
 
     blank = True
 
@@ -126,9 +129,12 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
         if inline:
             layout.append(tag)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                at = end.end() if end else len(page)
+            if tag in TO_END or (tag not in unclosed and not attributes.rstrip().endswith("/")):
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                if end or tag in TO_END:
+                    at = end.end() if end else len(page)
+                else:  # nor is there an end for a later one
+                    unclosed.add(tag)
             continue
         if tag in VOID:
             continue

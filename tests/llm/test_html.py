@@ -20,6 +20,8 @@ def test_blocks():
     assert text_of("<div class='ad-box'>x<p>y</div>z<ul><li>1<li>2</ul>") == ["z", "1", "2"]
     assert text_of("<article><header><h1>H</h1></header><p>x</p><section class='comments'><p>c</p></section></article><header>no</header>") == ["H", "x"]
     assert text_of("a<script>if (a<b) '</p>'</script>b<style>x") == ["ab"]
+    assert text_of("<p>a<svg>b</svg>c<svg/>d<svg><p>e</p>f<svg>g") == ["acd", "e", "fg"]
+    assert text_of("a<select><option>x</select>b<object>c") == ["abc"]
     assert text_of("x<textarea>in</textarea><form>f</form><p>y <span class=ad>advert</span> z") == ["x", "y", "z"]
     assert text_of("<p>1 < 2</p><p>cut <a href='") == ["1 < 2", "cut"]
     assert text_of("") == [] and text_of(None) == [] and text_of("<" * 1000) == ["<" * 1000]
