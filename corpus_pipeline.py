@@ -1,7 +1,7 @@
 """A training-data pipeline over documents, one operator a stage; part of subpackage llm.
 
-Stages: language ID (documents without a known language go), line dedup, SimHash near-dedup (the smallest id of each
-group stays), mixing sources to target weights, packing into power-of-two sequences.
+Stages: language ID (documents without a known language go), line dedup, near-dedup (five-word shingles, Jaccard 0.8
+or more; the smallest id of each group stays), mixing sources to target weights, packing into power-of-two sequences.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, line_dedup, mixing, packing, simhash
+from corvane.llm import jaccard, language, line_dedup, mixing, packing
 from corvane.llm._shared import id_column, materialise
 from corvane.llm.queries import vocabulary
 
@@ -38,9 +38,10 @@ def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
+    """The smallest id of each group of documents linked by Jaccard >= 0.8; op7's SimHash links far fewer of them."""
+    found = jaccard.near_duplicates(docs.select(id_column("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("t")))
     once = _documents(docs).dropDuplicates(["doc_id"])
-    return _keep(once, found.where("id = component"))
+    return _keep(once, found.groupBy("component").agg(F.min("id").alias("id")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

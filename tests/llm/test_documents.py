@@ -318,3 +318,51 @@ def test_packing_forgets_parts(docs, monkeypatch):
         ids, ends = encoder.encode(pa.array(part, pa.string()))
         want = [plain.encode(t or "", add_special_tokens=False).ids for t in part]
         assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def brute_jaccard(source, near=0.8):
+    """The smallest id of each document's group: five-word shingles, every pair that shares a shingle."""
+    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets, holders = {}, defaultdict(set)
+    for i, t in source:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[i] = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+        for g in sets[i] or {None}:
+            holders[g].add(i)
+    pairs = {(a, b) for own in holders.values() for a in own for b in own if a < b}
+    linked = defaultdict(list)
+    for a, b in pairs:
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= near * len(sets[a] | sets[b]):
+            linked[a].append(b)
+            linked[b].append(a)
+    group = {}
+    for i in sorted(sets):
+        stack = [] if i in group else [i]
+        while stack:
+            x = stack.pop()
+            if x not in group:
+                group[x] = i
+                stack += linked[x]
+    return group
+
+
+@pytest.mark.parametrize("cap", [64, 4])
+def test_near_copies_by_jaccard(spark, monkeypatch, cap):
+    """Every pair with Jaccard 0.8 or more is linked, however many SimHash bits differ, in small buckets and in large."""
+    import corpus_pipeline
+    from corvane.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CAP", cap)
+    rng = np.random.default_rng(3)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+    for i in range(40):  # near copies of one text, some near enough to each other
+        words = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 5))):
+            words[at] = f"x{i}"
+        rows.append((10_000 + i, " ".join(words)))
+    rows += [(20_000, ""), (20_001, None), (20_002, " \n"), (20_003, "Two words"), (20_004, "two  WORDS")]
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    group = brute_jaccard(rows)
+    assert len(set(group.values())) < len(rows) - 60
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, table, SF).collect()) == sorted(set(group.values()))
