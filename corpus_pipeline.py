@@ -38,10 +38,15 @@ def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of documents linked by Jaccard >= 0.8; op7's SimHash links far fewer of them."""
-    found = jaccard.near_duplicates(docs.select(id_column("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("t")))
-    once = _documents(docs).dropDuplicates(["doc_id"])
-    return _keep(once, found.groupBy("component").agg(F.min("id").alias("id")))
+    """One row of each group of documents linked by Jaccard >= 0.8, that of the smallest id; op7's SimHash links far fewer.
+
+    A row is known by its id and its contents: rows with a null id, or with one id and different texts, are documents
+    of their own (a null id ranks last; among equal ids the smallest hash stays), and wholly equal rows are one.
+    """
+    rows = _documents(docs).withColumns({"__id": id_column("doc_id"), "__hash": F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])})
+    found = jaccard.near_duplicates(rows.select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("text").cast("binary").alias("t")))
+    first = found.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.hash").alias("__hash"))
+    return rows.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,3 +366,15 @@ def test_near_copies_by_jaccard(spark, monkeypatch, cap):
     group = brute_jaccard(rows)
     assert len(set(group.values())) < len(rows) - 60
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, table, SF).collect()) == sorted(set(group.values()))
+
+
+def test_near_copies_repeated_ids(spark):
+    """Null ids and repeated ids with different texts are rows of their own, and link nothing through their id."""
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(50)) for k in "abcdef"}
+    near = {k: f"{t} more" for k, t in text.items()}
+    rows = [(5, text["a"]), (9, text["b"]), (None, near["a"]), (None, near["b"]), (None, text["c"]), (None, text["d"]), (7, text["e"]), (7, text["f"]), (7, text["f"])]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, table, SF).collect())
+    assert got == Counter([(5, text["a"]), (9, text["b"]), (None, text["c"]), (None, text["d"]), (7, text["e"]), (7, text["f"])])
