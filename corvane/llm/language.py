@@ -1,7 +1,8 @@
 """Language ID by Bayesian evidence fusion.
 
 * Text: naive Bayes over hashed letter trigrams of the whole text, fitted here on a bounded sample of labelled rows
-  (SAMPLE rows, chosen by a hash of the id; a language needs LEAST of them).  Trigrams of one text depend on each
+  (SAMPLE rows in all, chosen by a hash of the id, and about EACH of any language that would have fewer; a language
+  needs LEAST rows in the whole table).  Trigrams of one text depend on each
   other, so n of them weigh as n / (1 + n / EVIDENCE).  A background model, letters drawn independently, stands for
   text in no known language (``und``).
 * Declared language: P(declared | language), from soft counts over all rows, grouped by the declared value.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm._shared import materialise, small_batches
 
-SAMPLE, LEAST = 4000, 20
+SAMPLE, EACH, LEAST = 4000, 150, 20
 CODES = 1 << 16
 EVIDENCE = 200.0
 KAPPA = 20.0
@@ -73,12 +74,13 @@ class TrigramModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> TrigramModel:
-    """Fit on about ``sample`` labelled rows; the driver gets counts, bounded by codes and languages, never texts."""
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = max(1, labelled.count())
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(23), id_col), F.lit(rows)) < sample).select(F.lower(F.col(label_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("t"))
-    drawn = materialise(drawn)
-    languages = sorted(r[0] for r in drawn.groupBy("lang").count().where(F.col("count") >= min(LEAST, max(1, rows // 50))).collect())
+    """Fit on about ``sample`` labelled rows and EACH of every language (or all it has); the driver gets counts, bounded by codes and languages, never texts."""
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.lower(F.col(label_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit(23), id_col).alias("h"))
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    rows = max(1, int(counts.agg(F.sum("n")).first()[0] or 0))
+    enough = counts.where(F.col("n") >= min(LEAST, max(1, rows // 50)))
+    languages = sorted(r[0] for r in enough.select("lang").collect())
+    drawn = materialise(labelled.join(F.broadcast(enough), "lang").where(F.pmod("h", F.lit(rows)) < F.greatest(F.lit(float(sample)), EACH * F.lit(float(rows)) / F.col("n"))).select("lang", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1, 1 << 20):

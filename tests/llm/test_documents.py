@@ -378,3 +378,14 @@ def test_near_copies_repeated_ids(spark):
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, table, SF).collect())
     assert got == Counter([(5, text["a"]), (9, text["b"]), (None, text["c"]), (None, text["d"]), (7, text["e"]), (7, text["f"])])
+
+
+def test_rare_language(spark):
+    """A labelled language with enough rows in the whole table has a model, however small its share is."""
+    texts = {"aa": "the house and the garden of the mother", "zz": "zwischen grosswagen schlaft niemand zurzeit"}
+    rows = [(i, f"{texts['aa']} {i}", "aa") for i in range(9950)] + [(20_000 + i, f"{texts['zz']} {i}", "zz") for i in range(50)] + [(30_000 + i, "few", "qq") for i in range(19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample=400)
+    assert model.languages == ["aa", "zz"]
+    scores, _ = model.scores([t.encode() for t in texts.values()])
+    assert scores.argmax(1).tolist() == [0, 1]
