@@ -50,7 +50,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(docs)).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    """The mix in blocks of one word, so that small sources meet their targets beside large ones."""
+    return mixing.mix(_documents(docs), block=1).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

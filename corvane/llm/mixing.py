@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Each source's documents, in a seeded order, form one stream of words that is cut into blocks of B words, where B
-divides all words into about 65,536 blocks (more with many sources).  Blocks are awarded one by one to the source with
+divides all words into about 65,536 blocks (more with many sources) unless it is given.  With blocks of one word every
+source comes within a word or two of its target; with the default ones, which the SQL of op4 has as well, a source misses
+its target by up to about three blocks, and one whose target is under half a block gets nothing.  Blocks are awarded one by one to the source with
 the highest quotient target / (2 j + 1), j being the blocks it has; a source can have each of its blocks 3 times at
 most.  The sequence of awards is cut into equal runs, one for each shard of the mix, which gives integer quotas per
 shard (the method never takes a block back when the total grows).  A source's quota is so many whole passes over its
@@ -68,13 +70,13 @@ def apportion(targets: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
     return given
 
 
-def allocate(table: pd.DataFrame, weights: tuple[float, ...], shards: int, seed: int) -> pd.DataFrame:
+def allocate(table: pd.DataFrame, weights: tuple[float, ...], shards: int, seed: int, block: int | None = None) -> pd.DataFrame:
     """One row a source (key, size) -> its target, blocks, quota, seeded start and quotas per shard."""
     table = table.sort_values("key", key=lambda s: s.map(lambda x: x.encode())).reset_index(drop=True)
     sizes = table["size"].to_numpy(np.int64)
     weight = np.array([weights[i % len(weights)] for i in range(len(table))], np.float64)
     targets = fill(sizes, weight)
-    block = max(1, -(-int(sizes.sum()) // max(BLOCKS, 256 * len(table))))
+    block = block or max(1, -(-int(sizes.sum()) // max(BLOCKS, 256 * len(table))))
     blocks = -(-sizes // block)
     seats = (int(sizes.sum()) + block // 2) // block
     upto = [apportion(targets, MOST * blocks, seats * k // shards) for k in range(shards + 1)]
@@ -85,12 +87,12 @@ def allocate(table: pd.DataFrame, weights: tuple[float, ...], shards: int, seed:
 ALLOCATION = "key string, size long, source_size long, target double, block long, blocks long, quota long, start long, shard_quotas array<long>"
 
 
-def allocation(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 16, seed: int = 11) -> DataFrame:
+def allocation(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 16, seed: int = 11, block: int | None = None) -> DataFrame:
     """sizes(key, size) of all documents -> one row a source."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if frames := [x for x in parts if len(x)]:
-            yield allocate(pd.concat(frames), weights, shards, seed)
+            yield allocate(pd.concat(frames), weights, shards, seed, block)
 
     return sizes.groupBy("key").agg(F.sum("size").alias("size")).coalesce(1).mapInPandas(run, ALLOCATION)
 
@@ -103,7 +105,7 @@ def block_schedule(allocated: DataFrame) -> DataFrame:
     return copies.select("key", "copy", F.expr("(start + copy) % blocks").alias("block"), shard.alias("shard"))
 
 
-def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), shards: int = 16, seed: int = 11) -> DataFrame:
+def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), shards: int = 16, seed: int = 11, block: int | None = None) -> DataFrame:
     """(id, hash, size, source_size, target, taken, passes, cuts): cuts are word ranges [a, b) taken beyond the passes.
 
     ``hash`` is the text's hash, which tells rows apart that repeat an id.
@@ -113,7 +115,7 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = buckets_for(base.count())
     streamed = base.withColumn("__h", order).withColumn("__bucket", F.expr(f"cast(conv(substr(__h, 1, 8), 16, 10) as long) * {buckets} div 4294967296"))
     placed = ranked(streamed, ["key"], ["__bucket"], [F.col("__h"), F.col("__id"), F.col("hash"), F.col("size")], "size")
-    allocated = materialise(allocation(base.select("key", "size"), weights, shards, seed))
+    allocated = materialise(allocation(base.select("key", "size"), weights, shards, seed, block))
     out = placed.join(allocated.drop("size", "shard_quotas"), "key").withColumns({"__end": F.col("__before") + F.col("size"), "passes": F.expr("if(blocks = 0, 0L, quota div blocks)"), "__run": F.expr("if(blocks = 0, 0L, quota % blocks)")})
     first = F.expr("named_struct('a', greatest(start * block, __before), 'b', least((start + __run) * block, __end))")
     wrapped = F.expr("named_struct('a', __before, 'b', least((start + __run - blocks) * block, __end))")

@@ -389,3 +389,16 @@ def test_rare_language(spark):
     assert model.languages == ["aa", "zz"]
     scores, _ = model.scores([t.encode() for t in texts.values()])
     assert scores.argmax(1).tolist() == [0, 1]
+
+
+def test_mix_small_sources(spark):
+    """Beside a large source, sources of a few words and of one block and a half come to their targets."""
+    import corpus_pipeline
+
+    long = " ".join(["word"] * 2000)
+    rows = [(i, long, "en", "hot", 1) for i in range(700)] + [(1000, "only three words", "en", "a", 1), (1001, "and " * 33, "en", "b", 1), (1002, "null source here", "en", None, 1)]
+    got = Counter()
+    for r in corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, SCHEMA), SF).collect():
+        got[r.source] += len(r.text.split())
+    want = mixing.fill(np.array([3, 33, 1_400_000, 3]), np.array([1.0, 2.0, 3.0, 1.0]))
+    assert all(abs(got[s] - t) <= 1 for s, t in zip(["a", "b", "hot", None], want, strict=True)), (got, want)
