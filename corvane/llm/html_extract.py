@@ -18,7 +18,8 @@ all pages is spread; the pages themselves are not shuffled unless the table of r
 
 Defined cases: null or empty html gives an empty text; a null or malformed url is host ''; unclosed and stray tags
 are read leniently; a script, style, title or textarea without an end tag reaches to the end of the page, another
-element that is left out whole is then ignored alone; a tag cut off by the end of the page is dropped;
+element that is left out whole is then ignored alone; a head without an end tag ends where something else than a
+head's elements starts; a tag cut off by the end of the page is dropped;
 repeated pages are pages of their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -51,6 +52,7 @@ DROP_TAGS = frozenset("nav aside footer form menu dialog button head".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay sidebar sidenav rail menu navbar nav navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies respond newsletter subscribe related share sharing social login signup search skip toolbar".split())
 KEEP_TAGS = frozenset("html body article main".split())
+HEAD_TAGS = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(id|class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -103,6 +105,8 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
         if to > at:
             if stack[-1][3] != held[0][3] and parts:  # an inline advert within a block
                 yield from flush()
+            if stack[-1][0] == "head" and page[at:to].strip():
+                stack.pop()
             add(page[at:to])
         if not m:
             break
@@ -124,6 +128,8 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
                 if inline and stack[i][0] not in INLINE:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD_TAGS:  # its end tag may be omitted
+            stack.pop()
         if tag == "br":
             parts.append(" ")
         if inline:

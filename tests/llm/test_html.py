@@ -55,3 +55,9 @@ def test_tables(spark, sf):
         article = re.search(r"<article>(.*?)(</article>|$)", raw[r.page_id], re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"</?(b|br|a|i)\b[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
         assert r.text == "\n".join(x for x in want if x)
+
+
+def test_head_without_end_tag():
+    assert text_of("<html><head><title>t</title><meta charset=x><body><article><p>x</article><div>y</div>") == ["x", "y"]
+    assert text_of("<head><link rel=a><style>b</style>\n<p>x <b>y</b>") == ["x y"]
+    assert text_of("<head><title>t</title>bare <b>text</b><p>z") == ["bare text", "z"]
