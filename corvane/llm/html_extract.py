@@ -51,6 +51,9 @@ FENCES = frozenset("ul ol dl table article section div main aside nav header foo
 DROP_TAGS = frozenset("nav aside footer form menu dialog button head".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay sidebar sidenav rail menu navbar nav navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies respond newsletter subscribe related share sharing social login signup search skip toolbar".split())
+#: Class names that are boilerplate inside an article too.
+DROP_CLASSES = frozenset("ad ads adv advert adverts advertisement advertising ad-box ad-slot ad-container ad-wrapper sponsor sponsored promo cookie-notice cookie-banner popup modal overlay sidebar navbar nav navigation menu breadcrumb breadcrumbs toolbar comments comment comment-list comments-area disqus respond newsletter newsletter-signup subscribe related related-posts related-articles share sharing share-buttons social social-share social-links login signup".split())
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 KEEP_TAGS = frozenset("html body article main".split())
 HEAD_TAGS = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 
@@ -60,18 +63,31 @@ WORD = re.compile(r"[a-z]+")
 
 
 def _is_boilerplate(tag: str, said: dict[str, str], inside_article: bool) -> bool:
+    """By tag or role."""
+    return tag not in KEEP_TAGS and (tag in DROP_TAGS or (tag == "header" and not inside_article) or said.get("role", "").lower() in DROP_ROLES)
+
+
+def _is_named_boilerplate(tag: str, said: dict[str, str], inside_article: bool) -> bool:
+    """By id or class: outside articles by any word (a section's or heading's id is made from its title), inside by whole class names alone."""
     if tag in KEEP_TAGS:
         return False
-    if tag in DROP_TAGS or (tag == "header" and not inside_article) or said.get("role", "").lower() in DROP_ROLES:
-        return True
-    return any(w in DROP_WORDS for k in ("class", "id") for w in WORD.findall(said.get(k, "").lower()))
+    if inside_article:
+        return any(c in DROP_CLASSES for c in said.get("class", "").lower().split())
+    return any(w in DROP_WORDS for k in (("class",) if tag in TITLED else ("class", "id")) for w in WORD.findall(said.get(k, "").lower()))
 
 
 def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
     """(path, layout, inside article or main, boilerplate by name, text) of each block of a page, in page order."""
+    # a branch outside articles that is boilerplate by id or class alone is so only if no article or main is in it
+    for path, layout, inside, (drop, cells), text in list(_blocks(page)):
+        yield path, layout, inside, drop or any(x[0] for x in cells), text
+
+
+def _blocks(page: str | None) -> Iterator[tuple[int, str, bool, tuple[bool, tuple[list[bool], ...]], str]]:
+    """As blocks(), with boilerplate as a flag by tag or role, and a cell for each open element named so, final at the page's end."""
     page = page or ""
     # of each open element: tag, path, inside article, boilerplate; inline elements have their block's path
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    stack: list[tuple[str, int, bool, tuple]] = [("", 0, False, (False, ()))]
     parts: list[str] = []
     layout: list[str] = []
     paths: dict[tuple[int, str, str], int] = {}
@@ -79,7 +95,7 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
 
     blank = True
 
-    def flush() -> Iterator[tuple[int, str, bool, bool, str]]:
+    def flush() -> Iterator[tuple]:
         nonlocal blank
         text = " ".join("".join(parts).split())
         if text:
@@ -103,7 +119,7 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
         m = TAG.search(page, at)
         to = m.start() if m else len(page)
         if to > at:
-            if stack[-1][3] != held[0][3] and parts:  # an inline advert within a block
+            if stack[-1][3] is not held[0][3] and parts:  # an inline advert within a block
                 yield from flush()
             if stack[-1][0] == "head" and page[at:to].strip():
                 stack.pop()
@@ -121,7 +137,7 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    if inline and stack[i][3] != stack[i - 1][3]:
+                    if inline and stack[i][3] is not stack[i - 1][3]:
                         yield from flush()
                     del stack[i:]
                     break
@@ -159,13 +175,18 @@ def blocks(page: str | None) -> Iterator[tuple[int, str, bool, bool, str]]:
                 break
         _, path, inside, drop = stack[-1]
         said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        drop = drop or _is_boilerplate(tag, said, inside)
+        if tag in ("article", "main") and not inside:
+            for cell in drop[1]:
+                cell[0] = False
+        hard, named = _is_boilerplate(tag, said, inside), _is_named_boilerplate(tag, said, inside)
+        if (hard or named) and not drop[0]:
+            drop = (True, ()) if hard or inside else (False, (*drop[1], [True])) if len(drop[1]) < 8 else drop
         if not inline:
             key = (path, tag, f"{said.get('id', '')}.{said.get('class', '')}")
             if key not in paths:
                 paths[key] = xxhash.xxh64_intdigest(repr(key)) - (1 << 63)
             path = paths[key]
-        elif drop != stack[-1][3]:
+        elif drop is not stack[-1][3]:
             yield from flush()
         stack.append((tag, path, inside or tag in ("article", "main"), drop))
     yield from flush()

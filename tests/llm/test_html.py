@@ -61,3 +61,10 @@ def test_head_without_end_tag():
     assert text_of("<html><head><title>t</title><meta charset=x><body><article><p>x</article><div>y</div>") == ["x", "y"]
     assert text_of("<head><link rel=a><style>b</style>\n<p>x <b>y</b>") == ["x y"]
     assert text_of("<head><title>t</title>bare <b>text</b><p>z") == ["bare text", "z"]
+
+
+def test_names_do_not_drop_main_text():
+    assert text_of("<div class='layout has-sidebar'><h2>T</h2><article><p>x</article><div class=sidebar>s</div></div><div class=related>r</div>") == ["T", "x"]
+    assert text_of("<article><div class='entry-header'>H</div><section id='related-work'>R</section><p id=search>s<p class='share'>no<div class='note reply-box'>n</div></article>") == ["H", "R", "s", "n"]
+    assert text_of("<div id=notice><main>m</main></div><section id='related-work'><h2 id=search>S</h2>w</section>") == ["m", "S", "w"]
+    assert text_of("<nav class=menu><article>x</article></nav><article><div class=comments><article>c</article></div>y</article>") == ["y"]
