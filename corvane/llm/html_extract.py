@@ -8,8 +8,10 @@ belong to their block).  For each path of a host, over the m pages that have it:
 * importance of the branch: (1 - G^l) N + G^l C, with l layouts and G = 0.9.
 
 Texts and layouts that hardly vary from page to page make menus, notices, adverts and footers; a branch below THRESHOLD
-in PAGES pages or more is removed from each page of the host.  Texts inside <article> or <main> are never removed for
-being repeated: copies of an article on one host would otherwise remove each other.  Elements whose tag, role, id or
+in PAGES pages or more is removed from each page of the host.  Pages of a host with the same blocks count once, so copies
+of a page do not make its text a notice; paths of fewer than PAGES such pages are judged with copies counted, but removed
+only beside an <article> or <main>.  Texts inside those are never removed for being repeated, nor is, in a page without
+them, the path with most text.  Elements whose tag, role, id or
 class says that they are a menu, header, footer, sidebar, notice, advert, form, script, style or comment section go on
 every host, so hosts with few pages are cleaned too.
 
@@ -20,7 +22,7 @@ Defined cases: null or empty html gives an empty text; a null or malformed url i
 are read leniently; a script, style, title or textarea without an end tag reaches to the end of the page, another
 element that is left out whole is then ignored alone; a head without an end tag ends where something else than a
 head's elements starts; a tag cut off by the end of the page is dropped;
-repeated pages are pages of their own; an empty table gives no rows; other columns are ignored.
+repeated pages are rows of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -197,49 +199,74 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """pages(host, html) -> (host, path, pages, importance): the merged tree of each host, one row a path."""
+    """pages(host, html) -> (host, path, pages, importance, copies, copied): the merged tree of each host, one row a path; the last two count copies of a page as pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1, 4 << 20):
-            hosts, paths, kinds, features = [], [], [], []
+            hosts, alike, paths, kinds, features = [], [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 layouts: dict[int, set[str]] = {}
                 texts: set[tuple[int, int]] = set()
-                for path, layout, inside, _, text in blocks(page.decode() if page else ""):
+                whole = xxhash.xxh64()
+                for path, layout, inside, drop, text in blocks(page.decode() if page else ""):
+                    if not drop:
+                        whole.update(f"{path} {len(text.encode())} {text}")
                     if not inside:
                         layouts.setdefault(path, set()).add(layout)
                         texts.add((path, xxhash.xxh64_intdigest(text) - (1 << 63)))
                 rows = [(p, 0, xxhash.xxh64_intdigest(repr(sorted(s))) - (1 << 63)) for p, s in layouts.items()] + [(p, 1, t) for p, t in texts]
                 hosts += [host] * len(rows)
+                alike += [whole.intdigest() - (1 << 63)] * len(rows)
                 for out, k in ((paths, 0), (kinds, 1), (features, 2)):
                     out += [r[k] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(features, pa.int64())], ["host", "path", "kind", "feature"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(alike, pa.int64()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(features, pa.int64())], ["host", "page", "path", "kind", "feature"])
 
-    seen = pages.select("host", F.col("html").cast("string").cast("binary").alias("h")).mapInArrow(run, "host string, path long, kind int, feature long")
-    counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    weight = F.col("c") * F.log("c")
-    sums = {f"{n}{k}": F.sum(F.when(F.col("kind") == k, x).otherwise(0.0)) for k in (0, 1) for n, x in (("c", F.col("c")), ("w", weight), ("n", F.lit(1.0)))}
-    tree = counts.groupBy("host", "path").agg(*[v.alias(k) for k, v in sums.items()]).withColumn("base", F.log("c0"))
-    presentation = F.when(F.col("base") > 0, (F.col("base") - F.col("w0") / F.col("c0")) / F.col("base")).otherwise(1.0)
-    content = F.when(F.col("base") > 0, 1 - F.col("w1") / F.col("c1") / F.col("base")).otherwise(1.0)
-    shape = F.pow(F.lit(GAMMA), F.col("n0"))
-    return tree.select("host", "path", F.col("c0").cast("long").alias("pages"), ((1 - shape) * presentation + shape * content).alias("importance"))
+    seen = pages.select("host", F.col("html").cast("string").cast("binary").alias("h")).mapInArrow(run, "host string, page long, path long, kind int, feature long")
+    # c counts each distinct page of a host once, d counts its copies too
+    once = seen.groupBy("host", "page", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    counts = once.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("k").cast("double").alias("d"))
+    sums = {f"{x}{n}{k}": F.sum(F.when(F.col("kind") == k, v).otherwise(0.0)) for k in (0, 1) for x in "cd" for n, v in (("s", F.col(x)), ("w", F.col(x) * F.log(x)))}
+    shapes = F.sum(F.when(F.col("kind") == 0, 1.0).otherwise(0.0))
+    tree = counts.groupBy("host", "path").agg(shapes.alias("l"), *[v.alias(k) for k, v in sums.items()])
+    shape = F.pow(F.lit(GAMMA), F.col("l"))
+
+    def importance(x: str) -> Column:
+        base = F.log(f"{x}s0")
+        presentation = F.when(base > 0, (base - F.col(f"{x}w0") / F.col(f"{x}s0")) / base).otherwise(1.0)
+        content = F.when(base > 0, 1 - F.col(f"{x}w1") / F.col(f"{x}s1") / base).otherwise(1.0)
+        return (1 - shape) * presentation + shape * content
+
+    return tree.select("host", "path", F.col("cs0").cast("long").alias("pages"), importance("c").alias("importance"), F.col("ds0").cast("long").alias("copies"), importance("d").alias("copied"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    low = style_tree(rows).where((F.col("pages") >= PAGES) & (F.col("importance") < THRESHOLD))
-    removed = materialise(low.groupBy("host").agg(F.collect_list("path").alias("paths")))
+    few = F.col("pages") < PAGES
+    low = style_tree(rows).where((~few & (F.col("importance") < THRESHOLD)) | (few & (F.col("copies") >= PAGES) & (F.col("copied") < THRESHOLD)))
+    removed = materialise(low.groupBy("host").agg(F.collect_list(F.struct("path", few.alias("few"))).alias("paths")))
+
+    def main_text(page: str, always: frozenset[int], beside: frozenset[int]) -> str:
+        found = [(path, inside, text) for path, _, inside, drop, text in blocks(page) if not drop]
+        gone = always
+        if any(inside for _, inside, _ in found):
+            gone = always | beside
+        elif gone:
+            sizes: dict[int, int] = {}
+            for path, _, text in found:
+                sizes[path] = sizes.get(path, 0) + len(text)
+            gone = gone - {max(sizes, key=sizes.__getitem__, default=0)}
+        return "\n".join(text for path, inside, text in found if inside or path not in gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2, 4 << 20):
-            out, last, gone = [], None, frozenset()
+            out, last, gone = [], None, (frozenset(), frozenset())
             for page, paths in zip(batch.column(2), batch.column(3), strict=True):
                 if paths != last:
-                    last, gone = paths, frozenset(paths.as_py() or ())
+                    last, listed = paths, paths.as_py() or ()
+                    gone = tuple(frozenset(x["path"] for x in listed if x["few"] == few) for few in (False, True))
                 data = page.as_py()
-                out.append("\n".join(t for path, _, inside, drop, t in blocks(data.decode() if data else "") if not drop and (inside or path not in gone)))
+                out.append(main_text(data.decode() if data else "", *gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()

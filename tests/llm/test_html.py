@@ -68,3 +68,15 @@ def test_names_do_not_drop_main_text():
     assert text_of("<article><div class='entry-header'>H</div><section id='related-work'>R</section><p id=search>s<p class='share'>no<div class='note reply-box'>n</div></article>") == ["H", "R", "s", "n"]
     assert text_of("<div id=notice><main>m</main></div><section id='related-work'><h2 id=search>S</h2>w</section>") == ["m", "S", "w"]
     assert text_of("<nav class=menu><article>x</article></nav><article><div class=comments><article>c</article></div>y</article>") == ["y"]
+
+
+def test_copies_are_one_page(spark):
+    """Copies of a page without <article> neither remove each other nor the same path of other pages of their host."""
+    plain = "<div class=note>One notice on every page</div><div class=body>{}</div>"
+    rows = [(i, "http://copies.org/", plain.format("Own text of the copied page, longer than the notice")) for i in range(5)]
+    rows += [(100 + i, "http://mixed.org/", plain.format("The copied page, in eighty rows")) for i in range(80)]
+    rows += [(200 + i, "http://mixed.org/", plain.format(f"Only page {i}, with words {i * i} of its own")) for i in range(20)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Own text of the copied page" in got[i] for i in range(5))
+    assert all(got[100 + i] == "The copied page, in eighty rows" for i in range(80))
+    assert all(got[200 + i] == f"Only page {i}, with words {i * i} of its own" for i in range(20))
