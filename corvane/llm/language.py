@@ -19,6 +19,9 @@ id are rows of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ CODES = 1 << 16
 EVIDENCE = 200.0
 KAPPA = 20.0
 UND_PRIOR = 0.01
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
 #: Bytes that are not letters are read as a space; bytes of other characters than ASCII count as letters.
 LETTERS = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
@@ -154,9 +158,25 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     from corvane.llm.html_extract import host_of
 
     page = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)\b.*?(</\1\s*>|$)|<!--.*?(-->|$)", " "), r"<[^>]*>?|&[#a-zA-Z0-9]*;?", " ")
+    bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)\b.*?(</\1\s*>|$)|<!--.*?(-->|$)", " "), r"<[^>]*>?", " ")
     host = host_of(F.col(url_col))
-    return pages.select(F.col(id_col).alias("id"), bare.alias("text"), F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", 1).alias("declared"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"), host.alias("host"))
+    found = pages.select(F.col(id_col).cast("long").alias("id"), bare.cast("binary").alias("text"), F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", 1).alias("declared"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"), host.alias("host"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1, 1 << 20):
+            texts = pa.array([decoded(t.decode()) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], batch.schema.names)
+
+    return found.mapInArrow(run, "id long, text string, declared string, suffix string, domain string, host string")
+
+
+def decoded(text: str) -> str:
+    """Text with its character references as the letters they stand for; references to other characters are a space."""
+    return REFERENCE.sub(_letters, text) if "&" in text else text
+
+
+def _letters(found: re.Match) -> str:
+    return "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in html.unescape(found[0]))
 
 
 def document_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", source_col: str = "source") -> DataFrame:

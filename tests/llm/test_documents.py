@@ -402,3 +402,13 @@ def test_mix_small_sources(spark):
         got[r.source] += len(r.text.split())
     want = mixing.fill(np.array([3, 33, 1_400_000, 3]), np.array([1.0, 2.0, 3.0, 1.0]))
     assert all(abs(got[s] - t) <= 1 for s, t in zip(["a", "b", "hot", None], want, strict=True)), (got, want)
+
+
+def test_pages_with_references(spark):
+    """Letters written as character references are letters; a bare & takes none with it."""
+    word = "привет"
+    pages = [(1, "http://a.ru/", "<p>" + "".join(f"&#{ord(c)};" for c in word) + "</p>"), (2, "http://a.fr/", "caf&eacute;&nbsp;AT&T &copy; &#xe9; &amp; x"), (3, None, None)]
+    rows = language.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r.id: " ".join(r.text.split()) for r in rows.collect()} == {1: word, 2: "café AT T é x", 3: ""}
+    model = language.TrigramModel(["fr"], np.ones((1, language.CODES)), np.ones(256))
+    assert {r.id: r.n for r in language.identify(rows, model).collect()} == {1: 12, 2: 11, 3: 0}
