@@ -7,7 +7,7 @@ from corvane.llm.html_extract import blocks, extract
 
 
 def text_of(page):
-    return [t for _, _, _, drop, t in blocks(page) if not drop]
+    return [t for t, drop in blocks(page) if not drop]
 
 
 def page(i, body, extra=""):
@@ -80,3 +80,57 @@ def test_copies_are_one_page(spark):
     assert all("Own text of the copied page" in got[i] for i in range(5))
     assert all(got[100 + i] == "The copied page, in eighty rows" for i in range(80))
     assert all(got[200 + i] == f"Only page {i}, with words {i * i} of its own" for i in range(20))
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_tree_decides_without_names(spark):
+    """Hosts of plain divs, and a menu inside main: no tag, role or name says what is boilerplate."""
+    words = ["ash", "birch", "cedar", "elm", "fir", "gum", "hazel", "ivy"]
+    own = lambda i: f"<h2>On {words[i]} {i}</h2><p>Page {i} tells of {words[i]} wood.</p><p>It ends with {words[-i]} {i}.</p>"
+    plain = [(i, "http://plain.org/", f"<div class=a><ul><li>One</li><li>Two</li></ul></div><div class=b>{own(i)}</div><div class=c><p>All rights</p></div>") for i in range(8)]
+    inside = [(10 + i, "http://main.org/", f"<main><div class=x><p>Start</p><p>Shop</p></div>{own(i)}<div class=y>Read this next</div></main>") for i in range(8)]
+    got = extracted(spark, plain + inside)
+    for i in range(8):
+        want = f"On {words[i]} {i}\nPage {i} tells of {words[i]} wood.\nIt ends with {words[-i]} {i}."
+        assert got[i] == want and got[10 + i] == want
+
+
+def test_branch_importance(spark):
+    """The composed importance against the recursion over one host's tree."""
+    from math import log
+
+    from corvane.llm import html_extract as h
+
+    rows = [(f"<div class=m><p>a</p></div><div class=t><h2>h{i % 4}</h2><p>own {i}</p>{'<p>more</p><ul><li>x</ul>' if i % 3 else ''}</div>",) for i in range(7)]
+    table = spark.createDataFrame(rows, "html string").withColumn("host", F.lit("s"))
+    stats = {r.path: r for r in h.path_counts(table).collect()}
+
+    def value(path):
+        r = stats[path]
+        base, shape = log(r.cs0), h.GAMMA**r.l
+        style = (base - r.cw0 / r.cs0) / base if base else 1.0
+        content = (1 - r.cw1 / r.cs1 / base if base else 1.0) if r.cs1 else 0.0
+        parts = [(r.cs0, content)] * (r.cs1 > 0) + [(x.cs0, value(x.path)) for x in stats.values() if x.up and x.up[-1] == path]
+        return (1 - shape) * style + shape * sum(n * v for n, v in parts) / sum(n for n, _ in parts)
+
+    got = {r.path: r.importance for r in h.style_tree(table).collect()}
+    assert got.keys() == stats.keys() and all(abs(got[p] - value(p)) < 1e-9 for p in got)
+
+
+def test_near_copies_keep_their_title(spark):
+    rows = [(i, "http://near.org/", f"<article><h1>One title</h1><p>Shared part.</p><p>Changed word {i}.</p></article><div class=z>Menu</div>") for i in range(5)]
+    assert extracted(spark, rows) == {i: f"One title\nShared part.\nChanged word {i}." for i in range(5)}
+
+
+def test_names_are_a_prior():
+    assert text_of("<div class='content has-sidebar'><article><p>x</article></div>") == ["x"]
+    assert text_of("<div class='layout-no-sidebar'><main><p>x</main></div>") == ["x"]
+    assert text_of("<article><div class='entry-header'>T</div><div class='related-work'>r</div><div class='skip-lines'>s</div><div class='comment-free'>c</div></article>") == ["T", "r", "s", "c"]
+    assert text_of("<nav><ul><li><a>Home</a></ul><article><h1>T</h1><p>text</article><footer>f</footer>") == ["T", "text"]
+    assert text_of("<nav><ul><li><a>Home</a></ul><div><p>Long text of the page that follows</p><p>and more</p></div>") == ["Long text of the page that follows", "and more"]
+    assert text_of("<main><div class=menu><a>a</a> <a>b</a></div><h1>T</h1><p>text</p></main>") == ["T", "text"]
+    assert text_of("<div class='site-footer'>f</div><div class='banner'>All of the article is in here, oddly</div>x") == ["All of the article is in here, oddly", "x"]
+    assert text_of("<p>post</p><div id=comments><article class=comment>a long comment of a reader</article></div>") == ["post"]
