@@ -1,16 +1,24 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids come from a bounded sample by balanced bisection (every split halves the sample, so leaves are equal).  A
+Centroids come from a bounded sample by balanced bisection (every split halves the sample, so leaves are equal), moved
+by a few rounds of k-means in which a full list costs more.  A
 graph over the centroids, each linked to its nearest ones, is kept in memory in every task; a batched best-first walk
 over it finds the centroids near a vector.  A vector goes to the list of its nearest centroid and, near a boundary,
 to further lists whose centroid is within (1 + CLOSURE) of the nearest distance, REPLICAS at most.  A query searches
-the lists whose centroid is within (1 + RATIO) of its nearest one (distance-ratio pruning), and more of them if these
-hold too few candidates.  A list's vectors and its queries are both cut into chunks of bounded size, and each pair of
+the lists whose centroid is within (1 + ratio) of its nearest one (distance-ratio pruning), and more of them if these
+hold too few candidates.  The ratio is measured, not set: the least at which PROBES rows of the sample find RECALL of
+their nearest in the sample by brute force.  (In a sample neighbours are farther away than in the table, so it errs to
+the high side.)  On clustered vectors few lists are searched; on isotropic ones no index of this kind saves much.
+
+Lists next to each other in the tree make a cell of about CELL vectors, so a query meets each cell once and returns its k
+best of it.  A replica is scored only for queries that do not search its own list.  A cell's vectors and its queries
+are both cut into chunks of bounded size, and each pair of
 chunks is searched by itself, so a list that is crowded or much asked is many tasks' work.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 for a query), so
-vectors need not have unit length.  Every vector is indexed; only centroids are fitted on a sample (SAMPLE rows,
-chosen by a hash of id and vector).  The number of lists is the power of two nearest to sqrt(rows) / 2, 4,096 at most.
+vectors need not have unit length.  Every vector is indexed; only centroids and the ratio are fitted on a sample (SAMPLE
+rows, or 8 a list, chosen by a hash of id and vector).  The number of lists is the power of two nearest to 2 sqrt(rows), so
+lists have some sqrt(rows) / 2 vectors; it ends at LISTS, beyond which (67 million rows) lists grow longer and nothing is dropped.
 
 Defined cases: vectors that take no part (vectors.valid_vectors) are neither queries nor candidates; a null id takes
 no part; rows that repeat an id are one candidate (its best score); an empty table gives no rows.
@@ -28,12 +36,16 @@ from pyspark.sql import functions as F
 from corvane.llm._shared import NULL_ID, materialise
 from corvane.llm.vectors import matrix, valid_vectors
 
-SAMPLE = 32_768
-LISTS = 4096
+SAMPLE, PROBES, RECALL = 32_768, 512, 0.94
+LISTS = 16_384
 DEGREE = 16
-REPLICAS, CLOSURE = 2, 0.04
-RATIO = 0.12
-CHUNK, QUERY_CHUNK = 16_384, 4096
+REPLICAS, CLOSURE = 2, 0.02
+CELL, CHUNK, QUERY_CHUNK = 4096, 16_384, 4096
+ROUNDS, FULL = 6, 0.1
+
+
+def lists_for(rows: int) -> int:
+    return min(LISTS, 1 << max(0, round(np.log2(max(1.0, 2 * np.sqrt(rows))))))
 
 
 def bisect(x: np.ndarray, leaves: int, seed: int = 1) -> np.ndarray:
@@ -59,6 +71,22 @@ def bisect(x: np.ndarray, leaves: int, seed: int = 1) -> np.ndarray:
     return np.stack([g.mean(0) for g in groups])
 
 
+def refined(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The centroids after some rounds of k-means; lists over the mean size cost up to FULL of the mean squared distance more."""
+    c, held, scale = centroids, np.ones(len(centroids)), 0.0
+    for _ in range(ROUNDS):
+        own, near, sums = np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros_like(c)
+        for at in range(0, len(x), 2048):
+            cost = (c * c).sum(1)[None] - 2 * x[at : at + 2048] @ c.T + scale * (held - 1)[None]
+            own[at : at + 2048] = cost.argmin(1)
+        near = ((x - c[own]) ** 2).sum(1)
+        counts = np.bincount(own, minlength=len(c))
+        np.add.at(sums, own, x)
+        c = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
+        held, scale = counts * len(c) / len(x), FULL * float(near.mean())
+    return c
+
+
 class CentroidGraph:
     """Centroids, each linked to its nearest ones both ways and to its neighbour in the order they came."""
 
@@ -67,7 +95,7 @@ class CentroidGraph:
         k = len(c)
         near = np.zeros((k, min(DEGREE, k)), np.int64)
         for at in range(0, k, 512):
-            far = self._far(c[at : at + 512, None], c[None])
+            far = self.all_far(c[at : at + 512])
             near[at : at + 512] = np.argsort(far, axis=1, kind="stable")[:, : near.shape[1]]
         links = [{(i + 1) % k, (i - 1) % k, *row} for i, row in enumerate(near.tolist())]
         for i, row in enumerate(near.tolist()):
@@ -77,6 +105,10 @@ class CentroidGraph:
         self.links = np.array([[*sorted(x), *[i] * (2 * DEGREE + 2 - len(x))] for i, x in enumerate(links)], np.int64)
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(np.int64))
 
+    def all_far(self, x: np.ndarray) -> np.ndarray:
+        x, c = x.astype(np.float32), self.points
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T))
+
     @staticmethod
     def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (a * a).sum(-1) + (b * b).sum(-1) - 2 * (a * b).sum(-1)))
@@ -114,16 +146,43 @@ class CentroidGraph:
         row, k = np.nonzero((near <= near[:, :1] * (1 + CLOSURE)) & np.isfinite(near))
         return row, order[row, k]
 
-    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) to search: within the ratio, and on by distance until the lists hold ``least`` entries."""
-        far = self.walk(x, RATIO, 4)
-        short = np.where(np.isfinite(far) & (far <= far.min(1, keepdims=True) * (1 + RATIO)), sizes[None], 0).sum(1) < least
-        far[short] = self._far(x[short].astype(np.float32)[:, None], self.points[None])
-        order = np.argsort(far, axis=1, kind="stable")
-        near = np.take_along_axis(far, order, 1)
-        held = np.cumsum(sizes[order], axis=1) - sizes[order]
-        row, k = np.nonzero(np.isfinite(near) & ((near <= near[:, :1] * (1 + RATIO)) | (held < least)))
-        return row, order[row, k]
+    def measured_ratio(self, x: np.ndarray, k: int) -> float:
+        """The least ratio at which rows of a sample find RECALL of their k best inner products in it; x has the coordinate added."""
+        asked = np.unique(np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(np.int64))
+        scores = x[asked, :-1] @ x[:, :-1].T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        take = min(k, len(x) - 1)
+        if not take:
+            return 0.0
+        top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+        far = self.all_far(np.concatenate([x[asked, :-1], np.zeros((len(asked), 1))], axis=1))
+        rows, at = np.unique(top.ravel(), return_inverse=True)
+        row, own = self.lists_of(x[rows])
+        lists = np.full((len(rows), REPLICAS), -1)
+        lists[row, np.arange(len(row)) - np.searchsorted(row, row)] = own
+        lists = np.where(lists < 0, lists[:, :1], lists)[at.ravel()].reshape(len(asked), take, REPLICAS)
+        need = far[np.arange(len(asked))[:, None, None], lists].min(2) / np.maximum(far.min(1), 1e-9)[:, None]
+        return max(0.0, float(np.quantile(need, RECALL)) - 1) + 1e-6
+
+    def probes(self, x: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Rows x lists: which to search, within the ratio, and on by distance until the lists hold ``least`` entries."""
+        far = self.walk(x, ratio, 4)
+        within = np.isfinite(far) & (far <= far.min(1, keepdims=True) * (1 + ratio))
+        short = np.flatnonzero((within * sizes[None]).sum(1) < least)
+        if len(short):
+            order = np.argsort(self.all_far(x[short]), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1) - sizes[order]
+            row, at = np.nonzero(held < least)
+            within[short[row], order[row, at]] = True
+        return within
+
+
+def fitted(sample: np.ndarray, rows: int, k: int) -> tuple[CentroidGraph, float]:
+    """The graph and the ratio, from a sample of the vectors with the coordinate added."""
+    sample = sample[np.lexsort(sample.T[::-1])]  # the same in whatever order it came
+    sample = sample[np.random.default_rng(0).permutation(len(sample))]
+    graph = CentroidGraph(refined(sample, bisect(sample, lists_for(rows))))
+    return graph, graph.measured_ratio(sample, k)
 
 
 def best(scores_of: np.ndarray, qid: np.ndarray, pid: np.ndarray, q: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,59 +215,72 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     count, most = rows.agg(F.count(F.lit(1)), F.max(square)).first()
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), "vec_id", "v"), F.lit(max(1, count))) < SAMPLE).select("v").toArrow()
+    lists = lists_for(count)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), "vec_id", "v"), F.lit(max(1, count))) < max(SAMPLE, 8 * lists)).select("v").toArrow()
     longer = lambda x: np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1, keepdims=True)))], axis=1)
     drawn = matrix(sample.column("v"), dim) if sample.num_rows else matrix(rows.limit(1).select("v").toArrow().column("v"), dim)
-    graph = CentroidGraph(bisect(longer(drawn), min(LISTS, 1 << max(0, round(np.log2(max(1.0, np.sqrt(count) / 2)))))))
-
-    def post(payload: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(at, 1024)
-                    row, own = graph.lists_of(longer(matrix(batch.column(1), dim)))
-                    out = {"list": pa.array(own), "vec_id": batch.column(0).take(pa.array(row))}
-                    yield pa.RecordBatch.from_pydict(out | ({"v": batch.column(1).take(pa.array(row))} if payload else {}))
-
-        return run
-
-    def held(rows_of_lists: DataFrame) -> np.ndarray:
-        found = np.zeros(len(graph.points), np.int64)
-        for own, n in rows_of_lists.groupBy("list").count().collect():  # a row a list, 4,096 at most
+    graph, ratio = fitted(longer(drawn), count, k)
+    span = 1 << max(0, int(np.log2(max(1.0, CELL * lists / count))))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                row, held = graph.lists_of(longer(matrix(batch.column(1), dim)))
+                own = held[np.searchsorted(row, row)]  # a row's nearest list comes first
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(held // span), "list": pa.array(held), "own": pa.array(own), "vec_id": batch.column(0).take(pa.array(row)), "v": batch.column(1).take(pa.array(row))})
+
+    postings = materialise(rows.mapInArrow(post, f"cell long, list long, own long, vec_id long, v {kind}"))
+
+    def held(table: DataFrame, by: str, most: int) -> np.ndarray:
+        found = np.zeros(most, np.int64)
+        for own, n in table.groupBy(by).count().collect():  # a row a list, LISTS at most
             found[own] = n
         return found
 
-    sizes = held(rows.mapInArrow(post(False), "list long, vec_id long"))
+    cells = -(-lists // span)
+    sizes = held(postings, "list", lists)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x = matrix(batch.column(1), dim)
-                row, own = graph.probes(np.concatenate([x, np.zeros((len(x), 1))], axis=1), sizes, (k + 1) * REPLICAS)
-                yield pa.RecordBatch.from_pydict({"list": pa.array(own), "query_id": batch.column(0).take(pa.array(row)), "q": batch.column(1).take(pa.array(row))})
+                wanted = graph.probes(np.concatenate([x, np.zeros((len(x), 1))], axis=1), ratio, sizes, (k + 1) * REPLICAS)
+                row, cell = np.nonzero(np.add.reduceat(wanted, np.arange(0, lists, span), axis=1))
+                bits = pa.array([b.tobytes() for b in np.packbits(wanted, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "query_id": batch.column(0).take(pa.array(row)), "q": batch.column(1).take(pa.array(row)), "lists": bits.take(pa.array(row))})
 
     wanted = valid_queries(asked, id_col, vector_col, dim)
-    probed = materialise(wanted.mapInArrow(probe, f"list long, query_id long, q {kind}"))
-    parts = {"list": np.arange(len(sizes)), "parts": np.maximum(1, -(-sizes // CHUNK)), "askers": np.maximum(1, -(-held(probed) // QUERY_CHUNK))}
-    chunks = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in parts.items()}))  # one row a list, 4,096 at most
-    posted = rows.mapInArrow(post(True), f"list long, vec_id long, v {kind}").join(F.broadcast(chunks), "list")
+    probed = materialise(wanted.mapInArrow(probe, f"cell long, query_id long, q {kind}, lists binary"))
+    of_cell = np.add.reduceat(sizes, np.arange(0, lists, span))
+    parts = {"cell": np.arange(cells), "parts": np.maximum(1, -(-of_cell // CHUNK)), "askers": np.maximum(1, -(-held(probed, "cell", cells) // QUERY_CHUNK))}
+    chunks = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in parts.items()}))  # one row a cell, LISTS at most
+    posted = postings.join(F.broadcast(chunks), "cell")
     posted = posted.withColumn("c", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("d", F.explode(F.expr("sequence(0L, askers - 1)")))
-    probing = probed.join(F.broadcast(chunks), "list").withColumn("d", F.pmod(F.xxhash64("query_id"), "askers")).withColumn("c", F.explode(F.expr("sequence(0L, parts - 1)")))
+    probing = probed.join(F.broadcast(chunks), "cell").withColumn("d", F.pmod(F.xxhash64("query_id"), "askers")).withColumn("c", F.explode(F.expr("sequence(0L, parts - 1)")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        pid, p = left.column("vec_id").to_numpy(), matrix(left.column("v"), dim)
+        order = np.lexsort((left.column("own").to_numpy(), left.column("list").to_numpy()))
+        left = left.take(pa.array(order))
+        pid, p, home, own = left.column("vec_id").to_numpy(), matrix(left.column("v"), dim), left.column("list").to_numpy(), left.column("own").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (own[1:] != own[:-1])])) if len(pid) else np.zeros(0, np.int64)
         out = []
-        if len(pid):
-            ids, vectors = right.column("query_id").to_numpy(), right.column("q")
-            for at in range(0, right.num_rows, 256):
-                q = matrix(vectors.slice(at, 256), dim)
-                out.append(best(q @ p.T, ids[at : at + 256], pid, q, p, k))
+        ids, vectors, lists_of = right.column("query_id").to_numpy(), right.column("q"), right.column("lists").combine_chunks()
+        for at in range(0, right.num_rows if len(pid) else 0, 256):
+            q = matrix(vectors.slice(at, 256), dim)
+            searched = np.unpackbits(np.array([np.frombuffer(x.as_py(), np.uint8) for x in lists_of.slice(at, 256)]), axis=1).astype(bool)
+            scores = np.full((len(q), len(p)), -np.inf)
+            for s, e in zip(starts, [*starts[1:], len(p)], strict=True):
+                who = searched[:, home[s]] & ~searched[:, own[s]] if home[s] != own[s] else searched[:, home[s]]
+                if len(who := np.flatnonzero(who)):
+                    scores[who, s:e] = q[who] @ p[s:e].T
+            out.append(best(scores, ids[at : at + 256], pid, q, p, k))
         a, b, s = (np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in enumerate((np.int64, np.int64, np.float64)))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
-    block = ["list", "c", "d"]
-    found = posted.select(*block, "vec_id", "v").groupBy(*block).cogroup(probing.select(*block, "query_id", "q").groupBy(*block)).applyInArrow(search, result)
+    block = ["cell", "c", "d"]
+    found = posted.select(*block, "list", "own", "vec_id", "v").groupBy(*block).cogroup(probing.select(*block, "query_id", "q", "lists").groupBy(*block)).applyInArrow(search, result)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

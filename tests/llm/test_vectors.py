@@ -98,3 +98,50 @@ def test_links(spark, monkeypatch, chunk, rows):
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicate_vectors(table(spark, [None, []])).count() == 2
     assert embed_dedup.near_duplicate_vectors(table(spark, [None]).limit(0)).count() == 0
+
+
+def scanned(x, k, step):
+    """(recall, share of all rows scored a query) of the index over unit vectors, each row scored once a query."""
+    longer = np.concatenate([x, np.sqrt(np.maximum(0, (x * x).sum(1).max() - (x * x).sum(1, keepdims=True)))], axis=1)
+    graph, ratio = ann.fitted(longer, len(x), k)
+    row, own = graph.lists_of(longer)
+    member = np.zeros((len(x), len(graph.points)), np.float32)
+    member[row, own] = 1
+    asked = np.arange(0, len(x), step)
+    zero = np.concatenate([x[asked], np.zeros((len(asked), 1))], axis=1)
+    met = graph.probes(zero, ratio, member.sum(0), (k + 1) * ann.REPLICAS).astype(np.float32) @ member.T > 0
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(met, top, 1).mean(), met.mean()
+
+
+def test_saves_work(spark):
+    """The given vectors are near isotropic, so 0.9 of the nearest lie in over half of the rows; clusters need few lists."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    given = np.array([r[0] for r in rows if r[0] is not None and all(y is not None and np.isfinite(y) for y in r[0]) and any(r[0])])
+    recall, share = scanned(given, 20, 20)
+    assert recall >= 0.9 and share <= 0.75
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 32))[rng.integers(0, 200, 20_000)] + 0.3 * rng.standard_normal((20_000, 32))
+    recall, share = scanned(x / np.linalg.norm(x, axis=1, keepdims=True), 20, 100)
+    assert recall >= 0.9 and share <= 0.2
+
+
+def test_query_recall(spark):
+    """op1 itself on sf0.1 against brute force."""
+    from corvane.llm.queries import op1_ann_posting_lists
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rows = [(i, v) for i, v in rows if v is not None and all(y is not None and np.isfinite(y) for y in v) and any(v)]
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows])
+    want = brute(x, ids, [i for i in ids if i % 20 == 0], 20)
+    got = {}
+    for r in op1_ann_posting_lists(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    assert np.mean([len(got[i] & {j for _, j in want[i]}) / 20 for i in want]) >= 0.9
+
+
+def test_lists_grow_with_the_table():
+    assert [ann.lists_for(n) for n in (0, 1, 2000, 51_282, 10**6, 6 * 10**7)] == [1, 2, 64, 512, 2048, 16_384]
