@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Each source's documents, in a seeded order, form one stream of words that is cut into blocks of B words, where B
-divides all words into about 65,536 blocks (more with many sources) unless it is given.  With blocks of one word every
-source comes within a word or two of its target; with the default ones, which the SQL of op4 has as well, a source misses
-its target by up to about three blocks, and one whose target is under half a block gets nothing.  Blocks are awarded one by one to the source with
+divides all words into about 65,536 blocks (more with many sources), but the smallest source that has words into FINE blocks
+at least (so B is one word beside a source of fewer), unless it is given.  So every source comes within about three
+of its own FINE blocks, or a few words, of its target.
+Blocks are awarded one by one to the source with
 the highest quotient target / (2 j + 1), j being the blocks it has; a source can have each of its blocks 3 times at
 most.  The sequence of awards is cut into equal runs, one for each shard of the mix, which gives integer quotas per
 shard (the method never takes a block back when the total grows).  A source's quota is so many whole passes over its
 blocks and a seeded run of blocks for the rest; as documents are in seeded order already, at most three documents of
 a source are cut at the run's ends.
 
-The allocation sees one row a source and runs in one task on an executor; documents meet it in an ordinary join.
+The allocation sees one row a source and runs in one task on an executor; over SOURCES of them it raises ValueError.
+Documents meet it in an ordinary join.
 
 Defined cases: a null text or one without words has size 0 and nothing is taken of it; a null source is a source and
 comes last in the order of weights; rows that repeat an id are separate rows; an empty table gives no rows; a table
@@ -27,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import buckets_for, id_column, materialise, ranked, source_key, split_words
+from corvane.llm._shared import buckets_for, fresh, id_column, materialise, ranked, source_key, split_words
 
 BLOCKS = 65_536
+FINE = 256
 MOST = 3
+SOURCES = 1_000_000
 
 
 def fill(sizes: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.ndarray:
@@ -76,7 +80,10 @@ def allocate(table: pd.DataFrame, weights: tuple[float, ...], shards: int, seed:
     sizes = table["size"].to_numpy(np.int64)
     weight = np.array([weights[i % len(weights)] for i in range(len(table))], np.float64)
     targets = fill(sizes, weight)
-    block = block or max(1, -(-int(sizes.sum()) // max(BLOCKS, 256 * len(table))))
+    if len(table) > SOURCES:
+        raise ValueError(f"{len(table)} sources; one task allocates {SOURCES} at most")
+    least = int(sizes[sizes > 0].min(initial=sizes.max(initial=0)))
+    block = block or max(1, min(-(-int(sizes.sum()) // max(BLOCKS, 256 * len(table))), least // FINE))
     blocks = -(-sizes // block)
     seats = (int(sizes.sum()) + block // 2) // block
     upto = [apportion(targets, MOST * blocks, seats * k // shards) for k in range(shards + 1)]
@@ -130,19 +137,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **optio
 
     A document that the mix leaves out has no row; a part has the words of its range with the white space between.
     """
-    plan = taken_words(docs, id_col, text_col, **options).where("taken > 0").groupBy("__id", F.col("hash").alias("__hash")).agg(F.max("size").alias("__size"), F.sum("passes").alias("__passes"), F.flatten(F.collect_list("cuts")).alias("__cuts"))
-    once = docs.withColumns({"__id": id_column(id_col), "__hash": F.xxhash64(text_col)}).dropDuplicates(["__id", "__hash"])  # the plan has all its rows
-    keyed = once.join(plan, ["__id", "__hash"])
-    whole = F.expr("transform(if(__passes > 0, sequence(1L, __passes), array()), i -> named_struct('a', 0L, 'b', __size))")
-    part = keyed.withColumn("__part", F.explode(F.concat(whole.cast("array<struct<a:bigint,b:bigint>>"), F.col("__cuts"))))
+    names = dict(zip(("id", "hash", "size", "passes", "cuts", "part"), fresh(docs, "id", "hash", "size", "passes", "cuts", "part"), strict=True))
+    key = [names["id"], names["hash"]]
+    plan = taken_words(docs, id_col, text_col, **options).where("taken > 0").groupBy(F.col("__id").alias(key[0]), F.col("hash").alias(key[1]))
+    plan = plan.agg(F.max("size").alias(names["size"]), F.sum("passes").alias(names["passes"]), F.flatten(F.collect_list("cuts")).alias(names["cuts"]))
+    once = docs.withColumns({key[0]: id_column(id_col), key[1]: F.xxhash64(text_col)}).dropDuplicates(key)  # the plan has all its rows
+    whole = F.expr("transform(if({passes} > 0, sequence(1L, {passes}), array()), i -> named_struct('a', 0L, 'b', {size}))".format(**names))
+    parts = F.concat(whole.cast("array<struct<a:bigint,b:bigint>>"), F.col(names["cuts"]))
+    part = once.join(plan, key).withColumn(names["part"], F.explode(parts))
 
     @F.pandas_udf("string")
     def words_of(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([word_range(t, i, j) for t, i, j in zip(text, a, b, strict=True)])
+        return pd.Series([t if t is None else word_range(t, i, j) for t, i, j in zip(text, a, b, strict=True)])
 
-    full = F.col("__part.b") - F.col("__part.a") >= F.col("__size")
-    cut = part.where(~full).withColumn(text_col, words_of(text_col, "__part.a", "__part.b"))
-    return part.where(full).unionByName(cut).drop("__id", "__hash", "__size", "__passes", "__cuts", "__part")
+    a, b = F.col(f"{names['part']}.a"), F.col(f"{names['part']}.b")
+    full = b - a >= F.col(names["size"])
+    cut = words_of(F.when(~full, F.col(text_col)), a, b)  # Python sees the texts that are cut alone
+    return part.withColumn(text_col, F.when(full, F.col(text_col)).otherwise(cut)).drop(*names.values())
 
 
 def word_range(text: str, a: int, b: int) -> str:
@@ -173,7 +184,8 @@ levels as (
 filled as (select coalesce(min_by(level, i) filter (cap / weight >= level), max_by(level, i)) as level from levels),
 targets as (select key, pos, source_size, least(cap, (select level from filled) * weight) as target from weighted),
 sized as (
-  select *, greatest(1, cast(ceil((select sum(source_size) from sources) / greatest(65536, 256 * (select count(*) from sources))) as bigint)) as block from targets),
+  select *, greatest(1, least(cast(ceil((select sum(source_size) from sources) / greatest(65536, 256 * (select count(*) from sources))) as bigint),
+    (select min(source_size) from sources where source_size > 0) // 256)) as block from targets),
 blocked as (select *, cast(ceil(source_size / block) as bigint) as blocks from sized),
 seats as (select cast(((select sum(source_size) from sources) + max(block) // 2) // max(block) as bigint) as seats from blocked),
 quotients as (select key, pos, target / (2 * j + 1) as quotient from (select key, pos, target, unnest(range(3 * blocks)) as j from blocked)),
