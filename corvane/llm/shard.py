@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import buckets_for, id_column, ranked, source_key
+from corvane.llm._shared import buckets_for, fresh, id_column, materialise, ranked, source_key
 
 LAW = "rows"
 
@@ -32,8 +32,9 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8")
     rows = docs.select(
         id_column(id_col).alias("__id"), F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), source_key(source_col).alias("__key"), F.xxhash64(F.lit(seed), id_col).alias("__h"),
-    ).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+        F.crc32(text).alias("text_crc32"), source_key(source_col).alias("__key"),
+    ).withColumn("__h", F.xxhash64(F.lit(seed), "id", "text_crc32", "size")).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+    rows = materialise(rows)  # the text is read once
     inside = ranked(rows, ["__key"], ["__bucket"], [F.col("__h"), F.col("__id"), F.col("text_crc32")])
     inside = inside.withColumns({
         "__fraction": (2 * F.col("__rank") + 1) / (2 * F.col("__total")),
@@ -47,8 +48,15 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", **options: str | int) -> None:
-    """Write docs as Parquet, a folder a shard, rows by slot within each file; ids must be distinct."""
-    placed = assign_shards(docs, shards, id_col, **options).select(F.col("id").alias("__id"), "shard", "slot")
-    joined = docs.drop("shard", "slot").join(placed, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", files: int = 1, **options: str | int) -> None:
+    """Write docs as Parquet, a folder a shard of ``files`` files, each a stretch of its slots in order; ids must be distinct.
+
+    The folder's name is the shard; columns of docs that are called shard or slot stay, as _shard and _slot.
+    """
+    number, at, own, part = fresh(docs, "number", "at", "own", "part")
+    placed = assign_shards(docs, shards, id_col, **options)
+    rows = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))  # a row a shard
+    placed = placed.join(F.broadcast(rows), "shard").select(F.col("id").alias(own), F.col("shard").alias(number), F.col("slot").alias(at), F.expr(f"cast(slot * {files} div rows as int)").alias(part))
+    kept = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c.lower() in ("shard", "slot")})
+    joined = kept.join(placed, F.col(id_col).eqNullSafe(F.col(own))).drop(own).withColumnRenamed(number, "shard")
+    joined.repartition(shards * files, "shard", part).sortWithinPartitions("shard", at).drop(at, part).write.partitionBy("shard").parquet(path)
