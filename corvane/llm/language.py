@@ -7,7 +7,9 @@
   text in no known language (``und``).
 * Declared language: P(declared | language), from soft counts over all rows, grouped by the declared value.
 * Address: priors smoothed down a hierarchy - all rows, address suffix, domain, host - each level's counts added to
-  its parent's distribution with weight KAPPA; a row's own text is taken out of its host's counts.
+  its parent's distribution with weight KAPPA.
+
+A row's own text is taken out of all these counts, so it counts once: a host or a declared value met once says nothing.
 
 Counts are sums of text posteriors over all rows, by grouped aggregation that is combined before the shuffle; rows
 meet them in ordinary joins on small rows (no text), whose large partitions Spark can split.
@@ -36,23 +38,37 @@ CODES = 1 << 16
 EVIDENCE = 200.0
 KAPPA = 20.0
 UND_PRIOR = 0.01
+PIECE = 1 << 20
 REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
 #: Bytes that are not letters are read as a space; bytes of other characters than ASCII count as letters.
 LETTERS = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
 
-def trigrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, bytes, text position) of all letter trigrams: three bytes, not all spaces, in one text."""
-    clean = [b" " + (t or b"").decode().lower().encode().translate(LETTERS) + b" " for t in texts]
-    sizes = np.fromiter(map(len, clean), np.int64, len(clean))
-    raw = np.frombuffer(b"".join(clean), np.uint8).astype(np.uint32)
-    whose = np.repeat(np.arange(len(clean), dtype=np.int32), sizes)
-    if len(raw) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+def trigrams(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, bytes, text position) of all letter trigrams: three bytes, not all spaces, in one text; a MB of text at a time."""
+    pieces: list[tuple[int, bytes]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        clean = b" " + (text or b"").decode().lower().encode().translate(LETTERS) + b" "
+        for at in range(0, len(clean) - 2, PIECE):
+            pieces.append((i, clean[at : at + PIECE + 2]))
+            held += len(pieces[-1][1])
+            if held >= PIECE:
+                yield _codes(pieces)
+                pieces, held = [], 0
+    if pieces:
+        yield _codes(pieces)
+
+
+def _codes(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.fromiter((len(x) for _, x in pieces), np.int64, len(pieces))
+    raw = np.frombuffer(b"".join(x for _, x in pieces), np.uint8).astype(np.uint32)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     code = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    fit = (whose[:-2] == whose[2:]) & (raw[1:-1] != 32)
+    fit = (piece[:-2] == piece[2:]) & (raw[1:-1] != 32)
     mixed = (code[fit] * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    return mixed.astype(np.int64), raw[1:-1][fit].astype(np.int64), whose[:-2][fit]
+    whose = np.array([i for i, _ in pieces], np.int32)
+    return mixed.astype(np.int64), raw[1:-1][fit].astype(np.int64), whose[piece[:-2][fit]]
 
 
 class TrigramModel:
@@ -68,12 +84,12 @@ class TrigramModel:
 
     def scores(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Weighted log-likelihoods (texts x languages and und last), and trigrams of each text."""
-        code, letter, whose = trigrams(texts)
-        n = np.bincount(whose, minlength=len(texts)).astype(np.float64)
-        out = np.zeros((len(texts), len(self.languages) + 1))
-        for k, log in enumerate(self.logs):
-            out[:, k] = np.bincount(whose, weights=log[code], minlength=len(texts))
-        out[:, -1] = np.bincount(whose, weights=self.letter[letter] + 2 * self.around, minlength=len(texts))
+        n, out = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages) + 1))
+        for code, letter, whose in trigrams(texts):
+            n += np.bincount(whose, minlength=len(texts))
+            for k, log in enumerate(self.logs):
+                out[:, k] += np.bincount(whose, weights=log[code], minlength=len(texts))
+            out[:, -1] += np.bincount(whose, weights=self.letter[letter] + 2 * self.around, minlength=len(texts))
         return out / np.maximum(n, 1)[:, None] * (n / (1 + n / EVIDENCE))[:, None], n
 
 
@@ -90,8 +106,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         for batch in small_batches(batches, 1, 1 << 20):
             own = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in sorted(set(own) & set(languages)):
-                code, letter, _ = trigrams(batch.column(1).filter(pa.array(own == lang)).to_pylist())
-                counts, letters = np.bincount(code, minlength=CODES), np.bincount(letter, minlength=256)
+                counts, letters = np.zeros(CODES, np.int64), np.zeros(256, np.int64)
+                for code, letter, _ in trigrams(batch.column(1).filter(pa.array(own == lang)).to_pylist()):
+                    counts += np.bincount(code, minlength=CODES)
+                    letters += np.bincount(letter, minlength=256)
                 at, to = np.flatnonzero(counts), np.flatnonzero(letters)
                 keys = np.concatenate([at, CODES + to])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(np.concatenate([counts[at], letters[to]]))], ["lang", "code", "n"])
@@ -128,23 +146,21 @@ def identify(rows: DataFrame, model: TrigramModel) -> DataFrame:
     sums = lambda by, mark: scored.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{mark}n"), *[F.sum(f"p{k}").alias(f"{mark}{k}") for k in each])
     whole = sums([], "a").first()
     count = max(1, whole["an"])
-    overall = [((whole[f"a{k}"] or 0.0) + 1.0) / (count + len(names)) for k in each]
     # priors down the hierarchy: a table of hosts with the counts of their domain and suffix beside them
     host = sums(["suffix", "domain", "host"], "h")
     domain = host.groupBy("suffix", "domain").agg(F.sum("hn").alias("dn"), *[F.sum(f"h{k}").alias(f"d{k}") for k in each])
     suffix = domain.groupBy("suffix").agg(F.sum("dn").alias("xn"), *[F.sum(f"d{k}").alias(f"x{k}") for k in each])
-    prior = host.join(domain, ["suffix", "domain"]).join(suffix, "suffix")
-
-    def smoothed(mark: str, k: int, parent: Column) -> Column:
-        return (F.col(f"{mark}{k}") + KAPPA * parent) / (F.col(f"{mark}n") + KAPPA)
-
-    prior = materialise(prior.select("suffix", "domain", "host", "hn", *[f"h{k}" for k in each], *[smoothed("d", k, smoothed("x", k, F.lit(overall[k]))).alias(f"q{k}") for k in each]))
-    values = sums(["declared"], "c")
-    said = materialise(values.select("declared", *[((F.col(f"c{k}") + 0.5) / ((whole[f"a{k}"] or 0.0) + 50.0)).alias(f"e{k}") for k in each]))
+    prior = materialise(host.join(domain, ["suffix", "domain"]).join(suffix, "suffix"))
+    said = materialise(sums(["declared"], "c"))
     joined = scored.join(prior, ["suffix", "domain", "host"]).join(said, "declared")
     for k in each:
-        own = (F.greatest(F.col(f"h{k}") - F.col(f"p{k}"), F.lit(0.0)) + KAPPA * F.col(f"q{k}")) / (F.col("hn") - 1 + KAPPA)
-        joined = joined.withColumn(f"l{k}", F.col(f"s{k}") + F.log(F.greatest(own, F.lit(1e-12))) + F.log(f"e{k}"))
+        rest = lambda mark, k=k: F.greatest(F.col(f"{mark}{k}") - F.col(f"p{k}"), F.lit(0.0))
+        all_k = F.lit(float(whole[f"a{k}"] or 0.0)) - F.col(f"p{k}")
+        own = (F.greatest(all_k, F.lit(0.0)) + 1.0) / (count - 1 + len(names))
+        for mark in "xdh":
+            own = (rest(mark) + KAPPA * own) / (F.col(f"{mark}n") - 1 + KAPPA)
+        says = (rest("c") + 0.5) / (F.greatest(all_k, F.lit(0.0)) + 50.0)
+        joined = joined.withColumn(f"l{k}", F.col(f"s{k}") + F.log(F.greatest(own, F.lit(1e-12))) + F.log(says))
     top = F.greatest(*[F.col(f"l{k}") for k in each]) if len(names) > 1 else F.col("l0")
     odds = joined.withColumn("top", top)
     total = sum((F.exp(F.col(f"l{k}") - F.col("top")) for k in each), F.lit(0.0))

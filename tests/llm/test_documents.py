@@ -412,3 +412,99 @@ def test_pages_with_references(spark):
     assert {r.id: " ".join(r.text.split()) for r in rows.collect()} == {1: word, 2: "café AT T é x", 3: ""}
     model = language.TrigramModel(["fr"], np.ones((1, language.CODES)), np.ones(256))
     assert {r.id: r.n for r in language.identify(rows, model).collect()} == {1: 12, 2: 11, 3: 0}
+
+
+def test_mix_sources_of_few_words(spark):
+    """op4 itself: sources of 1 to 1,000 words beside one of millions come within a few words of their targets."""
+    long = " ".join(["word"] * 20_000)
+    small = {"a": 1, "b": 7, "c": 90, "d": 400, "e": 1000, None: 3}
+    rows = [(i, long, "en", "hot", 1) for i in range(200)] + [(1000 + i, "w " * n, "en", s, 1) for i, (s, n) in enumerate(small.items())]
+    got = mixing.taken_words(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    took = Counter()
+    for r in got:
+        took["hot" if r.id < 1000 else [*small][r.id - 1000]] += r.taken
+    order = ["a", "b", "c", "d", "e", "hot", None]
+    want = mixing.fill(np.array([4_000_000 if s == "hot" else small[s] for s in order]), np.array([1.0 + i % 3 for i in range(7)]))
+    assert all(abs(took[s] - t) <= 3 for s, t in zip(order, want, strict=True)), (took, want)
+    assert mixing.ORACLE_SQL.count("source_size > 0") == 1
+
+
+def test_mix_sql(spark, docs):
+    """The oracle SQL on the same rows, with a source of one word added."""
+    import duckdb
+
+    rows = [*map(tuple, docs.select("doc_id", "text", "source").collect()), (10**6, "one", "tiny")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = table.toArrow()  # noqa: F841
+    want = sorted(duckdb.sql(mixing.ORACLE_SQL).fetchall())
+    got = sorted((r.id, r["size"], r.source_size, r.target, r.taken) for r in mixing.taken_words(table).collect())
+    assert got == [(i, a, b, pytest.approx(t), n) for i, a, b, t, n in want] and got[-1][-1] == 3
+
+
+def test_empty_shards_and_written_ones(spark, empty, docs, tmp_path):
+    assert shard.assign_shards(empty, 5).count() == 0
+    named = docs.withColumns({"shard": F.lit("own"), "slot": F.lit("too")})
+    shard.write_shards(named, str(tmp_path / "s"), 3, files=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    want = {r.id: r.shard for r in shard.assign_shards(docs, 3).collect()}
+    assert {r.doc_id: r.shard for r in back.collect()} == want and {"_shard", "_slot", "shard"} < set(back.columns)
+    assert len(list((tmp_path / "s" / "shard=0").glob("*.parquet"))) <= 2
+
+
+def test_line_threshold_and_clashing_columns(spark):
+    rows = [(i, "a line in three documents\n" * (i < 3) + "a line in two documents" * (i > 0), "x", 1, [2]) for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __id string, __t int, __drop array<int>").withColumns({"_id": F.lit(5), "__lines": F.lit(6)})
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table, min_docs=3).collect()}
+    assert [got[i]["__n_dropped"] for i in range(3)] == [0, 1, 1] and got[1]["__kept"] == "a line in two documents"
+    assert all((r["__id"], r["__t"], r["__drop"], r["_id"], r["__lines"]) == ("x", 1, [2], 5, 6) for r in got.values())
+    mixed = mixing.mix(table.withColumns({"source": F.lit("s"), "__hash": F.lit(1), "__part": F.lit(2), "__cuts": F.lit(3)}))
+    assert {(r["__id"], r["__hash"], r["__part"], r["__cuts"]) for r in mixed.collect()} == {("x", 1, 2, 3)}
+
+
+def fused(rows, model):
+    """The fusion in plain loops: (id -> language, probability), counts without the row's own text."""
+    names = [*model.languages, "und"]
+    scores, n = model.scores([r.text.encode() if r.text else None for r in rows])
+    start = scores + np.log([(1 - language.UND_PRIOR) / max(1, len(names) - 1)] * (len(names) - 1) + [language.UND_PRIOR])
+    soft = np.exp(start - start.max(1, keepdims=True))
+    soft /= soft.sum(1, keepdims=True)
+    key = lambda r: tuple((x or "").lower() for x in (r.suffix, r.domain, r.host))
+    out = []
+    for i, r in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i]
+        total = soft[others].sum(0)
+        prior = (total + 1) / (len(others) + len(names))
+        for depth in (1, 2, 3):
+            own = [j for j in others if key(rows[j])[:depth] == key(r)[:depth]]
+            prior = (soft[own].sum(0) + language.KAPPA * prior) / (len(own) + language.KAPPA)
+        said = [j for j in others if (rows[j].declared or "").lower() == (r.declared or "").lower()]
+        log = scores[i] + np.log(prior) + np.log((soft[said].sum(0) + 0.5) / (total + 50))
+        p = np.exp(log - log.max())
+        out.append((r.id, names[int(np.argmax(log))] if n[i] else "und", p.max() / p.sum() if n[i] else 0.0))
+    return out
+
+
+def test_language_query_by_brute_force(spark):
+    """op9 on sf0.001, and odd pages: undecided text with host and markup at odds, null html, null and malformed addresses."""
+    from corvane.llm.queries import op9_language_id
+
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {i: (a, b) for i, a, b in fused(language.page_evidence(pages).collect(), model)}
+    got = {r.page_id: (r.lang, r.probability) for r in op9_language_id(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
+    odd = [(i, f"http://a.de/{i}", f'<html lang="de"><p>{w}') for i, w in enumerate(["die und der", "der die", "und ich", "nicht der"])]
+    odd += [(10, "http://a.de/x", '<html lang="fr"><p>xq'), (11, None, None), (12, "::no address", "<p>the and of"), (13, "http://b.fr/", ""), (14, "http://a.de/", None)]
+    rows = language.page_evidence(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    want = fused(rows.collect(), model)
+    found = {r.id: (r.lang, r.probability, r.accepted) for r in language.identify(rows, model).collect()}
+    assert found == {i: (a, pytest.approx(b, abs=1e-6), a != "und") for i, a, b in want}
+    assert not found[11][2] and not found[13][2] and not found[14][2]
+
+
+def test_trigrams_of_long_texts(monkeypatch):
+    text = "Größe und Länge eines sehr langen Textes ".encode() * 30
+    whole = [np.concatenate(x) for x in zip(*language.trigrams([text, None, text]), strict=True)]
+    monkeypatch.setattr(language, "PIECE", 17)
+    cut = [np.concatenate(x) for x in zip(*language.trigrams([text, None, text]), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and set(whole[2]) == {0, 2}
