@@ -261,13 +261,15 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     probing = probed.join(F.broadcast(chunks), "cell").withColumn("d", F.pmod(F.xxhash64("query_id"), "askers")).withColumn("c", F.explode(F.expr("sequence(0L, parts - 1)")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # an empty side has no columns
+            return pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         order = np.lexsort((left.column("own").to_numpy(), left.column("list").to_numpy()))
         left = left.take(pa.array(order))
         pid, p, home, own = left.column("vec_id").to_numpy(), matrix(left.column("v"), dim), left.column("list").to_numpy(), left.column("own").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (own[1:] != own[:-1])])) if len(pid) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (own[1:] != own[:-1])]))
         out = []
         ids, vectors, lists_of = right.column("query_id").to_numpy(), right.column("q"), right.column("lists").combine_chunks()
-        for at in range(0, right.num_rows if len(pid) else 0, 256):
+        for at in range(0, right.num_rows, 256):
             q = matrix(vectors.slice(at, 256), dim)
             searched = np.unpackbits(np.array([np.frombuffer(x.as_py(), np.uint8) for x in lists_of.slice(at, 256)]), axis=1).astype(bool)
             scores = np.full((len(q), len(p)), -np.inf)
@@ -276,7 +278,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
                 if len(who := np.flatnonzero(who)):
                     scores[who, s:e] = q[who] @ p[s:e].T
             out.append(best(scores, ids[at : at + 256], pid, q, p, k))
-        a, b, s = (np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in enumerate((np.int64, np.int64, np.float64)))
+        a, b, s = (np.concatenate([x[n] for x in out]) for n in range(3))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
     block = ["cell", "c", "d"]

@@ -508,3 +508,51 @@ def test_trigrams_of_long_texts(monkeypatch):
     monkeypatch.setattr(language, "PIECE", 17)
     cut = [np.concatenate(x) for x in zip(*language.trigrams([text, None, text]), strict=True)]
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and set(whole[2]) == {0, 2}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, docs):
+    """Every stage takes nulls, repeated rows and ids, odd texts, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    columns = docs.columns
+    mixed = odd.unionByName(docs.limit(100), allowMissingColumns=True)
+    known = corpus_pipeline.language_id(spark, mixed, SF)
+    rows = Counter(tuple(r) for r in mixed.select(*columns).collect())
+    found = Counter(map(tuple, known.collect()))
+    assert all(found[r] in (0, n) for r, n in rows.items()) and not found - rows
+    assert not any((r[1] or "").strip() == "" for r in found) and sum(found.values()) >= 100
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF)
+        assert name == "packing" or got.columns == columns
+        assert stage(spark, empty, SF).count() == 0
+        if name == "simhash_dedup":
+            kept = Counter((r.doc_id, r.text) for r in got.collect())
+            assert kept == Counter({(1, ODD[0][1]): 1, (2, ODD[1][1]): 1, (3, None): 1, (5, ODD[4][1]): 1, (6, ODD[5][1]): 1, (None, ODD[8][1]): 1, (9, ODD[10][1]): 1})
+        elif name == "packing":
+            assert {r.doc_id for r in got.collect()} == {r[0] for r in ODD}
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Members of a large bucket that its first member does not link are met with all others, in chunks."""
+    from corvane.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CAP", 3)
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    rng = np.random.default_rng(8)
+    rows = [(g * 100 + i, " ".join([f"t{g // 3}x{j}" for j in range(30)] + [f"g{g}x{j}" for j in range(60)] + [f"i{i}"] * (i % 3))) for g in range(6) for i in range(9)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    table = spark.createDataFrame(rows, "id long, text string").select("id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("t"))
+    group = brute_jaccard(rows)
+    got = {r.id: r["first"].id for r in jaccard.near_duplicates(table).collect()}
+    assert got == group and len(set(group.values())) < len(rows) / 3
+
+
+def test_parity_bound():
+    from corvane.llm import jaccard
+
+    rng = np.random.default_rng(1)
+    for n, m, both in [(3, 5, 2), (300, 280, 270), (1000, 4000, 900), (600, 700, 0)]:
+        pool = np.unique(rng.integers(-(2**62), 2**62, n + m - both))
+        a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+        assert jaccard.differing(jaccard.parity(a), jaccard.parity(b)) <= n + m - 2 * both
+        assert jaccard.differing(jaccard.parity(a), jaccard.parity(a)) == 0
