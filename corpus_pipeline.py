@@ -2,11 +2,18 @@
 
 Stages: language ID (documents without a known language go), line dedup, near-dedup (five-word shingles, Jaccard 0.8
 or more; the smallest id of each group stays), mixing sources to target weights, packing into power-of-two sequences.
+
+Every stage knows a row by its id and contents, so rows that repeat an id, or have none, are documents of their own.  The
+rows that a stage drops meet the documents in an anti-join, which Spark broadcasts while they are few.
+
+Defined cases: a null or empty text has no language and goes in the first stage; a null id ranks last; null sources
+and languages are values of their own; wholly equal rows share their fate until near-dedup makes one of them; other columns
+than those of documents are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import jaccard, language, line_dedup, mixing, packing
@@ -20,15 +27,16 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id (null read as the largest) is in ids(id)."""
-    return _documents(docs).withColumn("__id", id_column("doc_id")).join(ids.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").drop("__id")
+def _contents() -> Column:
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.fit(docs)
-    found = language.identify(language.document_evidence(docs).withColumn("id", id_column("id")), model)
-    return _keep(docs, found.where("accepted"))
+    """The rows in a known language; a row's decision is found again by its contents."""
+    rows = _documents(docs).withColumn("__id", _contents())
+    found = language.identify(language.document_evidence(rows, "__id"), language.fit(docs))
+    rejected = materialise(found.where(~F.col("accepted")).select(F.col("id").alias("__id")).distinct())
+    return rows.join(rejected, "__id", "left_anti").drop("__id")
 
 
 def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +51,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row is known by its id and its contents: rows with a null id, or with one id and different texts, are documents
     of their own (a null id ranks last; among equal ids the smallest hash stays), and wholly equal rows are one.
     """
-    rows = _documents(docs).withColumns({"__id": id_column("doc_id"), "__hash": F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])})
-    found = jaccard.near_duplicates(rows.select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("text").cast("binary").alias("t")))
-    first = found.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.hash").alias("__hash"))
-    return rows.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    rows, key = _documents(docs).withColumns({"__id": id_column("doc_id"), "__hash": _contents()}), ["__id", "__hash"]
+    found = materialise(jaccard.near_duplicates(rows.select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("text").cast("binary").alias("t"))))
+    named = [F.col("id").alias("__id"), F.col("hash").alias("__hash")]
+    others = materialise(found.where((F.col("id") != F.col("first.id")) | (F.col("hash") != F.col("first.hash"))).select(*named).distinct())
+    kept = rows.join(others, key, "left_anti")
+    equal = materialise(found.groupBy("id", "hash").count().where("count > 1").select(*named))
+    if not equal.isEmpty():
+        kept = kept.join(equal, key, "left_anti").unionAll(kept.join(equal, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
