@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 NULL_ID = 2**63 - 1
 #: The white space of all contracts: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+ARROW_BYTES = "2m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,11 +38,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def small_arrow(spark: SparkSession) -> Iterator[None]:
+    """Within it, batches that go to Python are bounded in bytes, not in rows alone, so long texts do not add up."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_arrow(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
