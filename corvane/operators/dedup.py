@@ -71,7 +71,25 @@ def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     return keyed.where("some").join(first, "key").select("doc_id", "class_id")
 
 
-def adjacency(pairs: DataFrame) -> DataFrame:
-    """(doc_id, near_duplicates): both directions of each pair, neighbours by id."""
-    ways = [pairs.select(F.col(x).alias("doc_id"), F.struct(F.col(y).alias("document_id"), "relation", "jaccard", "containment").alias("e")) for x, y in (("a", "b"), ("b", "a"))]
-    return ways[0].unionAll(ways[1]).groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("near_duplicates"))
+def adjacency(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_near_duplicates, near_duplicates): one row a document that has a near duplicate.
+
+    pairs are of classes, members(doc_id, class_id) tells who belongs to them.  Neighbours are classes by their smallest id,
+    the document's own class among them if it has another member, each with the documents that it adds; so an identical
+    twin has the links of its class, and a large class is never expanded into pairs.
+    """
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    ways = [pairs.select(F.col(x).alias("class_id"), F.col(y).alias("other"), "relation", "jaccard", "containment") for x, y in (("a", "b"), ("b", "a"))]
+    links = ways[0].unionAll(ways[1]).join(sizes.withColumnRenamed("class_id", "other"), "other")
+    own = sizes.where("n > 1").select(F.col("class_id").alias("other"), "class_id", F.lit("near_duplicate").alias("relation"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"), (F.col("n") - 1).alias("n"))
+    every = links.unionByName(own).select("class_id", "n", F.struct(F.col("other").alias("document_id"), "relation", "jaccard", "containment", F.col("n").alias("documents")).alias("e"))
+    lists = every.groupBy("class_id").agg(F.sum("n").alias("n_near_duplicates"), F.array_sort(F.collect_list("e")).alias("near_duplicates"))
+    return members.join(lists, "class_id").select("doc_id", "class_id", "n_near_duplicates", "near_duplicates")
+
+
+def count_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row near_duplicate_pairs: the unordered pairs of documents, those within a class included, without listing them."""
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (sizes.select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    between = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b").select((F.col("na") * F.col("nb")).alias("n"))
+    return between.unionAll(sizes.select(F.expr("n * (n - 1) div 2"))).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("near_duplicate_pairs"))

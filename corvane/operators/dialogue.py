@@ -60,7 +60,9 @@ def validated(text: Column, n_sources: Column) -> Column:
 
 def analysis(reply: Column) -> Column:
     """struct(level, gap) of a model's JSON reply; anything malformed is unclear."""
-    parsed = F.from_json(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1), "level string, gap string")
+    found = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1)
+    whole = F.when(F.json_array_length(F.concat(F.lit("["), found, F.lit("]"))) == 1, found)  # from_json alone takes text after the object
+    parsed = F.from_json(whole, "level string, gap string")
     level = F.when(parsed["level"].isin(*LEVELS), parsed["level"]).otherwise("unclear")
     return F.struct(level.alias("level"), F.coalesce(parsed["gap"], F.lit("")).alias("gap"))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.dedup import count_pairs
+
 MIN_DOCUMENT, TINY_CHUNK, CHUNK_LIMIT, QA_LIMIT, OVERSIZE = 100, 20, 600, 1000, 1.1
 # The location field that chunks of a file type need.
 PAGED = {"pdf": "page_start", "pptx": "slide_start", "ppt": "slide_start"}
@@ -72,12 +74,11 @@ def token_stats(table: DataFrame, column: str = "token_count") -> DataFrame:
     return table.agg(F.min(column).alias("min"), F.median(column).alias("median"), F.round(F.avg(column), 1).alias("mean"), F.max(column).alias("max")).where("min is not null")
 
 
-def manifest(docs: DataFrame, chunks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row of totals over documents, chunks and near-duplicate pairs."""
+def manifest(docs: DataFrame, chunks: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of totals over documents, chunks and near-duplicate pairs of documents (pairs of classes, and their members)."""
     d = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if("is_duplicate").alias("duplicate_documents"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("characters"))
     c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("chunk_tokens"))
-    p = pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().agg(F.count(F.lit(1)).alias("near_duplicate_pairs"))
-    return d.crossJoin(c).crossJoin(p)
+    return d.crossJoin(c).crossJoin(count_pairs(pairs, members))  # one row each
 
 
 def report(title: str, totals: dict, tables: dict[str, tuple[list[str], list[tuple]]]) -> str:

@@ -5,25 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import chunk, clean, dedup, quality
+from corvane.functions.text import tokens
+from corvane.operators import chunk, clean, dedup, metadata, quality
 from corvane.sources import files
 
 
+def described(documents: DataFrame, lines: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """documents with their layout, metadata, title and extraction status."""
+    raw = lines.where("error is null").groupBy("document_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "line", "text"))), lambda x: x["text"]), "\n").alias("raw_text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("unit") <= 1, F.struct("unit", "line", "text")))), lambda x: x["text"]), "\n").alias("first_text"),
+        F.when(F.bool_or(F.col("unit_kind") == "slide"), "slides").otherwise("document").alias("layout"),
+    )
+    code = blocks.groupBy("document_id").agg(F.sum(F.when(F.col("type") == "code", F.char_length("text")).otherwise(0)).cast("long").alias("code_chars"))
+    heads = blocks.where("type = 'heading'").select("document_id", F.struct("unit", "block").alias("pos"), "level", "text")
+    failed = lines.where("error is not null").groupBy("document_id").agg(F.min("error").alias("extraction_error"))
+    rows = documents.join(raw, "document_id", "left").join(code, "document_id", "left").join(failed, "document_id", "left")
+    rows = rows.join(texts.select(F.col("doc_id").alias("document_id"), F.col("text").alias("clean_text")), "document_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("raw_text", "first_text", "clean_text")})
+    rows = rows.withColumns({"layout": F.coalesce("layout", F.lit("document")), "code_chars": F.coalesce("code_chars", F.lit(0)), "master_text": F.lit(""), "tokens": F.size(tokens(F.col("clean_text")))})
+    kept = metadata.classify(rows).join(metadata.titles(heads), "document_id", "left").drop("raw_text", "first_text", "clean_text", "master_text", "code_chars")
+    status = F.when(F.col("extraction_error").isNull(), "ok").otherwise("failed")
+    return kept.withColumns({"extraction_status": status, "token_count": F.col("tokens").cast("long"), "image_only_units": F.array().cast("array<int>")}).drop("tokens")
+
+
 def ingest(spark: SparkSession, source: str, target: str | None = None) -> dict[str, DataFrame]:
-    """documents, blocks, chunks, duplicates, pairs and chunk issues of a folder; written as JSON below target if given."""
+    """documents with metadata and relations, blocks, chunks, duplicates, pairs, members, issues and manifest of a folder;
+    written as JSON below target if given."""
     if target:
         files.guard_output(source, target)
-    documents, unsupported, ignored = files.scan(spark, source)
-    lines = files.extract_lines(documents.where(F.col("file_type").isin(*files.LOADERS)))
-    blocks = clean.clean(lines)
-    chunks = chunk.chunk(blocks).join(documents.select("document_id", "filename", "relative_path", "topic_area"), "document_id")
-    texts = clean.markdown(blocks).select(F.col("document_id").alias("doc_id"), F.col("markdown").alias("text")).join(documents.select(F.col("document_id").alias("doc_id"), "filename"), "doc_id")
+    found, unsupported, ignored = files.scan(spark, source)
+    lines = files.stored(files.extract_lines(found.where(F.col("file_type").isin(*files.LOADERS))))
+    blocks = files.stored(clean.clean(lines))
+    markdown = clean.markdown(blocks).select(F.col("document_id").alias("doc_id"), F.col("markdown").alias("text"))
+    texts = files.stored(markdown.join(found.select(F.col("document_id").alias("doc_id"), "filename"), "doc_id"))
+    documents = files.stored(described(found.drop("content"), lines, blocks, texts))
+    typed = blocks.join(documents.select("document_id", "document_type", "layout"), "document_id")
+    own = ["filename", "relative_path", "topic_area", "document_type", "source", "professor", "module", "semester"]
+    chunks = files.stored(chunk.chunk(typed).join(documents.select("document_id", *own), "document_id"))
+    duplicates, pairs, members = (files.stored(x) for x in (dedup.exact_duplicates(texts, "filename"), dedup.near_duplicate_pairs(texts), dedup.shingle_classes(texts)))
+    near = dedup.adjacency(pairs, members).select(F.col("doc_id").alias("document_id"), "n_near_duplicates", "near_duplicates")
+    related = documents.join(duplicates.withColumnRenamed("doc_id", "document_id"), "document_id", "left").join(near, "document_id", "left")
+    related = related.join(texts.select(F.col("doc_id").alias("document_id"), F.char_length("text").cast("long").alias("char_count")), "document_id", "left")
+    related = related.withColumns({"is_duplicate": F.col("duplicate_of").isNotNull(), "char_count": F.coalesce("char_count", F.lit(0)), "near_duplicates": F.coalesce("near_duplicates", F.array())})
+    related = files.stored(related)
     located = chunks.withColumns({"page_start": F.lit(None).cast("int"), "slide_start": F.lit(None).cast("int")})
+    issues = quality.document_issues(related, chunks).unionByName(quality.chunk_issues(located, documents.select("document_id", "file_type")))
     out = {
-        "documents": documents.drop("content"), "unsupported": unsupported, "ignored": ignored, "blocks": blocks, "chunks": chunks,
-        "duplicates": dedup.exact_duplicates(texts, "filename"), "pairs": dedup.near_duplicate_pairs(texts),
-        "duplicate_chunks": dedup.duplicate_chunks(chunks, "chunk_id"), "issues": quality.chunk_issues(located, documents.select("document_id", "file_type")),
-        "failures": lines.where("error is not null").select("document_id", "error"),
+        "documents": related, "unsupported": unsupported, "ignored": ignored, "blocks": blocks, "chunks": chunks,
+        "duplicates": duplicates, "pairs": pairs, "members": members, "duplicate_chunks": dedup.duplicate_chunks(chunks, "chunk_id"),
+        "issues": issues, "manifest": quality.manifest(related, chunks, pairs, members), "failures": lines.where("error is not null").select("document_id", "error"),
     }
     for name, table in out.items() if target else ():
         table.write.mode("overwrite").json(f"{target}/{name}")

@@ -172,10 +172,18 @@ def shingle_classes(spark, sf):
     return dedup.shingle_classes(docs(spark, sf))
 
 
-@query(f"with {_PAIRS}, e as (select a as doc_id, b as o, relation from pairs union all select b, a, relation from pairs) select doc_id, string_agg(o || ':' || relation, ',' order by o) as neighbours from e group by doc_id")
+# every pair of documents by definition, copies included
+_DOC_PAIRS = f"""{_GRAMS}, x as (select doc_id, len(s) as n, unnest(s) as t from g), i as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from x a join x b on a.t = b.t and a.doc_id < b.doc_id group by all),
+pairs as (select a, b, case when i / (na + nb - i) >= 0.8 then 'near_duplicate' else 'overlap' end as relation from i where i / (na + nb - i) >= 0.8 or i / least(na, nb) >= 0.5),
+ways as (select a as doc_id, b as other, relation from pairs union all select b, a, relation from pairs), c as (select min(doc_id) as class_id, s from g group by s), m as (select doc_id, class_id from g join c using (s))"""
+
+
+@query(f"""with {_DOC_PAIRS}, named as (select w.doc_id, m.class_id as other, w.relation, count(*) as n from ways w join m on m.doc_id = w.other group by all)
+select doc_id, class_id, n_near_duplicates, neighbours from (select doc_id, cast(sum(n) as bigint) as n_near_duplicates, string_agg(other || ':' || relation || ':' || n, ',' order by other) as neighbours from named group by doc_id) join m using (doc_id)""")
 def near_dup_adjacency(spark, sf):
-    found = dedup.adjacency(dedup.near_duplicate_pairs(docs(spark, sf)))
-    return found.select("doc_id", F.array_join(F.transform("near_duplicates", lambda n: F.concat(n["document_id"], F.lit(":"), n["relation"])), ",").alias("neighbours"))
+    """Each document's near duplicates, as classes with the number of documents in each; twins have each other."""
+    found = dedup.adjacency(dedup.near_duplicate_pairs(docs(spark, sf)), dedup.shingle_classes(docs(spark, sf)))
+    return found.select("doc_id", "class_id", "n_near_duplicates", F.array_join(F.transform("near_duplicates", lambda n: F.concat_ws(":", n["document_id"], n["relation"], n["documents"])), ",").alias("neighbours"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -244,9 +252,11 @@ def orphan_docs(spark, sf):
     return retrieval.orphans(docs(spark, sf), table(spark, sf, "labels"), "doc_id").select("doc_id")
 
 
-@query("select doc_id, true as text_verified from documents")
+@query("select doc_id, doc_id % 5 <> 0 as text_verified from documents")
 def text_verified(spark, sf):
-    hashed = docs(spark, sf).withColumn("text_hash", T.text_hash(F.col("text")))
+    """Every fifth text was changed after its hash was stored."""
+    stored = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" then"))).otherwise(F.col("text"))
+    hashed = docs(spark, sf).withColumn("text_hash", T.text_hash(stored))
     return hashed.select("doc_id", retrieval.verified(hashed).alias("text_verified"))
 
 
@@ -397,11 +407,35 @@ def token_stats(spark, sf):
     return quality.token_stats(retrieval.lengths(docs(spark, sf)), "dl")
 
 
-@query(f"""with {_PAIRS}, dup as ({_EXACT}) select (select count(*) from documents) as documents, (select count(*) from dup) as duplicate_documents, (select cast(sum(length(text)) as bigint) from documents) as characters,
+@query(f"""with {_DOC_PAIRS}, dup as ({_EXACT}) select (select count(*) from documents) as documents, (select count(*) from dup) as duplicate_documents, (select cast(sum(length(text)) as bigint) from documents) as characters,
 (select count(*) from documents) as chunks, (select cast(sum(len({TOKENS})) as bigint) from documents) as chunk_tokens, (select count(*) from pairs) as near_duplicate_pairs""")
 def corpus_manifest(spark, sf):
     d = described(spark, sf)
-    return quality.manifest(d, d.select("token_count"), dedup.near_duplicate_pairs(docs(spark, sf)))
+    return quality.manifest(d, d.select("token_count"), dedup.near_duplicate_pairs(docs(spark, sf)), dedup.shingle_classes(docs(spark, sf)))
+
+
+_FAULTY = """chunks as (select d.*, len(regexp_extract_all(text, '\\S+')) as tokens, case when doc_id % 11 = 0 then 'c0' else 'c' || doc_id end as chunk_id, case when doc_id % 13 = 0 then 'none' else 'd' || doc_id end as document_id,
+  case when doc_id % 17 = 0 then ' ' else 'f' end as filename, case doc_id % 3 when 0 then 'pdf' when 1 then 'pptx' else 'txt' end as kind, case when doc_id % 2 = 0 then doc_id end as place, case when doc_id % 19 = 0 then null else text end as own, if(doc_id % 4 = 0, 'qa_pair', 'section') as chunk_type from documents d),
+c as (select *, case when doc_id % 13 <> 0 then kind end as known, if(chunk_type = 'qa_pair', 1000, 600) as most from chunks)"""
+
+
+@query(f"""with {_FAULTY} select * from (
+select 'error' as level, 'duplicate_chunk_id' as code, chunk_id, cast(count(*) - 1 as bigint) as n from c group by chunk_id having count(*) > 1
+union all select 'error', 'empty_chunk', chunk_id, count(*) from c where own is null or trim(own) = '' group by chunk_id
+union all select 'error', 'missing_document_id', chunk_id, count(*) from c where doc_id % 13 = 0 group by chunk_id
+union all select 'error', 'missing_source_reference', chunk_id, count(*) from c where filename = ' ' group by chunk_id
+union all select 'error', 'missing_location', chunk_id, count(*) from c where known in ('pdf', 'pptx') and place is null group by chunk_id
+union all select 'warning', 'oversized_chunk', chunk_id, count(*) from c where tokens > most * {quality.OVERSIZE} group by chunk_id
+union all select 'warning', 'tiny_chunk', chunk_id, count(*) from c where tokens < {quality.TINY_CHUNK} group by chunk_id)""")
+def chunk_issues(spark, sf):
+    """Documents as chunks of files that lack this and that, so that every check finds something."""
+    i = F.col("doc_id")
+    rows = docs(spark, sf).withColumns({
+        "token_count": F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))), "chunk_id": F.when(i % 11 == 0, "c0").otherwise(F.concat(F.lit("c"), i)), "document_id": F.when(i % 13 == 0, "none").otherwise(F.concat(F.lit("d"), i)),
+        "filename": F.when(i % 17 == 0, " ").otherwise("f"), "relative_path": F.lit("a/f"), "chunk_type": F.when(i % 4 == 0, "qa_pair").otherwise("section"), "page_start": F.when(i % 2 == 0, i), "slide_start": F.when(i % 2 == 0, i), "text": F.when(i % 19 != 0, F.col("text")),
+    })
+    files = docs(spark, sf).select(F.concat(F.lit("d"), i).alias("document_id"), F.element_at(F.array(*map(F.lit, ("pdf", "pptx", "txt"))), (i % 3 + 1).cast("int")).alias("file_type"))
+    return quality.chunk_issues(rows, files).groupBy("level", "code", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # words that the synthetic texts have; the taxonomy itself is a parameter

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -141,6 +143,20 @@ def guard_output(source: str, target: str) -> None:
         raise ValueError("the output folder must not be inside the source")
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """table written below spark.checkpoint.dir, which a cluster must name, and read back: what several steps read is made once."""
+    spark = table.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="corvane-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/corvane/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def digest(table: DataFrame, columns: list[str]) -> str:
     """A digest of rows that does not depend on their order: count and XOR of two row hashes."""
     row = table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns)), F.bit_xor(F.xxhash64(F.lit(1), *columns))).first()
@@ -161,7 +177,8 @@ def read_index(spark: SparkSession, path: str, model: str, corpus: str) -> DataF
     """The vectors, if the manifest agrees with what is asked and what is stored; raises on a stale index."""
     manifest = spark.read.json(f"{path}/manifest").first().asDict()
     vectors = spark.read.parquet(f"{path}/vectors")
-    now = {"model": model, "corpus": corpus, "rows": vectors.count()}
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    now = {"model": model, "corpus": corpus, "rows": n, "dim": dim, "digest": digest(vectors, ["chunk_id", "vector"])}
     if stale := [k for k, v in now.items() if manifest.get(k) != v]:
         raise ValueError(f"stale index: {stale} differ from the manifest")
     return vectors

@@ -81,7 +81,11 @@ def test_dedup(spark):
     assert {(r.doc_id, r.duplicate_of, r.duplicate_type) for r in dedup.exact_duplicates(docs, "filename").collect()} == {(1, 2, "exact_file"), (4, 2, "identical_text")}
     pairs = dedup.near_duplicate_pairs(docs.select("doc_id", "text")).collect()
     assert [(r.a, r.b, r.relation, r.jaccard, r.containment) for r in pairs] == [(1, 3, "near_duplicate", 0.987, 1.0)]
-    assert {r.doc_id: r.class_id for r in dedup.shingle_classes(docs).collect()} == {1: 1, 2: 1, 4: 1, 3: 3}
+    members = dedup.shingle_classes(docs)
+    assert {r.doc_id: r.class_id for r in members.collect()} == {1: 1, 2: 1, 4: 1, 3: 3}
+    near = dedup.adjacency(dedup.near_duplicate_pairs(docs.select("doc_id", "text")), members).collect()
+    assert {r.doc_id: (r.n_near_duplicates, [(n.document_id, n.documents) for n in r.near_duplicates]) for r in near} == {1: (3, [(1, 2), (3, 1)]), 2: (3, [(1, 2), (3, 1)]), 4: (3, [(1, 2), (3, 1)]), 3: (3, [(1, 3)])}
+    assert dedup.count_pairs(dedup.near_duplicate_pairs(docs.select("doc_id", "text")), members).first()[0] == 6
 
 
 def test_dialogue(spark):
@@ -158,3 +162,46 @@ def test_queries_have_their_sql():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_analysis_of_two_objects(spark):
+    assert one(spark, dialogue.analysis, '{"level":"solid"} then {"level":"partial"}').level == "unclear"
+
+
+def test_stale_index(spark, tmp_path):
+    from corvane.sources import files
+
+    path, rows = str(tmp_path / "i"), [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    files.write_index(vectors, path, "m", "c")
+    assert files.read_index(spark, path, "m", "c").count() == 2
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        files.write_index(vectors, path, "m", "c")
+    spark.createDataFrame([("a", [1.0, 2.5]), ("b", [3.0, 4.0])], vectors.schema).write.mode("overwrite").parquet(f"{path}/vectors")
+    with pytest.raises(ValueError, match="digest"):
+        files.read_index(spark, path, "m", "c")
+
+
+def test_ingest(spark, tmp_path):
+    from corvane.plans.ingest import ingest
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    words = " ".join(f"term{i}" for i in range(150))
+    quiz = "\n\n".join(f"{n}. Question {n} about {words}?" for n in (1, 2, 3))
+    (folder / "lab sheet.md").write_text(f"# Lab sheet\n\n{quiz}\n")
+    (folder / "a.txt").write_text(words)
+    (folder / "copy of a.txt").write_text(words)
+    (folder / "near.txt").write_text(f"{words} and more")
+    (folder / "short.txt").write_text("only this")
+    (folder / "x.bin").write_bytes(b"1")
+    out = ingest(spark, str(folder), str(tmp_path / "out"))
+    docs = {r.filename: r for r in out["documents"].collect()}
+    assert docs["copy of a.txt"].duplicate_of == docs["a.txt"].document_id and docs["a.txt"].n_near_duplicates == 3 and docs["lab sheet.md"].title == "Lab sheet"
+    total = out["manifest"].first()
+    assert (total.documents, total.duplicate_documents, total.near_duplicate_pairs) == (5, 1, 6)
+    codes = {(r.code, r.document_id) for r in out["issues"].collect()}
+    assert ("tiny_document", docs["short.txt"].document_id) in codes and ("duplicate_document", docs["copy of a.txt"].document_id) in codes
+    types = {r.filename: r.chunk_type for r in out["chunks"].collect()}
+    assert types["a.txt"] == "section" and types["lab sheet.md"] == ("problem" if docs["lab sheet.md"].document_type in ("lab", "practice_problems", "assignment", "tutorial", "question_paper") else "section")
+    assert (tmp_path / "out" / "manifest").is_dir()
