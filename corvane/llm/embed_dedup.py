@@ -3,8 +3,10 @@
 For unit vectors, cosine >= c means a squared distance of 2 (1 - c) at most.  All vectors are turned by one seeded
 rotation and split into blocks of 8 dimensions; a linked pair keeps to its proportional share of the squared distance
 in one block at least.  So in each block vectors are joined within that share: a grid over the block's leading
-coordinates (more of them the more vectors there are) brings a vector to its own cell and to the neighbour cells its
-range touches, and in a cell block distances select candidates, which are checked exactly on the original vectors.
+coordinates brings a vector to its own cell and to the neighbour cells its range touches, and in a cell block distances
+select candidates, which are checked exactly on the original vectors.  Over how many coordinates a block's grid lies is
+laid by the cells found on about SAMPLE vectors: what a finer grid saves in crowded cells against what it adds in
+neighbours.  Links do not depend on it.
 A pair counts in the first block in which it keeps to the share, and in one cell, so unions need no pair list: cells
 return link counts and a spanning forest of their links.
 
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +33,40 @@ from corvane.llm.components import connected_components
 from corvane.llm.vectors import lists, matrix, valid_vectors
 
 BLOCK = 8
-CHUNK = 8192
+#: Rows of a chunk (two of them in a task), vectors that the grid is fitted on, and pairs compared in a dealt row's time.
+CHUNK, SAMPLE, PAIRS = 32_768, 8192, 2000
 SLACK = 1e-6
 
 
 class Subspaces:
     """The rotation, its blocks and each block's share of the squared distance."""
 
-    def __init__(self, dim: int, cosine: float, rows: int, seed: int = 3) -> None:
+    def __init__(self, dim: int, cosine: float, seed: int = 3) -> None:
         q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
         self.turn, self.cosine = q * np.sign(np.diag(r)), cosine
         self.edges = list(range(0, dim, BLOCK))
         width = np.diff([*self.edges, dim])
         self.share = (2 * (1 - cosine) + SLACK) * width / dim
-        self.grid = [min(int(w), max(1, ceil(log2(max(1, rows) / 32_768)))) for w in width]
+        self.grid = [0] * len(width)
         self.step = 2 * np.sqrt(self.share) + 1e-9
 
+    def dealt(self, y: np.ndarray, b: int, rows: int) -> tuple[float, float]:
+        """(copies of a vector, pairs compared) in block b of a table of ``rows`` vectors that ``y`` are drawn from."""
+        found = [(key, np.full(len(at), home)) for at, key, home in self.cells(y, b)]
+        _, cell = np.unique(np.concatenate([key for key, _ in found]), return_inverse=True)
+        every, own = (np.bincount(cell, w) * rows / len(y) for w in (None, np.concatenate([home for _, home in found])))
+        return float((every * np.ceil(every / CHUNK)).sum() / rows), float((own * (every - own / 2)).sum())
+
+    def fit(self, drawn: np.ndarray, rows: int) -> None:
+        """Lay each block's grid over the number of coordinates that costs least for ``rows`` vectors like ``drawn``."""
+        y = self.rotated(drawn)
+        for b, low in enumerate(self.edges):
+            costs = []
+            for self.grid[b] in range(min(BLOCK, y.shape[1] - low) + 1):
+                copies, pairs = self.dealt(y, b, rows)
+                costs.append(copies * rows + pairs / PAIRS)
+            self.grid[b] = int(np.argmin(costs))
+
     def rotated(self, x: np.ndarray, b: int | None = None) -> np.ndarray:
         """Unit vectors turned (block b of them); summed one coordinate after another, so a vector's result depends on
         it alone."""
@@ -64,11 +83,11 @@ class Subspaces:
         own = np.floor(lead / self.step[b]).astype(np.int64)
         reach = np.sqrt(self.share[b]) + 1e-9
         below, above = lead - own * self.step[b] <= reach, (own + 1) * self.step[b] - lead <= reach
-        scale = 256 ** np.arange(self.grid[b])
+        scale = 256 ** np.arange(self.grid[b], dtype=np.int64)
         key = (own + 128) @ scale
         yield np.arange(len(y)), key, True
         for move in product((-1, 0, 1), repeat=self.grid[b]):
-            by = int(np.array(move) @ scale)
+            by = int(np.array(move, np.int64) @ scale)
             if by < 0:
                 fits = np.all([np.ones(len(y), bool) if m == 0 else below[:, j] if m < 0 else above[:, j] for j, m in enumerate(move)], axis=0)
                 yield np.flatnonzero(fits), key[fits] + by, False
@@ -168,7 +187,11 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     if not dim:
         return table.select(id_column(id_col).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), id_column(id_col).alias("component_id"), F.lit(True).alias("kept"))
     classes = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    found = materialise(vector_links(classes, Subspaces(dim, cosine, classes.count()), dim, kind))
+    n, spaces = classes.count(), Subspaces(dim, cosine)
+    drawn = classes.where(F.pmod(F.xxhash64(F.lit(19), "v"), F.lit(max(1, n))) < SAMPLE).select("v").toArrow()
+    if drawn.num_rows:
+        spaces.fit(matrix(drawn.column("v"), dim), n)
+    found = materialise(vector_links(classes, spaces, dim, kind))
     reach = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = classes.join(counts, "node", "left").join(reach, "node", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -79,11 +79,11 @@ def slow_links(vectors, ids, cosine):
     return {i: (count[i], find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize(("chunk", "rows"), [(8192, 1), (8192, 10**6), (40, 10**5)])
-def test_links(spark, monkeypatch, chunk, rows):
+@pytest.mark.parametrize(("chunk", "grid"), [(8192, None), (8192, 0), (8192, 1), (8192, 5), (40, 2), (40, 8)])
+def test_links(spark, monkeypatch, chunk, grid):
     monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
-    if rows > 1:  # as many grid coordinates as a table of that size would have
-        monkeypatch.setattr(embed_dedup, "log2", lambda _: np.log2(rows / 32_768))
+    if grid is not None:  # over as many coordinates as tables of other sizes and shapes would have
+        monkeypatch.setattr(embed_dedup.Subspaces, "fit", lambda self, drawn, rows: self.grid.__setitem__(slice(None), [grid] * len(self.grid)))
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 24))
     near = [base[i % 20] + 0.05 * (1 + i % 5) * rng.standard_normal(24) for i in range(150)]
@@ -95,6 +95,26 @@ def test_links(spark, monkeypatch, chunk, rows):
     assert sum(n for n, _, _ in got.values()) > 300
 
 
+@pytest.mark.parametrize(("rows", "most"), [(5 * 10**4, 24), (10**6, 600), (10**8, 60_000)])
+def test_grid_costs_least(rows, most):
+    """Copies of a near isotropic vector over all blocks, chunk pairs counted in, and no cheaper grid in any block."""
+    spaces = embed_dedup.Subspaces(64, 0.95)
+    x = np.random.default_rng(7).standard_normal((4000, 64))
+    spaces.fit(x, rows)
+    y, chosen, copies = spaces.rotated(x), list(spaces.grid), 0
+
+    def cost(b, grid):
+        spaces.grid[b] = grid
+        found = spaces.dealt(y, b, rows)
+        return found[0] * rows + found[1] / embed_dedup.PAIRS, found[0]
+
+    for b in range(8):
+        every = [cost(b, g) for g in range(9)]
+        assert every[chosen[b]][0] == min(every)[0]
+        copies += every[chosen[b]][1]
+    assert copies <= most
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicate_vectors(table(spark, [None, []])).count() == 2
     assert embed_dedup.near_duplicate_vectors(table(spark, [None]).limit(0)).count() == 0
