@@ -148,8 +148,8 @@ def _keyed(classes: DataFrame, spaces: Subspaces, dim: int, kind: str, payload:
 def vector_links(classes: DataFrame, spaces: Subspaces, dim: int, kind: str) -> DataFrame:
     """classes(node, copies, v) -> (a, b, n): link counts of a (b null), and links a, b (n 0) that connect."""
     sizes = _keyed(classes, spaces, dim, kind, False).groupBy("b", "cell").count()
-    chunks = sizes.select("b", "cell", F.expr(f"cast((count + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
-    dealt = _keyed(classes, spaces, dim, kind, True).join(chunks, ["b", "cell"]).withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    crowded = materialise(sizes.where(F.col("count") > CHUNK).select("b", "cell", F.expr(f"cast((count + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks")))
+    dealt = _keyed(classes, spaces, dim, kind, True).join(crowded, ["b", "cell"], "left").fillna(1, "chunks").withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")})
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -175,7 +175,9 @@ def vector_links(classes: DataFrame, spaces: Subspaces, dim: int, kind: str) ->
         linked, child = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(x)))
         return pa.table({"a": np.concatenate([node[linked], node[child]]), "b": pa.array(np.concatenate([np.zeros(len(linked), np.int64), node[root[child]]]), mask=np.arange(len(linked) + len(child)) < len(linked)), "n": np.concatenate([count[linked], np.zeros(len(child), np.int64)])})
 
-    return dealt.select("b", "cell", "i", "j", "home", "node", "copies", "c", "v").groupBy("b", "cell", "i", "j").applyInArrow(run, "a long, b long, n long")
+    # dealt by the pair of chunks too: a partitioning by cell, as a join may leave it, would do a cell's pairs in one task
+    dealt = dealt.select("b", "cell", "i", "j", "home", "node", "copies", "c", "v").repartition("b", "cell", "i", "j")
+    return dealt.groupBy("b", "cell", "i", "j").applyInArrow(run, "a long, b long, n long")
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
