@@ -48,8 +48,8 @@ def validated(text: Column, n_sources: Column) -> Column:
 
     def kept(p: Column) -> Column:
         numbers = F.regexp_extract_all(piece(p), F.lit(r"(\d+)"), F.lit(1))
-        fit = F.filter(numbers, lambda n: F.coalesce(n.try_cast("int").between(1, n_sources), F.lit(False)))
-        labels = F.array_join(F.transform(fit, lambda n: F.concat(F.lit("[S"), n, F.lit("]"))), " ")
+        label = lambda n: F.when(n.try_cast("int").between(1, n_sources), F.concat(F.lit("[S"), n, F.lit("]"))).otherwise("")
+        labels = F.array_join(F.transform(numbers, label), " ")  # a dropped one leaves its space, which is squeezed below
         return F.when(piece(p) == "", p).otherwise(F.concat(F.regexp_replace(p, r"\[S\d+(?:\s*,\s*S?\d+)*\]$", ""), labels))
 
     whole = F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=\])"), kept), "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +154,58 @@ def overlap(a: DataFrame, b: DataFrame, qrels: DataFrame, cut: int) -> DataFrame
     return both.groupBy("query_id").agg(F.count_if(both_in).alias("common"), F.count_if(both_in & rel).alias("rel_both"), F.count_if(only_a & rel).alias("rel_a_only"), F.count_if(only_b & rel).alias("rel_b_only"))
 
 
+def label_counts(rows: DataFrame, *labels: str) -> DataFrame:
+    """(grouping, key, n) of each column of labels; a list counts each of its labels."""
+    each = []
+    for name in labels:
+        many = rows.schema[name].dataType.typeName() == "array"
+        flat = rows.select((F.explode(name) if many else F.col(name)).alias("key"))
+        each.append(flat.select(F.lit(name).alias("grouping"), F.col("key").cast("string").alias("key")).where("key is not null"))
+    return reduce(DataFrame.unionAll, each).groupBy("grouping", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _both(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    side = lambda x, name: x.select("query_id", *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    return side(a, "a").join(side(b, "b"), "query_id")
+
+
+def two_run_groups(a: DataFrame, b: DataFrame, queries: DataFrame, groups: Sequence[str], columns: Sequence[str], place: str = "query_id") -> DataFrame:
+    """(grouping, value, first, queries, a_*, b_*): both runs' means by group; ``first`` is where a group appears first."""
+    flat = queries.select("query_id", F.col(place).alias("__place"), F.explode(F.array(*[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("value")) for g in groups])).alias("g"))
+    means = [F.round(F.avg(f"{s}_{c}"), 4).alias(f"{s}_{c}") for c in columns for s in "ab"]
+    rows = _both(a, b, columns).join(flat.select("query_id", "__place", "g.*"), "query_id")
+    return rows.groupBy("grouping", "value").agg(F.min("__place").alias("first"), F.count(F.lit(1)).alias("queries"), *means)
+
+
+def failure_sets(a: DataFrame, b: DataFrame, cuts: Sequence[int] = (5, 10, 20)) -> DataFrame:
+    """(cut, query_id, fails): queries without a relevant result in the top ``cut`` of run a, b or both."""
+    hits = _both(a, b, [f"hit_{k}" for k in cuts])
+    flat = hits.select("query_id", F.explode(F.array(*[F.struct(F.lit(k).alias("cut"), F.col(f"a_hit_{k}").alias("x"), F.col(f"b_hit_{k}").alias("y")) for k in cuts])).alias("h")).select("query_id", "h.*")
+    said = F.when((F.col("x") == 0) & (F.col("y") == 0), "both").when(F.col("x") == 0, "a").when(F.col("y") == 0, "b")
+    return flat.select("cut", "query_id", said.alias("fails")).where("fails is not null")
+
+
+def hit_counts(a: DataFrame, b: DataFrame, cuts: Sequence[int] = HIT) -> DataFrame:
+    """(cut, a, b): how many queries have a relevant result in the top ``cut``, common queries alone."""
+    one = _both(a, b, [f"hit_{k}" for k in cuts]).agg(*[F.count_if(F.col(f"{s}_hit_{k}") > 0).alias(f"{s}_{k}") for k in cuts for s in "ab"])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("cut"), F.col(f"a_{k}").alias("a"), F.col(f"b_{k}").alias("b")) for k in cuts])).alias("r")).select("r.*")
+
+
+def shared_results(a: DataFrame, b: DataFrame, queries: DataFrame, cuts: Sequence[int] = (10, 20)) -> DataFrame:
+    """(cut, mean_shared): results that both runs have in the top ``cut``, a mean over all queries."""
+    cut = F.explode(F.array(*map(F.lit, cuts))).alias("cut")
+    tops = [run.select("query_id", "doc_id", "rank", cut).where("rank <= cut").select("cut", "query_id", "doc_id").distinct() for run in (a, b)]
+    common = tops[0].join(tops[1], ["cut", "query_id", "doc_id"]).groupBy("cut").agg(F.count(F.lit(1)).alias("n"))
+    every = queries.agg(F.count(F.lit(1)).alias("__all")).select("__all", cut)
+    return every.join(common, "cut", "left").select("cut", F.round(F.coalesce("n", F.lit(0)) / F.col("__all"), 2).alias("mean_shared"))
+
+
+def side_by_side(a: DataFrame, b: DataFrame, qrels: DataFrame, cut: int) -> DataFrame:
+    """(query_id, rank, a, a_grade, b, b_grade): the two lists rank by rank; null where a list has ended or nobody judged."""
+    side = lambda run, name: labelled(run, qrels).where(F.col("rank") <= cut).select("query_id", "rank", F.col("doc_id").alias(name), F.col("grade").alias(f"{name}_grade"))
+    return side(a, "a").join(side(b, "b"), ["query_id", "rank"], "full_outer")
+
+
 def first_relevant(run: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame:
     found = labelled(run, qrels).where("grade > 0").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return queries.select("query_id").join(found, "query_id", "left")

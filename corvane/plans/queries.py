@@ -126,7 +126,11 @@ def doc_slug_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.document_id(F.col("url")).alias("document_id"), T.topic_area(F.col("url")).alias("topic_area"))
 
 
-@query()
+_DIGEST = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || doc_id))"
+
+
+@query(f"""select doc_id, concat_ws('-', substr(s, 1, 8), substr(s, 9, 4), '5' || substr(s, 14, 3), substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(s, 17, 1)), 1) || substr(s, 18, 3), substr(s, 21, 12)) as point_id
+from (select doc_id, {_DIGEST} as s from documents)""")
 def point_ids(spark, sf):
     return docs(spark, sf).select("doc_id", T.point_id(F.concat(F.lit("chunk:"), F.col("doc_id"))).alias("point_id"))
 
@@ -345,11 +349,17 @@ def error_tags(spark, sf):
     return metrics.error_tags(run(spark, sf), qrels(spark, sf), meta, asked).withColumn("tags", F.array_join("tags", ","))
 
 
-@query()
+@query(f"""with {BASE}, {metrics_sql('run_a')}, asked as (select query_id, case query_id // 100 % 4 when 0 then 'EN' when 1 then 'ZQX' when 2 then 'join_all' end as ident from dq),
+f as (select query_id, hit_5 = 0 as five, hit_10 = 0 as ten, ident is not null and not exists (select 1 from run_a r join documents d using (doc_id) where r.query_id = asked.query_id and rank <= 5 and contains(lower(text), lower(ident))) as miss,
+  exists (select 1 from qrels j where j.query_id = asked.query_id and grade > 0 and doc_id % 50 = 7) as picture from met join asked using (query_id))
+select query_id, array_to_string(list_filter([case when five then 'no_relevant_in_top5' end, case when five and miss then 'exact_terminology_miss' end, case when five and picture then 'relevant_near_image_only_unit' end,
+  case when five and not miss and not picture then 'semantic_mismatch' end, case when ten then 'no_relevant_in_top10' end], lambda x: x is not null), ',') as categories from f where five or ten""")
 def failure_categories(spark, sf):
+    """Queries that name a term met often, one never met, an identifier, and none."""
     texts = docs(spark, sf)
-    asked = dense_queries(spark, sf).select("query_id", F.lit("what does pthread_join() do").alias("text"))
-    none = vectors(spark, sf).where("label < 0").select("doc_id")
+    said = F.array(*map(F.lit, ("EN on a CPU", "ZQX", "what is join_all", "of the OS")))
+    asked = dense_queries(spark, sf).select("query_id", F.element_at(said, (F.expr("query_id div 100") % 4 + 1).cast("int")).alias("text"))
+    none = vectors(spark, sf).where("doc_id % 50 = 7").select("doc_id")
     return metrics.failures(measured(spark, sf), run(spark, sf), asked, texts, qrels(spark, sf), none).withColumn("categories", F.array_join("categories", ","))
 
 
@@ -371,19 +381,27 @@ def described(spark, sf):
     d = table(spark, sf, "documents")
     dup = dedup.exact_duplicates(d).withColumn("is_duplicate", F.lit(True))
     rows = d.join(dup, "doc_id", "left").withColumns({"document_id": F.concat(F.lit("d"), F.col("doc_id")), "char_count": F.char_length("text").cast("long"), "token_count": F.size(T.tokens(F.col("text"))).cast("long"), "is_duplicate": F.coalesce("is_duplicate", F.lit(False)), "extraction_status": F.when(F.col("doc_id") % 97 == 0, "failed").otherwise("ok"), "extraction_error": F.lit(None).cast("string")})
-    return rows.withColumns({"duplicate_of": F.concat(F.lit("d"), F.col("duplicate_of")), "near_duplicates": F.array().cast("array<struct<document_id:string,relation:string,jaccard:double,containment:double>>"), "image_only_units": F.array().cast("array<int>")})
+    near = "array<struct<document_id:string,relation:string,jaccard:double,containment:double>>"
+    other = F.struct(F.concat(F.lit("d"), F.col("doc_id") + 1), F.lit("near_duplicate"), F.lit(0.85), F.lit(0.9))
+    return rows.withColumns({
+        "duplicate_of": F.concat(F.lit("d"), F.col("duplicate_of")), "near_duplicates": F.when(F.col("doc_id") % 31 == 0, F.array(other)).otherwise(F.array()).cast(near),
+        "image_only_units": F.when(F.col("doc_id") % 29 == 0, F.array(F.lit(2), F.lit(5))).otherwise(F.array()).cast("array<int>"),
+    })
 
 
 _DESCRIBED = f"dup as ({_EXACT}), t as (select d.*, 'd' || doc_id as document_id, len({TOKENS}) as tokens, length(text) as chars, dup.duplicate_of, duplicate_type from documents d left join dup using (doc_id)), ok as (select * from t where doc_id % 97 <> 0)"
 _ISSUES = f"""{_DESCRIBED}, issues as (select 'error' as level, 'extraction_failed' as code, document_id, 'extraction failed' as message from t where doc_id % 97 = 0
 union all select 'error', 'empty_document', document_id, 'no text extracted' from ok where chars = 0
 union all select 'warning', 'tiny_document', document_id, 'only ' || tokens || ' tokens extracted' from ok where chars > 0 and tokens < 100
-union all select 'info', 'duplicate_document', document_id, duplicate_type || ' duplicate of d' || duplicate_of from ok where duplicate_of is not null)"""
+union all select 'info', 'duplicate_document', document_id, duplicate_type || ' duplicate of d' || duplicate_of from ok where duplicate_of is not null
+union all select 'error', 'no_chunks', document_id, 'document produced no chunks' from ok where chars > 0 and doc_id % 37 = 0
+union all select 'info', 'near_duplicate', document_id, 'with d' || doc_id + 1 || ' (jaccard=0.85, containment=0.9)' from ok where doc_id % 31 = 0 and document_id < 'd' || doc_id + 1
+union all select 'warning', 'image_only_content', document_id, '2 page(s)/slide(s) have images but almost no text: 2, 5' from ok where doc_id % 29 = 0)"""
 
 
 def issues(spark, sf):
     d = described(spark, sf)
-    return quality.document_issues(d, d.select("document_id"))
+    return quality.document_issues(d, d.where("doc_id % 37 <> 0").select("document_id"))
 
 
 @query(f"with {_ISSUES} select * from issues")
@@ -516,14 +534,30 @@ def turn_rate_summary(spark, sf):
     return dialogue.rates(dialogue.turn_checks(turns(spark, sf)), _RATES)
 
 
-@query()
+# openings in turn: what asks, what asks at length, what demands the answer, what is none of these
+OPENINGS = ("", "Why ", "ok, but can you ", "explain ", "Just tell me the answer ", "matlab kya ", "skip ", "I think that ")
+_TURNS = f"(select conv_id, turn, trim({list(OPENINGS)}[cast((conv_id + turn) % {len(OPENINGS)} + 1 as int)] || substr(coalesce(text, ''), 1, 10 * (turn % 12))) as t from conversations)"
+_WORDS = r"case when trim(t, e' \t\n\r') = '' then 0 else len(regexp_split_to_array(trim(t, e' \t\n\r'), '[ \t\n\r]+')) end"
+_LEAD = dialogue.LEAD.replace("'", "''")
+
+
+@query(f"""select conv_id, turn, case when t = '' or regexp_matches(t, '(?i){dialogue.WANTS_ANSWER}') then false when regexp_matches(t, '(?i){dialogue.HINGLISH_ASK}') then true
+else (regexp_matches(t, '(?i){_LEAD}{dialogue.ASK_START.replace("'", "''")}') or regexp_matches(t, '(?i){_LEAD}{dialogue.ASK_VERB}')) and ({_WORDS} <= 12 or contains(t, '?')) end as is_new_question from {_TURNS}""")
 def new_questions(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", dialogue.is_new_question(F.col("text")).alias("is_new_question"))
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
+    text = F.concat(opening, F.substring(F.coalesce("text", F.lit("")), F.lit(1), (10 * (F.col("turn") % 12)).cast("int")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", dialogue.is_new_question(text).alias("is_new_question"))
 
 
-@query()
+_CITED = f"(select conv_id, turn, text || ' [S' || turn + 1 || ', S9] [Wikipedia] . x[S9, S1] y [S2,3] [S7]!' as t from conversations)"
+
+
+@query(rf"""with p as (select conv_id, turn, string_split(coalesce(t, ''), ']') as ps from {_CITED}),
+q as (select conv_id, turn, array_to_string(list_transform(ps, lambda p, i: case when i = len(ps) then p when not regexp_matches(p, '\[S\d+(\s*,\s*S?\d+)*$') then p || ']'
+  else regexp_replace(p, '\[S\d+(\s*,\s*S?\d+)*$', '') || array_to_string(list_transform(regexp_extract_all(regexp_extract(p, '\[S[^\[]*$'), '\d+'), lambda n: case when cast(n as int) between 1 and 3 then '[S' || n || ']' else '' end), ' ') end), '') as t from p)
+select conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i){dialogue.FAKE_CITE}', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'), e' \t\n\r') as text from q""")
 def validated_citations(spark, sf):
-    cited = F.concat("text", F.lit(" [S"), F.col("turn") + 1, F.lit(", S9] [Wikipedia] ."))
+    cited = F.concat("text", F.lit(" [S"), F.col("turn") + 1, F.lit(", S9] [Wikipedia] . x[S9, S1] y [S2,3] [S7]!"))
     return table(spark, sf, "conversations").select("conv_id", "turn", dialogue.validated(cited, F.lit(3)).alias("text"))
 
 
