@@ -1,6 +1,6 @@
-"""Files in and out: scans, loaders for text, Markdown and DOCX, chunk files, vector tables with a manifest.
+"""Files in and out: scans, loaders for text, Markdown, DOCX and PPTX, chunk files, vector tables with a manifest.
 
-PDF and PowerPoint need libraries that are not at hand: give their extracted lines as JSON in the LINES schema.
+PDF and binary PowerPoint need libraries that are not at hand: give their extracted lines as JSON in the LINES schema.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.lines import MONOSPACE, is_code
 from corvane.functions.text import document_id, text_hash, topic_area
+from corvane.sources.slides import pptx_lines
 
 SUPPORTED = ("pdf", "pptx", "ppt", "docx", "txt", "md")
 LINES = "document_id string, unit int, unit_kind string, line int, text string, kind string, level int, para_break string, top double, bottom double, x0 double, cw double, error string"
@@ -101,22 +102,26 @@ def docx_lines(content: bytes) -> Iterator[dict]:
             yield _line(text.strip())
 
 
-LOADERS = {"txt": text_lines, "md": text_lines, "docx": docx_lines}
+LOADERS = {"txt": text_lines, "md": text_lines, "docx": docx_lines, "pptx": pptx_lines}
 
 
 def extract_lines(documents: DataFrame, loaders: dict = LOADERS) -> DataFrame:
-    """documents(document_id, file_type, content) -> LINES; a file that can't be read gives one row with an error."""
+    """documents(document_id, file_type, content) -> LINES; a file that can't be read gives one row with an error.
+
+    A loader's lines are one section unless they name their unit, as those of slides do.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for key, kind, content in zip(part["document_id"], part["file_type"], part["content"], strict=True):
                 try:
                     rows = list(loaders[kind](bytes(content)))
-                    frame = pd.DataFrame(rows, columns=["text", "kind", "level", "para_break"])
+                    rows = [{"unit": 0, "unit_kind": "section"} | row for row in rows]
+                    frame = pd.DataFrame(rows, columns=["text", "kind", "level", "para_break", "unit", "unit_kind"])
                     frame = frame.assign(line=range(len(rows)), error=None)
                 except Exception as e:  # noqa: BLE001  the row says so, the task goes on
-                    frame = pd.DataFrame([{"text": None, "kind": None, "level": 0, "para_break": None, "line": 0, "error": f"{type(e).__name__}: {e}"}])
-                frame = frame.assign(document_id=key, unit=0, unit_kind="section", top=None, bottom=None, x0=None, cw=None)
+                    frame = pd.DataFrame([{"text": None, "kind": None, "level": 0, "para_break": None, "unit": 0, "unit_kind": "section", "line": 0, "error": f"{type(e).__name__}: {e}"}])
+                frame = frame.assign(document_id=key, top=None, bottom=None, x0=None, cw=None)
                 yield frame[[c.split()[0] for c in LINES.split(", ")]]
 
     return documents.select("document_id", "file_type", "content").mapInPandas(run, LINES)
@@ -182,3 +187,23 @@ def read_index(spark: SparkSession, path: str, model: str, corpus: str) -> DataF
     if stale := [k for k, v in now.items() if manifest.get(k) != v]:
         raise ValueError(f"stale index: {stale} differ from the manifest")
     return vectors
+
+
+def upsert_index(path: str, vectors: DataFrame, model: str, corpus: str, checked_as: str | None = None) -> dict:
+    """Put vectors into an index, replacing those of the same chunk_id, and write its manifest anew.
+
+    The index must be the one of ``checked_as`` (default: the same corpus).  The merged rows are stored first, then
+    replace the old table; that last write is not atomic, and one that fails is to be repeated from the sources.
+    """
+    spark = vectors.sparkSession
+    old = read_index(spark, path, model, checked_as or corpus)
+    merged = stored(old.join(vectors.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(vectors))
+    if twice := merged.groupBy("chunk_id").count().where("count > 1").limit(3).collect():
+        raise ValueError(f"chunk_id given twice: {[r['chunk_id'] for r in twice]}")
+    return write_index(merged, path, model, corpus, recreate=True)
+
+
+def scroll(index: DataFrame, after: str | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows of an index by chunk_id, behind ``after`` (None: from the start)."""
+    rows = index if after is None else index.where(F.col("chunk_id") > F.lit(after))
+    return rows.orderBy("chunk_id").limit(limit)
