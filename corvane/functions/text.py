@@ -46,15 +46,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct k-word shingles of the plain form; a shorter text is one shingle, an empty one has none."""
+def _grams(text: Column, k: int) -> Column:
+    """The runs of k words of the plain form as structs w0, w1, ...; a shorter text is one, with nulls at its end."""
     words = F.split(plain_form(text), " ")
     # shifted copies side by side: a lambda over positions would split the text anew for each of them
     zipped = F.arrays_zip(*[F.slice(words, F.lit(i + 1), F.size(words)).alias(f"w{i}") for i in range(k)])
-    grams = F.transform(F.slice(zipped, F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(k)]))
+    return F.slice(zipped, F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
+
+
+def shingles(text: Column, k: int = 5) -> Column:
+    """Distinct k-word shingles of the plain form; a shorter text is one shingle, an empty one has none."""
+    grams = F.transform(_grams(text, k), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(k)]))
     return F.when(plain_form(text) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
+def shingle_hashes(text: Column, k: int = 5) -> Column:
+    """XXH64 of each distinct shingle's words, in order; an empty text is one shingle of an empty word."""
+    return F.sort_array(F.array_distinct(F.transform(_grams(text, k), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(k)]))))
+
+
 def document_id(path: Column) -> Column:
     """Slug of the file's stem, 40 characters at most, and 8 hex digits of the path's SHA-1."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")

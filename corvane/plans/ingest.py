@@ -43,7 +43,8 @@ def ingest(spark: SparkSession, source: str, target: str | None = None) -> dict[
     typed = blocks.join(documents.select("document_id", "document_type", "layout"), "document_id")
     own = ["filename", "relative_path", "topic_area", "document_type", "source", "professor", "module", "semester"]
     chunks = files.stored(chunk.chunk(typed).join(documents.select("document_id", *own), "document_id"))
-    duplicates, pairs, members = (files.stored(x) for x in (dedup.exact_duplicates(texts, "filename"), dedup.near_duplicate_pairs(texts), dedup.shingle_classes(texts)))
+    sets = dedup.shingle_sets(texts)
+    duplicates, pairs, members = (files.stored(x) for x in (dedup.exact_duplicates(texts, "filename"), dedup.near_duplicate_pairs(texts, sets=sets), dedup.shingle_classes(texts, sets=sets)))
     near = dedup.adjacency(pairs, members).select(F.col("doc_id").alias("document_id"), "n_near_duplicates", "near_duplicates")
     related = documents.join(duplicates.withColumnRenamed("doc_id", "document_id"), "document_id", "left").join(near, "document_id", "left")
     related = related.join(texts.select(F.col("doc_id").alias("document_id"), F.char_length("text").cast("long").alias("char_count")), "document_id", "left")

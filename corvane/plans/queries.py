@@ -186,7 +186,9 @@ ways as (select a as doc_id, b as other, relation from pairs union all select b,
 select doc_id, class_id, n_near_duplicates, neighbours from (select doc_id, cast(sum(n) as bigint) as n_near_duplicates, string_agg(other || ':' || relation || ':' || n, ',' order by other) as neighbours from named group by doc_id) join m using (doc_id)""")
 def near_dup_adjacency(spark, sf):
     """Each document's near duplicates, as classes with the number of documents in each; twins have each other."""
-    found = dedup.adjacency(dedup.near_duplicate_pairs(docs(spark, sf)), dedup.shingle_classes(docs(spark, sf)))
+    texts = docs(spark, sf)
+    sets = dedup.shingle_sets(texts)
+    found = dedup.adjacency(dedup.near_duplicate_pairs(texts, sets=sets), dedup.shingle_classes(texts, sets=sets))
     return found.select("doc_id", "class_id", "n_near_duplicates", F.array_join(F.transform("near_duplicates", lambda n: F.concat_ws(":", n["document_id"], n["relation"], n["documents"])), ",").alias("neighbours"))
 
 
@@ -428,8 +430,9 @@ def token_stats(spark, sf):
 @query(f"""with {_DOC_PAIRS}, dup as ({_EXACT}) select (select count(*) from documents) as documents, (select count(*) from dup) as duplicate_documents, (select cast(sum(length(text)) as bigint) from documents) as characters,
 (select count(*) from documents) as chunks, (select cast(sum(len({TOKENS})) as bigint) from documents) as chunk_tokens, (select count(*) from pairs) as near_duplicate_pairs""")
 def corpus_manifest(spark, sf):
-    d = described(spark, sf)
-    return quality.manifest(d, d.select("token_count"), dedup.near_duplicate_pairs(docs(spark, sf)), dedup.shingle_classes(docs(spark, sf)))
+    d, texts = described(spark, sf), docs(spark, sf)
+    sets = dedup.shingle_sets(texts)
+    return quality.manifest(d, d.select("token_count"), dedup.near_duplicate_pairs(texts, sets=sets), dedup.shingle_classes(texts, sets=sets))
 
 
 _FAULTY = """chunks as (select d.*, len(regexp_extract_all(text, '\\S+')) as tokens, case when doc_id % 11 = 0 then 'c0' else 'c' || doc_id end as chunk_id, case when doc_id % 13 = 0 then 'none' else 'd' || doc_id end as document_id,
