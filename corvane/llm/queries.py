@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, embed_dedup, html_extract, language, line_dedup, mixing, packing, shard, simhash, token_counts
+from corvane.llm import ann, clustering, collocations, embed_dedup, html_extract, language, line_dedup, mixing, packing, shard, simhash, token_counts, token_files
 
 SHARDS = 40
 
@@ -71,6 +71,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(_table(spark, sf_dir, "embeddings")).drop("measured")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_files(token_files.write_files(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ann_posting_lists, op2_interleaved_shards, op3_line_dedup, op4_source_mix, op5_binary_packing, op6_embedding_dedup, op7_simhash, op8_token_counts, op9_language_id, op10_html_text, pipeline)
+    own = (op1_ann_posting_lists, op2_interleaved_shards, op3_line_dedup, op4_source_mix, op5_binary_packing, op6_embedding_dedup, op7_simhash, op8_token_counts, op9_language_id, op10_html_text, op11_phrase_collocations, op12_centroid_clusters, op13_token_files, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -109,4 +121,4 @@ from embeddings e left join (select a, count(*) as n from links group by a) n on
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; op1 is approximate, and the others need XXH64, CRC-32, tokenizers or a DOM."""
-    return {"op3_line_dedup": _OP3, "op4_source_mix": mixing.ORACLE_SQL, "op6_embedding_dedup": _OP6}
+    return {"op3_line_dedup": _OP3, "op4_source_mix": mixing.ORACLE_SQL, "op6_embedding_dedup": _OP6, "op11_phrase_collocations": collocations.ORACLE_SQL, "op12_centroid_clusters": clustering.ORACLE_SQL}
