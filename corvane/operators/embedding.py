@@ -1,4 +1,6 @@
-"""Texts to unit vectors by an injected model: what a model needs is a Spec; empty and over-long inputs are refused."""
+"""Texts to unit vectors by an injected model: what a model needs is a Spec; empty and over-long inputs are refused.
+
+An index of such vectors is built with its figures observed while it is written."""
 
 from __future__ import annotations
 
@@ -7,7 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import functions as F
+
+from corvane.sources import versions
+from corvane.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -33,23 +39,28 @@ class Registry(dict[str, Spec]):
         raise ValueError(f"unknown model {name!r}; known: {sorted(self)}")
 
 
+EMBEDDED = "chunk_id string, vector array<float>, n_tokens int, error string"
+
+
 def embed(rows: DataFrame, spec: Spec, tokens: Callable[[str], int], model: Callable[[Sequence[str]], np.ndarray], query: bool = False) -> DataFrame:
-    """rows(chunk_id, text) -> (chunk_id, vector, error): a vector of length one, or why there is none.
+    """rows(chunk_id, text) -> (chunk_id, vector, n_tokens, error): a vector of length one, or why there is none.
 
     Inputs that are null, blank or longer than the model takes are refused, never cut; a vector that is not of the
-    model's length, not finite or zero is an error of its row, and the others go on.
+    model's length, not finite or zero is an error of its row, and the others go on.  The model gets the texts of a batch
+    together; where that fails, one by one.
     """
     prefix = spec.query_prefix if query else spec.document_prefix
 
-    def one(text: str | None) -> tuple[list[float] | None, str | None]:
-        if text is None or not text.strip():
-            return None, "empty input"
-        if (n := tokens(prefix + text)) > spec.max_tokens:
-            return None, f"input has {n} tokens, {spec.name} takes {spec.max_tokens}"
+    def called(texts: list[str]) -> list[np.ndarray | str]:
         try:
-            vector = np.asarray(model([prefix + text]), np.float64).reshape(-1)
+            found = list(np.asarray(model(texts), np.float64).reshape(len(texts), -1))
         except Exception as e:  # noqa: BLE001  the row says so
-            return None, f"{type(e).__name__}: {e}"
+            return [f"{type(e).__name__}: {e}"] if len(texts) == 1 else [x for t in texts for x in called([t])]
+        return found
+
+    def checked(vector: np.ndarray | str) -> tuple[list[float] | None, str | None]:
+        if isinstance(vector, str):
+            return None, vector
         length = float(np.linalg.norm(vector))
         if len(vector) != spec.dim or not np.isfinite(length) or not length:
             return None, f"the model gave no vector of {spec.dim} finite numbers"
@@ -57,7 +68,27 @@ def embed(rows: DataFrame, spec: Spec, tokens: Callable[[str], int], model: Call
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [one(t) for t in part["text"]]
-            yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": [v for v, _ in found], "error": [e for _, e in found]})
+            texts = [None if t is None or not t.strip() else prefix + t for t in part["text"]]
+            sizes = [0 if t is None else tokens(t) for t in texts]
+            found = [(None, "empty input" if t is None else f"input has {n} tokens, {spec.name} takes {spec.max_tokens}") for t, n in zip(texts, sizes, strict=True)]
+            good = [i for i, (t, n) in enumerate(zip(texts, sizes, strict=True)) if t is not None and n <= spec.max_tokens]
+            for i, vector in zip(good, called([texts[i] for i in good]) if good else [], strict=True):
+                found[i] = checked(vector)
+            yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": [v for v, _ in found], "n_tokens": sizes, "error": [e for _, e in found]})
 
-    return rows.select("chunk_id", "text").mapInPandas(run, "chunk_id string, vector array<float>, error string")
+    return rows.select("chunk_id", "text").mapInPandas(run, EMBEDDED)
+
+
+def build_index(chunks: DataFrame, path: str, spec: Spec, tokens: Callable[[str], int], model: Callable[[Sequence[str]], np.ndarray], corpus: str, recreate: bool = False) -> tuple[Row, DataFrame, dict[str, int]]:
+    """(manifest, failures, figures) of an index of chunks(chunk_id, text, payload...), whose text is not in the payload.
+
+    The model runs once: its rows are written with their figures observed on the way, then those with a vector become the
+    index and the others failures(chunk_id, error).  Figures: rows, failures, longest, over_512 and over_max inputs in tokens.
+    """
+    seen = Observation()
+    count = lambda c: F.count_if(c)
+    figures = [F.count(F.lit(1)).alias("rows"), count(F.col("error").isNotNull()).alias("failures"), F.max("n_tokens").alias("longest"), count(F.col("n_tokens") > 512).alias("over_512"), count(F.col("n_tokens") > spec.max_tokens).alias("over_max")]
+    done = stored(embed(chunks, spec, tokens, model).observe(seen, *figures))
+    found = {k: v or 0 for k, v in seen.get.items()}
+    rows = done.where("error is null").select("chunk_id", "vector").join(chunks.drop("text"), "chunk_id")
+    return versions.create(rows, path, spec.name, corpus, recreate), done.where("error is not null").select("chunk_id", "error"), found

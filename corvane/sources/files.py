@@ -1,4 +1,4 @@
-"""Files in and out: scans, loaders for text, Markdown, DOCX and PPTX, chunk files, vector tables with a manifest.
+"""Files in and out: scans, loaders for text, Markdown, DOCX and PPTX, chunk files.
 
 PDF and binary PowerPoint need libraries that are not at hand: give their extracted lines as JSON in the LINES schema.
 """
@@ -6,9 +6,8 @@ PDF and binary PowerPoint need libraries that are not at hand: give their extrac
 from __future__ import annotations
 
 import io
+import posixpath
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.lines import MONOSPACE, is_code
 from corvane.functions.text import document_id, text_hash, topic_area
+from corvane.sources.shared import stored  # noqa: F401  for callers of this module
 from corvane.sources.slides import pptx_lines
 
 SUPPORTED = ("pdf", "pptx", "ppt", "docx", "txt", "md")
@@ -142,68 +142,12 @@ def load_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.drop("__bad")
 
 
+def resolved(path: str) -> str:
+    """A path without its scheme, dot parts and doubled slashes; a relative one below the working folder."""
+    return posixpath.abspath(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", path))
+
+
 def guard_output(source: str, target: str) -> None:
-    a, b = (x.rstrip("/") + "/" for x in (source, target))
+    a, b = (resolved(x).rstrip("/") + "/" for x in (source, target))
     if b.startswith(a):
         raise ValueError("the output folder must not be inside the source")
-
-
-def stored(table: DataFrame) -> DataFrame:
-    """table written below spark.checkpoint.dir, which a cluster must name, and read back: what several steps read is made once."""
-    spark = table.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/corvane/{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
-def digest(table: DataFrame, columns: list[str]) -> str:
-    """A digest of rows that does not depend on their order: count and XOR of two row hashes."""
-    row = table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns)), F.bit_xor(F.xxhash64(F.lit(1), *columns))).first()
-    return ":".join(str(x) for x in row)
-
-
-def write_index(vectors: DataFrame, path: str, model: str, corpus: str, recreate: bool = False) -> dict:
-    """Write (chunk_id, vector, payload...) and a manifest; refuses to replace an index unless told to."""
-    vectors.write.mode("overwrite" if recreate else "errorifexists").parquet(f"{path}/vectors")
-    stored = vectors.sparkSession.read.parquet(f"{path}/vectors")
-    n, dim = stored.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    manifest = {"model": model, "corpus": corpus, "rows": n, "dim": dim, "digest": digest(stored, ["chunk_id", "vector"])}
-    vectors.sparkSession.createDataFrame([manifest]).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
-
-
-def read_index(spark: SparkSession, path: str, model: str, corpus: str) -> DataFrame:
-    """The vectors, if the manifest agrees with what is asked and what is stored; raises on a stale index."""
-    manifest = spark.read.json(f"{path}/manifest").first().asDict()
-    vectors = spark.read.parquet(f"{path}/vectors")
-    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    now = {"model": model, "corpus": corpus, "rows": n, "dim": dim, "digest": digest(vectors, ["chunk_id", "vector"])}
-    if stale := [k for k, v in now.items() if manifest.get(k) != v]:
-        raise ValueError(f"stale index: {stale} differ from the manifest")
-    return vectors
-
-
-def upsert_index(path: str, vectors: DataFrame, model: str, corpus: str, checked_as: str | None = None) -> dict:
-    """Put vectors into an index, replacing those of the same chunk_id, and write its manifest anew.
-
-    The index must be the one of ``checked_as`` (default: the same corpus).  The merged rows are stored first, then
-    replace the old table; that last write is not atomic, and one that fails is to be repeated from the sources.
-    """
-    spark = vectors.sparkSession
-    old = read_index(spark, path, model, checked_as or corpus)
-    merged = stored(old.join(vectors.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(vectors))
-    if twice := merged.groupBy("chunk_id").count().where("count > 1").limit(3).collect():
-        raise ValueError(f"chunk_id given twice: {[r['chunk_id'] for r in twice]}")
-    return write_index(merged, path, model, corpus, recreate=True)
-
-
-def scroll(index: DataFrame, after: str | None, limit: int) -> DataFrame:
-    """The next ``limit`` rows of an index by chunk_id, behind ``after`` (None: from the start)."""
-    rows = index if after is None else index.where(F.col("chunk_id") > F.lit(after))
-    return rows.orderBy("chunk_id").limit(limit)

@@ -168,20 +168,6 @@ def test_analysis_of_two_objects(spark):
     assert one(spark, dialogue.analysis, '{"level":"solid"} then {"level":"partial"}').level == "unclear"
 
 
-def test_stale_index(spark, tmp_path):
-    from corvane.sources import files
-
-    path, rows = str(tmp_path / "i"), [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
-    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
-    files.write_index(vectors, path, "m", "c")
-    assert files.read_index(spark, path, "m", "c").count() == 2
-    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
-        files.write_index(vectors, path, "m", "c")
-    spark.createDataFrame([("a", [1.0, 2.5]), ("b", [3.0, 4.0])], vectors.schema).write.mode("overwrite").parquet(f"{path}/vectors")
-    with pytest.raises(ValueError, match="digest"):
-        files.read_index(spark, path, "m", "c")
-
-
 def test_ingest(spark, tmp_path):
     from corvane.plans.ingest import ingest
 

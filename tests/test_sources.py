@@ -63,23 +63,6 @@ def test_slides(spark):
     assert [(r.unit_kind, r.error is None) for r in found if r.document_id != "d1"] == [("section", False), ("section", True)]
 
 
-def test_index_grows(spark, tmp_path):
-    table = lambda rows: spark.createDataFrame(rows, "chunk_id string, vector array<double>")
-    path = str(tmp_path / "index")
-    files.write_index(table([("a", [1.0]), ("b", [2.0])]), path, "m", "c1")
-    manifest = files.upsert_index(path, table([("b", [3.0]), ("c", [4.0])]), "m", "c2", checked_as="c1")
-    assert manifest["rows"] == 3
-    index = files.read_index(spark, path, "m", "c2")
-    assert {r.chunk_id: r.vector for r in index.collect()} == {"a": [1.0], "b": [3.0], "c": [4.0]}
-    assert [r.chunk_id for r in files.scroll(index, None, 2).collect()] == ["a", "b"]
-    assert [r.chunk_id for r in files.scroll(index, "b", 2).collect()] == ["c"]
-    with pytest.raises(ValueError, match="stale"):
-        files.upsert_index(path, table([("d", [1.0])]), "other", "c2")
-    with pytest.raises(ValueError, match="twice"):
-        files.upsert_index(path, table([("d", [1.0]), ("d", [2.0])]), "m", "c2")
-    assert files.read_index(spark, path, "m", "c2").count() == 3
-
-
 def test_embed(spark):
     spec = embedding.Spec("toy", 2, 4, "doc: ")
 
