@@ -40,7 +40,7 @@ from corvane.llm.packing import encoder_for
 END_ID = 2
 MAGIC = b"TOKDAC01"
 HEAD, LEVEL, BLOCK, WIDEST = struct.Struct("<8sqqi"), struct.Struct("<iq"), 512, 16
-FILE_TOKENS, RANGE_BYTES = 4 << 20, 8 << 20
+FILE_TOKENS, RANGE_BYTES, TEXT_BYTES, RUN = 4 << 20, 8 << 20, 8 << 20, 1 << 18
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -81,13 +81,16 @@ def widths_for(lengths: np.ndarray) -> list[int]:
 
 def encode(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
     """A file of the documents whose ids end at ``ends``."""
-    bits = np.zeros(len(ids), np.int64)
-    for k in range(32):
-        bits[ids >> np.uint32(k) > 0] = k + 1
-    rest, levels = ids.astype(np.uint64), []
-    widths = widths_for(np.bincount(np.maximum(bits, 1), minlength=33))
+    if len(ids) and ids.max() < 1 << 20:  # lengths of the few different ids
+        lengths = np.bincount(np.frexp(np.arange(1 << 20, dtype=np.float64))[1], np.bincount(ids, minlength=1 << 20), minlength=33)
+    else:
+        lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=33).astype(float)
+    lengths[1] += lengths[0]
+    lengths[0] = 0
+    rest, levels = ids, []
+    widths = widths_for(lengths)
     for i, width in enumerate(widths):
-        chunks, rest = rest & np.uint64((1 << width) - 1), rest >> np.uint64(width)
+        chunks, rest = rest & np.uint32((1 << width) - 1), rest >> np.uint32(width)
         parts = [_pack(chunks, width)]
         if i < len(widths) - 1:
             on = rest > 0
@@ -170,11 +173,16 @@ class TokenFile:
         return out
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(document id, position, ids) of each document."""
-        at = 0
-        for doc, end in zip(self.doc_ids.tolist(), self.ends.tolist(), strict=True):
-            yield doc, at, self.range(at, end)
-            at = end
+        """(document id, position, ids) of each document; neighbours are read together, some RUN ids at a time."""
+        first = 0
+        while first < len(self.ends):
+            at = start = int(self.ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(self.ends, start + RUN, side="right")))
+            held = self.range(start, int(self.ends[last - 1]))
+            for doc, end in zip(self.doc_ids[first:last].tolist(), self.ends[first:last].tolist(), strict=True):
+                yield doc, at, held[at - start : end - start]
+                at = end
+            first = last
 
 
 def _store(uri: str) -> tuple:
@@ -193,6 +201,18 @@ def _read(uri: str, check: bool = True) -> TokenFile:
         return TokenFile(source.read(), check)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Record batches put together to about ``most`` bytes: words that they share are looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_files(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None, file_tokens: int = FILE_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Write the files and return their manifest, itself written: (part, number, path, start, documents, tokens)."""
     spark = docs.sparkSession
@@ -218,7 +238,7 @@ def write_files(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
             kept, number = [], number + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in small_batches(batches, 1, 2 << 20):
+        for batch in small_batches(gathered(batches, TEXT_BYTES), 1, TEXT_BYTES):
             ids, ends = encoder.encode(batch.column(1).cast(pa.string()))
             closed = np.insert(ids, ends, np.uint32(end_id))
             kept.append((batch.column(0).to_numpy(), np.diff(ends, prepend=0) + 1, closed))
