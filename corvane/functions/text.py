@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.lines import BULLET, CODE, ENUMERATED
+
 TOKEN = "[a-z0-9]+(?:_[a-z0-9]+)*"
 WORD = "[A-Za-z]+(?:-[A-Za-z]+)*"
 
@@ -24,6 +26,19 @@ def repair_glyphs(text: Column) -> Column:
     return F.translate(text, "".join(GLYPHS_ONE_TO_ONE) + GLYPHS_DROPPED, "".join(GLYPHS_ONE_TO_ONE.values()))
 
 
+def code_like(text: Column) -> Column:
+    """Whether a line looks like one of a C-like language: a sign of code, and none of prose, a bullet or a numbered item.
+
+    Prose has over 14 words without ; or {, or six words or more that end with a full stop.
+    """
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    words = F.size(F.split(bare, r"\s+"))
+    sentence = F.endswith(bare, F.lit(".")) & (words >= 6)
+    wordy = (words > 14) & ~F.contains(bare, F.lit(";")) & ~F.contains(bare, F.lit("{"))
+    item = bare.rlike(BULLET.pattern) | bare.rlike("(?i)" + ENUMERATED.pattern)
+    return F.coalesce(bare.rlike("(?i)" + CODE.pattern) & ~sentence & ~wordy & ~item, F.lit(False))
+
+
 def squeeze(text: Column) -> Column:
     """White space collapsed to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"[\s]+", " "))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 from xml.etree.ElementTree import Element
 
-from corvane.functions.lines import MONOSPACE, is_code
+from corvane.functions.lines import MONOSPACE
 
 A, P = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -70,8 +70,8 @@ def _paragraphs(shape: Element) -> list[Element]:
     return shape.findall(f"{P}txBody/{A}p")
 
 
-def _line(no: int, text: str, kind: str, level: int = 0, para_break: str = "para") -> dict:
-    return {"text": text, "kind": kind, "level": level, "para_break": para_break, "unit": no, "unit_kind": "slide"}
+def _line(no: int, text: str, kind: str, level: int = 0, para_break: str = "para", raw: str | None = None) -> dict:
+    return {"text": text, "kind": kind, "level": level, "para_break": para_break, "unit": no, "unit_kind": "slide", "raw": raw}
 
 
 def _body(no: int, shape: Element, title: str | None) -> Iterator[dict]:
@@ -87,7 +87,7 @@ def _body(no: int, shape: Element, title: str | None) -> Iterator[dict]:
         mono = bool(fonts) and all(f is not None and MONOSPACE.search(f.get("typeface", "")) for f in fonts)
         properties = p.find(f"{A}pPr")
         level = 0 if properties is None else int(properties.get("lvl", 0))
-        yield _line(no, text, "code", level, "wrap") if mono or is_code(text) else _line(no, _squeezed(text), "bullet", level)
+        yield _line(no, text, "code", level, "wrap") if mono else _line(no, _squeezed(text), "bullet", level, raw=text)
 
 
 def pptx_lines(content: bytes) -> Iterator[dict]:
@@ -120,3 +120,23 @@ def pptx_lines(content: bytes) -> Iterator[dict]:
                 spoken = [whole(s) for s in _shapes(package.part(links["notesSlide"]).find(f"{P}cSld/{P}spTree")) if (_placeholder(s) or ("",))[0] == "body"]
                 if notes := "\n".join(filter(None, spoken)):
                     yield _line(no, notes, "notes")
+
+
+def _boxes(package: Package, name: str) -> Iterator[Element]:
+    yield from _shapes(package.part(name).find(f"{P}cSld/{P}spTree"))
+
+
+def deck_details(content: bytes) -> tuple[str, list[tuple[int, int]]]:
+    """(lines of text of the masters and their layouts, prompts and repeats left out; (slide, pictures) of each slide)."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        package = Package(archive)
+        deck = package.part("ppt/presentation.xml")
+        links = package.links("ppt/presentation.xml")
+        parts = {key: part for key, _, part in links}
+        said: dict[str, None] = {}
+        for master in (part for _, kind, part in links if kind == "slideMaster"):
+            for name in (master, *[part for _, kind, part in package.links(master) if kind == "slideLayout"]):
+                texts = (_squeezed("\n".join(map(_text, _paragraphs(s)))) for s in _boxes(package, name))
+                said |= dict.fromkeys(t for t in texts if t and not t.lower().startswith("click"))
+        slides = [parts[e.get(LINK)] for e in deck.iterfind(f"{P}sldIdLst/{P}sldId")]
+        return "\n".join(said), [(no, sum(s.tag == f"{P}pic" for s in _boxes(package, name))) for no, name in enumerate(slides, 1)]

@@ -7,12 +7,43 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions.lines import is_code
 from corvane.operators import assessment, chunk, clean, dedup, dialogue, metrics, quality, retrieval
 from corvane.sources import files
 from corvane.streaming.sessions import stream_states
 
 
+CODE = ["int x = 1;", "  {", "}", "#define N 3", "while (x)", "a = b + c", "foo(); // why", "return", "x += 1", "} else", "for (;;) { a b c d e f g h i j k l m n o p"]
+PROSE = ["This is a long sentence about locks.", "", "  ", "• int x;", "1) int x;", "a. return", "see http://x.org", "for example the lock", "one two three four five six;.", "if (a) b c d e f g h i j k l m n o", None]
+
+
+def test_code_like(spark):
+    rows = spark.createDataFrame([(t,) for t in CODE + PROSE], "t string").select("t", T.code_like(F.col("t")).alias("c")).collect()
+    assert [(r.t, r.c) for r in rows] == [(t, True) for t in CODE] + [(t, False) for t in PROSE]
+
+
+def test_text_loader(spark):
+    text = "# Title \n\nfirst line\r\nsecond\n```c\n\n  int x;\n# no heading\n```\nafter\nint y;\nend\n\n### Deep\nlast"
+    rows = spark.createDataFrame([("a", text.encode()), ("b", b""), ("c", b"bad \xff byte"), ("d", b"```\nopen")], "document_id string, content binary")
+    got = {}
+    for r in files.text_lines(rows).orderBy("document_id", "line").collect():
+        got.setdefault(r.document_id, []).append((r.kind, r.text, r.level, r.para_break))
+    assert got["a"] == [
+        ("heading", "Title", 1, "para"), ("text", "first line", 0, "para"), ("text", "second", 0, "wrap"), ("code", "", 0, "wrap"), ("code", "  int x;", 0, "wrap"),
+        ("code", "# no heading", 0, "wrap"), ("text", "after", 0, "para"), ("code", "int y;", 0, "wrap"), ("text", "end", 0, "wrap"), ("heading", "Deep", 3, "para"), ("text", "last", 0, "para"),
+    ]
+    assert got["c"] == [("text", "bad \ufffd byte", 0, "para")] and got["d"] == [("code", "open", 0, "wrap")] and "b" not in got
+
+
+def test_marked_markdown(spark):
+    rows = [("d", 0, "section", 0, "heading", "T", 9), ("d", 0, "section", 1, "list_item", "a", 0), ("d", 0, "section", 2, "list_item", "b", 1), ("s", 1, "slide", 0, "notes", "n", 0), ("s", 2, "slide", 0, "code", "x;", 0), ("s", 2, "slide", 1, "paragraph", "p", 0)]
+    blocks = spark.createDataFrame(rows, clean.BLOCKS)
+    docs = spark.createDataFrame([("d", "d.md"), ("s", "s.pptx"), ("e", "e.txt")], "document_id string, filename string")
+    got = dict(clean.marked_markdown(blocks, docs).collect())
+    assert got["d"] == "<!-- d.md -->\n\n<!-- section -->\n###### T\n\n- a\n  - b\n"
+    assert got["s"] == "<!-- s.pptx -->\n\n<!-- slide 1 -->\nSpeaker notes: n\n\n<!-- slide 2 -->\n```\nx;\n```\n\np\n" and got["e"] == "<!-- e.txt -->\n"
+    assert dict(clean.markdown(blocks).collect())["s"] == "Speaker notes: n\n\n```\nx;\n```\n\np"
+
+
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "x string").select(column(F.col("x"))).first()[0]
 
@@ -125,7 +156,6 @@ def test_clean_and_chunk():
     row = lambda text, kind="text", brk="para", **k: {"text": text, "kind": kind, "level": k.get("level", 0), "para_break": brk, "x0": None, "cw": None}
     got = clean.assemble([row("A multi-"), row("thread test", brk="wrap"), row("1. item", brk="wrap"), row("x;", "code"), row("go on"), row("y;", "code"), row("• one")], set(), True)
     assert [(b["type"], b["text"]) for b in got] == [("paragraph", "A multithread test"), ("paragraph", "1. item"), ("code", "x;\ngo on\ny;"), ("list_item", "one")]
-    assert is_code("int x = 1;") and not is_code("This is a long sentence about locks.")
     block = lambda kind, text, level=0: {"type": kind, "text": text, "level": level, "unit": 1, "unit_kind": "page"}
     long = "word " * 100
     chunks = chunk.chunk_blocks("d", [block("heading", "Tiny intro", 1), block("heading", "Big section", 2), *[block("paragraph", long.strip())] * 12])
