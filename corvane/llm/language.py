@@ -94,13 +94,15 @@ class TrigramModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> TrigramModel:
-    """Fit on about ``sample`` labelled rows and EACH of every language (or all it has); the driver gets counts, bounded by codes and languages, never texts."""
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.lower(F.col(label_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit(23), id_col).alias("h"))
+    """Fit on about ``sample`` labelled rows and EACH of every language (or all it has), drawn by id and text, so ids that
+    are null or repeat do not matter; wholly equal rows are one.  The driver gets counts, bounded by codes and languages,
+    never texts."""
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.lower(F.col(label_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit(23), id_col, F.col(text_col).cast("string")).alias("h"))
     counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")))
     rows = max(1, int(counts.agg(F.sum("n")).first()[0] or 0))
     enough = counts.where(F.col("n") >= min(LEAST, max(1, rows // 50)))
     languages = sorted(r[0] for r in enough.select("lang").collect())
-    drawn = materialise(labelled.join(F.broadcast(enough), "lang").where(F.pmod("h", F.lit(rows)) < F.greatest(F.lit(float(sample)), EACH * F.lit(float(rows)) / F.col("n"))).select("lang", "t"))
+    drawn = materialise(labelled.join(F.broadcast(enough), "lang").where(F.pmod("h", F.lit(rows)) < F.greatest(F.lit(float(sample)), EACH * F.lit(float(rows)) / F.col("n"))).dropDuplicates(["lang", "h"]).select("lang", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1, 1 << 20):
@@ -115,6 +117,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(np.concatenate([counts[at], letters[to]]))], ["lang", "code", "n"])
 
     table = drawn.select("lang", F.col("t").cast("binary").alias("t")).mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted({*languages} & set(table.column("lang").to_pylist()))  # one that drew no trigram has no model, and none is accepted as it
     counts, letters = np.zeros((len(languages), CODES)), np.zeros(256)
     lang, code, n = (np.array(table.column(k).to_pylist()) for k in ("lang", "code", "n"))
     for k, name in enumerate(languages):

@@ -556,3 +556,23 @@ def test_parity_bound():
         a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
         assert jaccard.differing(jaccard.parity(a), jaccard.parity(b)) <= n + m - 2 * both
         assert jaccard.differing(jaccard.parity(a), jaccard.parity(a)) == 0
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_language_without_distinct_ids(spark, id_):
+    """The sample does not hang on ids: a model fitted on rows without them is as right."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs.withColumn("doc_id", F.lit(id_).cast("long")))
+    assert set(model.languages) == {"de", "en", "es", "fr"} and np.ptp(model.logs, axis=1).min() > 1
+    rows = docs.where("doc_id % 20 = 3").withColumn("own", F.col("lang")).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    found = language.identify(language.document_evidence(rows), model).join(rows.select(F.col("doc_id").alias("id"), "own"), "id")
+    assert found.where("lang = own").count() > 0.97 * found.count()
+
+
+def test_language_of_one_text(spark):
+    """Copies of one row are drawn once; where nothing is drawn, nothing is accepted."""
+    rows = spark.createDataFrame([(None, "the same words again and again", "en", "a", 1)] * 300, SCHEMA)
+    model = language.fit(rows)
+    assert model.languages in ([], ["en"]) and (not model.languages or np.ptp(model.logs[0]) > 1)
+    blank = language.fit(spark.createDataFrame([(i, "12 34", "en", "a", 1) for i in range(50)], SCHEMA))
+    assert language.identify(language.document_evidence(rows), blank).where("accepted").count() == 0 or blank.languages == ["en"]
