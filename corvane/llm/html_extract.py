@@ -51,7 +51,7 @@ SENT, SALTS = 1 << 20, 32
 # Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math canvas object select option noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg math canvas object select option noframes button".split())
 TO_END = frozenset("script style title textarea".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -60,7 +60,7 @@ HEAD_TAGS = frozenset("head base basefont bgsound link meta noframes noscript sc
 HEADINGS = frozenset("h1 h2 h3".split())
 
 # What an element's tag, role, id or class says it is.
-DROP_TAGS = frozenset("nav aside footer form menu dialog button head".split())
+DROP_TAGS = frozenset("nav aside footer form menu dialog head".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NAMES = frozenset("""
     ad ads adv advert adverts advertisement advertising ad-box ad-slot ad-container ad-wrapper adsbygoogle sponsor sponsored promo promotion
@@ -74,9 +74,15 @@ LAST_WORDS = frozenset("ad ads advert adverts advertisement banner popup modal o
 NOT_SO = frozenset("has have no not with without hide hidden is article entry post content main".split())
 COMMENTS = frozenset("comment comments comment-list commentlist comment-thread comments-area comments-section comment-section user-comments reader-comments disqus disqus_thread respond comment-respond replies reply-list".split())
 #: Names that, inside an article, are often the article's own.
-OWN_IN_ARTICLE = frozenset("header page-header banner notice notices alert tags tag-list skip search rail promotion adv consent cookie cookies".split())
-TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+OWN_IN_ARTICLE = frozenset("header page-header banner notice notices alert tags tag-list skip search rail promotion adv consent cookie cookies related".split())
+TITLED = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP_TAGS = frozenset("html body main".split())
+#: Elements that may hold a whole page, as forms of some servers do; what a field of a form counts against its text.
+AROUND, FIELDS, FIELD = frozenset("form menu aside".split()), frozenset("input select textarea button".split()), 40
+#: How far above an element its pre or code may be.
+CODE_DEPTH = 8
+NUMBER = re.compile(r"\d+")
+HIDDEN = re.compile(r"""\btype\s*=\s*["']?hidden""", re.I)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(id|class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -96,19 +102,25 @@ def _is_name(token: str, inside: bool) -> bool:
 
 
 def kind_of(tag: str, said: dict[str, str], inside: bool) -> int:
-    """What tag, role, id and class say of an element: nothing, boilerplate by meaning or by name, or reader comments."""
+    """What tag, role, id and class say of an element: nothing, boilerplate by meaning or by name, or reader comments.
+
+    Headings have no names, and elements within a line are no comments.  The id of a section is made from its title more
+    often than not, as are ids inside an article: they count where they are a name as a whole.
+    """
     if tag in KEEP_TAGS:
         return PLAIN
-    tokens = said.get("class", "").lower().split()
-    if not inside and tag not in TITLED:  # the id of a section or heading is made from its title
-        tokens += said.get("id", "").lower().split()
-    if any(t in COMMENTS for t in tokens) or (tag not in TITLED and said.get("id", "").lower() in COMMENTS):
+    names, own = said.get("class", "").lower().split(), said.get("id", "").lower()
+    if tag in TITLED:
+        names, own = [], ""
+    if tag not in INLINE and COMMENTS.intersection((*names, own)):
         return COMMENT
     if tag == "article":
         return PLAIN
     if tag in DROP_TAGS or (tag == "header" and not inside) or said.get("role", "").lower() in DROP_ROLES:
         return SEMANTIC
-    return NAMED if any(_is_name(t, inside) for t in tokens) else PLAIN
+    whole = inside or tag == "section"
+    named = any(_is_name(t, inside) for t in names) or (own in NAMES - OWN_IN_ARTICLE if whole else any(_is_name(t, False) for t in own.split()))
+    return NAMED if named else PLAIN
 
 
 class Page:
@@ -117,6 +129,7 @@ class Page:
     def __init__(self, source: str | None, names: bool = True) -> None:
         self.tag, self.parent, self.path, self.depth = [""], [0], [0], [0]
         self.kind, self.inside, self.closed, self.inline = [PLAIN], [-1], [True], [False]
+        self.fields = [0]  # of each element: what it holds to be filled in
         self.children: list[list[str]] = [[]]  # of each element: the styles of what it holds, in order
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(source or "", names)
@@ -127,10 +140,11 @@ class Page:
         for i in range(len(self.tag) - 1, 0, -1):
             self.size[self.parent[i]] += self.size[i]
             self.linked[self.parent[i]] += self.linked[i]
+            self.fields[self.parent[i]] += self.fields[i]
         self._judge()
 
     def _open(self, tag: str, parent: int, said: dict[str, str], inline: bool, kind: int) -> int:
-        key = f"{tag}#{said.get('id', '')}.{said.get('class', '')}"
+        key = NUMBER.sub("0", f"{tag}#{said.get('id', '')}.{said.get('class', '')}")  # numbered ids are one style
         deep = inline or self.depth[parent] >= DEPTH
         at = len(self.tag)
         self.tag.append(tag)
@@ -141,6 +155,7 @@ class Page:
         self.inside.append(at if tag in ("article", "main") and self.inside[parent] < 0 and kind != COMMENT else self.inside[parent])
         self.closed.append(False)
         self.inline.append(inline)
+        self.fields.append(0)
         self.children.append([])
         if not inline and self.children[parent][-1:] != [key]:
             self.children[parent].append(key)
@@ -208,6 +223,8 @@ class Page:
                 parts.append(" ")
             if inline:
                 layout.append(tag)
+            if tag in FIELDS and not HIDDEN.search(attributes):
+                self.fields[stack[-1][1]] += 1
             if tag in RAW:
                 if tag in TO_END or (tag not in unclosed and not attributes.rstrip().endswith("/")):
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -233,7 +250,8 @@ class Page:
                     break
             _, parent, link = stack[-1]
             said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-            kind = kind_of(tag, said, self.inside[parent] >= 0) if names or tag == "head" else PLAIN
+            in_code = tag in ("pre", "code") or any(t in ("pre", "code") for t, _, _ in stack[-CODE_DEPTH:])
+            kind = kind_of(tag, {} if in_code else said, self.inside[parent] >= 0) if names or tag == "head" else PLAIN
             if inline and kind == PLAIN:
                 stack.append((tag, parent, link or tag == "a"))
                 continue
@@ -262,8 +280,9 @@ class Page:
             elif self.gone[up]:
                 self.gone[i] = True
             elif kind == SEMANTIC:
-                # one that is never closed and has most of the page is a menu with the page after it
-                leaky[i] = not self.closed[i] and not self.regions and 2 * self.size[i] > self.size[0] and not heavy and self.tag[i] != "head"
+                # one that is never closed and has most of the page is a menu with the page after it; a form may be around it
+                open_ = not self.closed[i] or (self.tag[i] in AROUND and self.size[i] > FIELD * self.fields[i])
+                leaky[i] = open_ and not self.regions and 2 * self.size[i] > self.size[0] and not heavy and self.tag[i] != "head"
                 self.gone[i] = not leaky[i]
             elif kind == NAMED:
                 around = self.inside[i] if self.inside[i] >= 0 else 0

@@ -134,3 +134,27 @@ def test_names_are_a_prior():
     assert text_of("<main><div class=menu><a>a</a> <a>b</a></div><h1>T</h1><p>text</p></main>") == ["T", "text"]
     assert text_of("<div class='site-footer'>f</div><div class='banner'>All of the article is in here, oddly</div>x") == ["All of the article is in here, oddly", "x"]
     assert text_of("<p>post</p><div id=comments><article class=comment>a long comment of a reader</article></div>") == ["post"]
+
+
+def test_forms_around_pages():
+    assert text_of('<body><form id="form1"><input type=hidden name=v><div><h1>T</h1><p>Body of the page</p></div></form>') == ["T", "Body of the page"]
+    assert text_of("<aside><p>All of a page that stands in an aside</p></aside>") == ["All of a page that stands in an aside"]
+    assert text_of("<form>Name <input> Mail <input> <textarea></textarea></form>") == []
+    assert text_of("<p>A page</p><form>Search <input></form>") == ["A page"]
+    assert text_of("<form><div><a href=x>Home</a> <a href=y>Shop</a></div></form>") == []
+    assert text_of("<form><article><p>x</article><p>y</form>") == ["x"]
+    assert text_of("Click <button>OK</button> now") == ["Click now"]
+
+
+def test_comments_and_code():
+    assert text_of("<article><p>x</p><section id='comments'><p>c</section></article><section id=comments>d</section>") == ["x"]
+    assert text_of("<p>x</p><section id=newsletter>n</section><section id='newsletter-design'>d</section>") == ["x", "d"]
+    assert text_of('code <span class="comment">/* why */</span> end') == ["code /* why */ end"]
+    assert text_of('<pre class="comment">a <span class="nav">b</span> <span class=ad>c</span></pre>') == ["a b c"]
+    assert text_of("<article><h2 class='menu'>The menu</h2><p>text</p><div class='related'>own</div><div id=ad>no</div><div id=sidebar>no</div></article>") == ["The menu", "text", "own"]
+
+
+def test_numbered_pages_of_a_host(spark):
+    """A strip that is on every page goes though ids and body classes are numbered."""
+    rows = [(i, "http://n.org/", f'<body class="post postid-{i}"><div id="post-{i}"><div class="strip-{i}">Same strip here</div><div><h2>Head {i}</h2><p>Own text {i} with words {i * i}</p></div></div>') for i in range(30)]
+    assert extracted(spark, rows) == {i: f"Head {i}\nOwn text {i} with words {i * i}" for i in range(30)}
