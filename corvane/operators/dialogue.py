@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import word_count
+from corvane.operators.medians import medians
 
 LEVELS = ("solid", "partial", "misconception", "unclear")
 MAX_ROUNDS, MAX_ASK_WORDS, MAX_WORDS = 2, 12, 120
@@ -172,7 +173,9 @@ def rubric(rows: DataFrame, dimensions: tuple[str, ...], by: tuple[str, ...] = (
 
 
 def latency(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("kind").agg(F.round(F.median("seconds"), 4).alias("median"), F.max("seconds").alias("max"), F.count(F.lit(1)).alias("calls"))
+    rest = calls.groupBy("kind").agg(F.max("seconds").alias("max"), F.count(F.lit(1)).alias("calls"))
+    middle = medians(calls, "seconds", ["kind"]).select(F.col("kind").alias("__kind"), F.round("median", 4).alias("median"))
+    return rest.join(middle, F.col("kind").eqNullSafe(F.col("__kind")), "left").select("kind", "median", "max", "calls")
 
 
 def run_models(prompts_table: DataFrame, model, schema: str = "session_id long, reply string, error string") -> DataFrame:

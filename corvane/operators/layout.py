@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corvane.functions.lines import ANSWER
 from corvane.functions.text import code_like
 from corvane.operators.clean import paragraph_breaks
+from corvane.sources.shared import stored
 
 SPANS = "document_id string, page int, line int, span int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, mono boolean, rotated boolean"
 PAGES = "document_id string, page int, width double, height double, images int"
@@ -137,7 +138,7 @@ def typography(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
 
 def page_lines(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """SPANS and PAGES -> LINES (with size): headings, code, paragraph breaks and margins, from the layout alone."""
-    lines = measured(visual_lines(spans), pages)
+    lines = stored(measured(visual_lines(spans), pages))
     types, ranks = typography(lines, pages)
     page = Window.partitionBy(*PAGE)
     titled = (F.col("top") < TITLE_ZONE) | (F.col("page") == 1)

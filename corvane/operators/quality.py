@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.dedup import count_pairs
+from corvane.operators.medians import medians
 
 MIN_DOCUMENT, TINY_CHUNK, CHUNK_LIMIT, QA_LIMIT, OVERSIZE = 100, 20, 600, 1000, 1.1
 # The location field that chunks of a file type need.
@@ -71,7 +72,8 @@ def grouped_counts(table: DataFrame, columns: list[str]) -> DataFrame:
 
 def token_stats(table: DataFrame, column: str = "token_count") -> DataFrame:
     """min, exact median, mean (1 digit) and max; no row for an empty table."""
-    return table.agg(F.min(column).alias("min"), F.median(column).alias("median"), F.round(F.avg(column), 1).alias("mean"), F.max(column).alias("max")).where("min is not null")
+    rest = table.agg(F.min(column).alias("min"), F.round(F.avg(column), 1).alias("mean"), F.max(column).alias("max")).where("min is not null")
+    return rest.crossJoin(F.broadcast(medians(table, column).select("median"))).select("min", "median", "mean", "max")
 
 
 def manifest(docs: DataFrame, chunks: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:

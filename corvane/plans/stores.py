@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import embedding, inverted
-from corvane.plans.queries import Query, docs, table
+from corvane.operators import embedding, inverted, runs
+from corvane.plans.queries import BASE, Query, dense_queries, docs, measured, metrics_sql, table, vectors
 from corvane.sources import versions
 from corvane.sources.shared import fresh_path
 
@@ -94,6 +94,20 @@ def index_build_figures(spark, sf):
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
 
 
+# ---------------------------------------------------------------- runs
+_BOTH = f"{BASE}, {metrics_sql('run_a')}, ma as (select * from met), {metrics_sql('run_b').replace('ideal as', 'ideal_b as').replace('join ideal ', 'join ideal_b ').replace('met as', 'mb as')}"
+
+
+@query(f"with {_BOTH} select query_id, ma.ndcg_10 as whole_ndcg_10, mb.ndcg_10 as half_ndcg_10, ma.recall_5 as whole_recall_5, mb.recall_5 as half_recall_5 from ma join mb using (query_id)")
+def recorded_runs(spark, sf):
+    """Two runs recorded with their corpus and benchmark, read back side by side."""
+    path = fresh_path(spark, "registry")
+    corpus, bench = vectors(spark, sf).select("doc_id", "v"), dense_queries(spark, sf).select("query_id", "topic", "difficulty")
+    for name, dims in (("whole", None), ("half", 32)):
+        runs.record(path, name, {"dims": dims}, corpus, bench, measured(spark, sf, dims).select("query_id", "ndcg_10", "recall_5"))
+    return runs.beside(spark, path, ["whole", "half"], ["ndcg_10", "recall_5"])
+
+
 # ---------------------------------------------------------------- the inverted index
 _TERMS = "select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:_[a-z0-9]+)*')) as term from documents"
 
