@@ -19,6 +19,7 @@ What is left out has a score below that of k documents, so the result is that of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,11 @@ BLOCK, LEVELS = 1024, 16
 SEED_ROWS, SEEDS = 16_384, 64
 #: Scores are rounded to 6 places: a bound must be below by more than that.
 MARGIN = 2e-6
+#: Crowded bands that are sent to every executor; more meet the postings in a shuffle.
+SENT = 200_000
 
 
-@dataclass(frozen=True)
+@dataclass
 class InvertedIndex:
     """stats(n, avgdl, k1, b): one row; terms(term, df, bands array<struct<level, n, low, high>>), highest band first;
     blocks(term, level, block, n, high, postings array<struct<doc_id, tf, dl>>)."""
@@ -43,6 +46,7 @@ class InvertedIndex:
     terms: DataFrame
     blocks: DataFrame
 
+    @cached_property
     def figures(self) -> tuple[int, float, float, float]:
         return tuple(self.stats.select("n", "avgdl", "k1", "b").first())
 
@@ -52,7 +56,8 @@ def impact(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
 
 
 def build(docs: DataFrame, path: str | None = None, k1: float = K1, b: float = B, block: int = BLOCK) -> InvertedIndex:
-    """The index of docs(doc_id, text), written below ``path`` (default: the shared folder)."""
+    """The index of docs(doc_id, text), written below ``path`` (default: the shared folder).  A null text has no terms and no
+    length; rows that repeat an id and a length are one document."""
     spark = docs.sparkSession
     keep = (lambda t, name: written(t, f"{path}/{name}")) if path else (lambda t, _: stored(t))
     words = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
@@ -63,7 +68,9 @@ def build(docs: DataFrame, path: str | None = None, k1: float = K1, b: float = B
     own = impact(F.col("tf"), F.col("dl"), avgdl or 1.0, k1, b)
     graded = counted.withColumn("impact", own).withColumn("level", F.least(F.floor(F.col("impact") * LEVELS / (k1 + 1)), F.lit(LEVELS - 1)).cast("int"))
     crowded = graded.groupBy("term", "level").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block).select("term", "level", F.ceil(F.col("c") / block).alias("parts"))
-    dealt = graded.join(crowded, ["term", "level"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    crowded = stored(crowded)
+    small = crowded.count() <= SENT
+    dealt = graded.join(F.broadcast(crowded) if small else crowded, ["term", "level"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
     packed = dealt.groupBy("term", "level", "block").agg(F.count(F.lit(1)).alias("n"), F.min("impact").alias("low"), F.max("impact").alias("high"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("postings"))
     blocks = keep(packed.sortWithinPartitions("term", F.col("level").desc()), "blocks")
     bands = blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -82,13 +89,13 @@ def index_stats(index: InvertedIndex) -> DataFrame:
 
 def term_statistics(index: InvertedIndex) -> DataFrame:
     """(term, df, idf) of the vocabulary."""
-    n = index.figures()[0]
+    n = index.figures[0]
     return index.terms.select("term", "df", inverse_frequency(F.col("df"), F.lit(n)).alias("idf"))
 
 
 def weighed(index: InvertedIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, term, w, bands, most, reached): most is the term's highest contribution, reached one that k documents have."""
-    n = index.figures()[0]
+    n = index.figures[0]
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     found = asked.join(index.terms, "term").withColumn("w", F.col("qtf") * inverse_frequency(F.col("df"), F.lit(n)))
     kth = F.aggregate(
@@ -105,7 +112,7 @@ def _postings(blocks: DataFrame) -> DataFrame:
 
 def thresholds(index: InvertedIndex, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, threshold): a score that at least k documents reach, 0 where none is known."""
-    _, avgdl, k1, b = index.figures()
+    _, avgdl, k1, b = index.figures
     bands = asked.select("query_id", "term", "w", F.explode("bands").alias("band")).select("query_id", "term", "w", "band.level", "band.n", (F.col("w") * F.col("band.high")).alias("bound")).where(F.col("n") <= SEED_ROWS)
     before = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "term", "level").rowsBetween(Window.unboundedPreceding, -1))
     seeds = bands.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SEEDS * k).select("query_id", "term", "level", "w")
@@ -122,10 +129,10 @@ def search(index: InvertedIndex, queries: DataFrame, k: int, work: Observation |
     ``work``, if given, observes ``scored``: the (query, document) pairs that got a sum at all.
     """
     check_top_k(k)
-    _, avgdl, k1, b = index.figures()
+    _, avgdl, k1, b = index.figures
     own = impact(F.col("tf"), F.col("dl"), avgdl or 1.0, k1, b)
     asked = stored(weighed(index, queries, k))
-    limits = stored(thresholds(index, asked, k))
+    limits = thresholds(index, asked, k)
     query = Window.partitionBy("query_id")
     rising = query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     planned = asked.join(limits, "query_id").withColumns({"upto": F.sum("most").over(rising), "rest": F.sum("most").over(query) - F.col("most"), "least": F.col("threshold") - MARGIN})

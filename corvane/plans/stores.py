@@ -9,12 +9,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import embedding, inverted, runs
-from corvane.plans.queries import BASE, Query, dense_queries, docs, measured, metrics_sql, table, vectors
+from corvane.plans.queries import BASE, Query, bm25_sql, dense_queries, docs, items, measured, metrics_sql, table, vectors
 from corvane.sources import versions
 from corvane.sources.shared import fresh_path
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+SQL_BM25 = f"with {bm25_sql(10)} select query_id, rank, doc_id, score from bm25"
 
 
 def query(sql: str):
@@ -118,3 +119,9 @@ def index_postings(spark, sf):
     blocks = inverted.build(docs(spark, sf)).blocks.select("term", F.explode("postings").alias("p"))
     return blocks.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("p.tf").cast("long")).alias("occurrences"), F.max("p.tf").alias("most"))
 
+
+
+@query(SQL_BM25)
+def bm25_indexed_topk(spark, sf):
+    """bm25_topk from a stored index, with its bounded search."""
+    return inverted.search(inverted.build(docs(spark, sf)), items(spark, sf), 10)
