@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -14,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import shared_dir, stored  # noqa: F401  shared_dir for the operators
+
 #: A null id is read as this value: it ranks after every other id.
 NULL_ID = 2**63 - 1
 #: The white space of all contracts: space and tab to carriage return.
@@ -22,21 +21,6 @@ ARROW_BYTES = "2m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a session in one process (tests) gets a folder of its own; on a cluster that would lose rows, so
-    it raises ValueError.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A name for a working column like each of ``names`` that df does not have (names are compared without case)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -64,11 +48,8 @@ def small_arrow(spark: SparkSession) -> Iterator[None]:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}"
-    with small_arrow(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_arrow(df.sparkSession):
+        return stored(df)
 
 
 def id_column(name: str) -> Column:

@@ -22,7 +22,6 @@ reads them; an empty table gives an empty manifest and no file; other columns ar
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm._shared import NULL_ID, id_column, materialise, shared_dir, small_batches
 from corvane.llm.packing import encoder_for
+from corvane.sources.listing import file_system
 
 END_ID = 2
 MAGIC = b"TOKDAC01"
@@ -185,18 +185,8 @@ class TokenFile:
             first = last
 
 
-def _store(uri: str) -> tuple:
-    """(pyarrow file system, path in it) of a path or URI; what Spark shares must be in reach of pyarrow too."""
-    from pyarrow import fs
-
-    local = re.match(r"file:/+", uri)
-    if local or ":/" not in uri:
-        return fs.LocalFileSystem(), "/" + uri[local.end() :] if local else uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def _read(uri: str, check: bool = True) -> TokenFile:
-    store, path = _store(uri)
+    store, path = file_system(uri)
     with store.open_input_file(path) as source:
         return TokenFile(source.read(), check)
 
@@ -223,7 +213,7 @@ def write_files(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
     sorted_ = hashed.repartitionByRange(max(1, -(-held // range_bytes)), "id", "h").sortWithinPartitions("id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(folder)
+        store, base = file_system(folder)
         encoder, part, number = encoder_for(vocab_path), TaskContext.get().partitionId(), 0
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corvane.llm import language, line_dedup, mixing, packing, shard, simhash, token_counts
 
@@ -288,13 +289,20 @@ def test_pipeline(spark):
     lines = corpus_pipeline.line_level(spark, kept, SF)
     assert {(r.doc_id, r.text) for r in lines.collect()} == {(i, t) for i, _, n, t in brute_lines(rows_of(kept)) if t or not n}
     once = corpus_pipeline.near_copies(spark, lines, SF)
-    prints = {r.doc_id: slow_print(r.text) for r in lines.collect()}
-    group = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    group = brute_jaccard([(r.doc_id, r.text) for r in lines.collect()])
     assert sorted(r.doc_id for r in once.collect()) == sorted(set(group.values()))
     mixed = corpus_pipeline.source_mix(spark, once, SF)
     assert mixed.columns == docs.columns
-    packed = corpus_pipeline.sequences(spark, mixed, SF)
-    assert packed.count() > 0 and corpus_pipeline.run(spark, SF).count() == packed.count()
+    # all stages together give the pieces of what the mix keeps, by the tokenizers library
+    encoder, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for r in mixed.collect():
+        ids, at = np.array([*encoder.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for n in packing.binary_lengths(len(ids), 2048):
+            want[r.doc_id, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
+            at += n
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in found) == want
+    assert sorted(r.sequence_id for r in found) == list(range(len(found)))
 
 
 def test_digest_of_lines(spark):
