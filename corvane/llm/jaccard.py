@@ -237,15 +237,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, near: float = NEAR,
     def joined(rows: DataFrame) -> DataFrame:
         return rows.join(reach, "node", "left").select("g", "node", "n", "at", F.coalesce("component", "node").alias("c"))
 
+    def connected(found: DataFrame, new: DataFrame) -> DataFrame:
+        """The components found so far with new links: they are stars already, so only what is linked anew takes rounds."""
+        return found if new.isEmpty() else materialise(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new)))
+
     reach = materialise(connected_components(links))
     small = joined(members.where(F.col("k") <= CAP)).groupBy("g").agg(F.collect_list(F.struct("node", "n", "at", "c")).alias("m"))
     crowded = not large.isEmpty()
     pairs = candidates(small, near)
-    links = links.unionAll(checked(pairs.unionAll(star(joined(large), near)).distinct() if crowded else pairs))
-    reach = materialise(connected_components(links))
+    reach = connected(reach, checked(pairs.unionAll(star(joined(large), near)).distinct() if crowded else pairs))
     if crowded:
-        links = links.unionAll(checked(remaining(joined(large), near)))
-        reach = materialise(connected_components(links))
+        reach = connected(reach, checked(remaining(joined(large), near)))
     named = classes.join(reach, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("first"))
     return sets.select("id", "hash", "node").join(named.drop("first"), "node").join(firsts, "component").select("id", "hash", "component", "first")
