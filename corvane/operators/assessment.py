@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many groups of items are broadcast at most; more meet the participants by pairs of partitions.
+SENT = 10_000
+
 
 def problems(items: DataFrame, scores: DataFrame) -> DataFrame:
     """(participant_id, problem): scores of unknown items and scores out of range."""
@@ -22,14 +25,17 @@ def percentages(items: DataFrame, scores: DataFrame, participants: DataFrame, by
 
     The whole score needs no participants x items product: it is a total of the item table.
     """
-    share = F.broadcast(items.groupBy("form", *by).agg(F.sum("max_score").alias("total"))) if not by else items.groupBy("form", *by).agg(F.sum("max_score").alias("total"))
+    share = items.groupBy("form", *by).agg(F.sum("max_score").alias("total"))
     got = scores.join(items.select("form", "item_id", *by), ["form", "item_id"]).groupBy("participant_id", "form", *by).agg(F.sum("points").alias("points"))
-    frame = participants.select("participant_id").crossJoin(F.broadcast(items.select(*by).distinct())) if by else participants.select("participant_id")
+    frame = participants.select("participant_id")
+    if by:  # the result has a row for each of these
+        groups = items.select(*by).distinct()
+        frame = frame.crossJoin(F.broadcast(groups) if groups.limit(SENT + 1).count() <= SENT else groups)
     for form in ("pre", "post"):
         own = got.where(F.col("form") == form).select("participant_id", *by, F.col("points").alias(form))
         total = share.where(F.col("form") == form).select(*by, F.col("total").alias(f"{form}_total"))
         frame = frame.join(own, ["participant_id", *by], "left")
-        frame = frame.join(total, by) if by else frame.crossJoin(total)
+        frame = frame.join(total, by) if by else frame.crossJoin(F.broadcast(total))  # one row
     return frame.select("participant_id", *by, *[(100 * F.coalesce(F.col(f), F.lit(0)) / F.col(f"{f}_total")).alias(f) for f in ("pre", "post")])
 
 

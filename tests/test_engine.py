@@ -152,6 +152,17 @@ def test_gains(spark):
         assessment.check(items, points.withColumn("points", F.lit(3)))
 
 
+def test_gains_with_and_without_a_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(f, f"{o}{i}", o, 2) for f in ("pre", "post") for o in "abc" for i in range(2)], "form string, item_id string, objective_id string, max_score int")
+    points = spark.createDataFrame([(p, f, f"{o}0", (p + len(f)) % 3) for p in range(5) for f in ("pre", "post") for o in "ab"], "participant_id long, form string, item_id string, points int")
+    people = spark.createDataFrame([(p,) for p in range(6)], "participant_id long")  # one without any score
+    gains = lambda: sorted(map(tuple, assessment.participant_gains(items, points, people, by_objective=True).collect()), key=str)
+    want = gains()
+    assert len(want) == 18 and (5, "c", 0, 0, 0, 0) in want
+    monkeypatch.setattr(assessment, "SENT", 2)
+    assert gains() == want
+
+
 def test_clean_and_chunk():
     row = lambda text, kind="text", brk="para", **k: {"text": text, "kind": kind, "level": k.get("level", 0), "para_break": brk, "x0": None, "cw": None}
     got = clean.assemble([row("A multi-"), row("thread test", brk="wrap"), row("1. item", brk="wrap"), row("x;", "code"), row("go on"), row("y;", "code"), row("• one")], set(), True)
