@@ -111,15 +111,20 @@ STATES = "session_id long, turn long, stage string, rounds int, kind string"
 def dialogue_states(replies: DataFrame) -> DataFrame:
     """replies(session_id, turn, aside, level) -> the session's stage after each reply, in order of turns.
 
-    The fold is an expression over the session's sorted replies: no Python, and a session is one row.
+    A session ends at its second or later counted reply that is solid, or at its third that is not, so running counts give
+    every stage: one shuffle and one sort, linear in a session's length, and no session is held in memory.
     """
-    order = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("aside", F.lit(False)).alias("aside"), F.coalesce("level", F.lit("unclear")).alias("level"))))
-    kind = "case when s.stage = 'DONE' then 'ERROR' when x.aside then 'ASIDE' when x.level = 'solid' then if(s.stage = 'DIAGNOSE', 'CHECK', 'WRAP_UP') when s.rounds < 2 then 'EXPLAIN' else 'ANSWER' end"
-    after = f"case {kind} when 'CHECK' then 'CHECK' when 'EXPLAIN' then 'EXPLAIN' when 'WRAP_UP' then 'DONE' when 'ANSWER' then 'DONE' else s.stage end"
-    rounds = f"s.rounds + if({kind} = 'EXPLAIN', 1, 0)"
-    item = f"named_struct('turn', x.turn, 'stage', {after}, 'rounds', {rounds}, 'kind', {kind})"
-    fold = f"aggregate(r, named_struct('stage', 'DIAGNOSE', 'rounds', 0, 'out', cast(array() as array<struct<turn:bigint,stage:string,rounds:int,kind:string>>)), (s, x) -> named_struct('stage', {after}, 'rounds', {rounds}, 'out', concat(s.out, array({item}))), s -> s.out)"
-    return replies.groupBy("session_id").agg(order.alias("r")).select("session_id", F.explode(F.expr(fold)).alias("t")).select("session_id", "t.*")
+    order = [F.col("turn"), F.col("aside"), F.col("level")]
+    before = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = before.rowsBetween(Window.unboundedPreceding, 0)
+    counted, solid = ~F.col("aside"), F.col("level") == "solid"
+    rows = replies.select("session_id", F.col("turn").cast("long").alias("turn"), F.coalesce("aside", F.lit(False)).alias("aside"), F.coalesce("level", F.lit("unclear")).alias("level"))
+    rows = rows.withColumns({"nth": F.count_if(counted).over(upto), "missed": F.count_if(counted & ~solid).over(upto)})
+    rows = rows.withColumn("over", F.max(counted & F.when(solid, F.col("nth") > 1).otherwise(F.col("missed") > 2)).over(before))
+    kind = F.when(F.col("over"), "ERROR").when(F.col("aside"), "ASIDE").when(solid, F.when(F.col("nth") == 1, "CHECK").otherwise("WRAP_UP")).when(F.col("missed") <= 2, "EXPLAIN").otherwise("ANSWER")
+    moved = F.when(F.col("kind").isin("CHECK", "EXPLAIN"), F.col("kind")).when(F.col("kind").isin("WRAP_UP", "ANSWER"), "DONE")
+    stage, rounds = F.coalesce(F.last(moved, ignorenulls=True).over(upto), F.lit("DIAGNOSE")), F.count_if(F.col("kind") == "EXPLAIN").over(upto).cast("int")
+    return rows.withColumn("kind", kind).select("session_id", "turn", stage.alias("stage"), rounds.alias("rounds"), "kind")
 
 
 def turn_checks(turns: DataFrame) -> DataFrame:

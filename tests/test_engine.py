@@ -1,6 +1,7 @@
 """Hand-computed cases for retrieval, metrics, dedup, text, dialogue, assessment, chunking and files."""
 
 import math
+import random
 import uuid
 
 import pytest
@@ -142,6 +143,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select * from states").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_dialogue_states_by_hand(spark):
+    """A plain machine, reply by reply, over sessions with asides, null levels and replies after the end."""
+    rng = random.Random(5)
+    rows = [(s, t, rng.choice([True, False, False, None]), rng.choice(["solid", "unclear", "partial", None])) for s in range(150) for t in range(rng.randrange(9))]
+    want = []
+    for s in range(150):
+        stage, rounds = "DIAGNOSE", 0
+        for _, turn, aside, level in (r for r in rows if r[0] == s):
+            if stage == "DONE":
+                kind = "ERROR"
+            elif aside:
+                kind = "ASIDE"
+            elif level == "solid":
+                kind, stage = ("CHECK", "CHECK") if stage == "DIAGNOSE" else ("WRAP_UP", "DONE")
+            elif rounds < 2:
+                kind, stage, rounds = "EXPLAIN", "EXPLAIN", rounds + 1
+            else:
+                kind, stage = "ANSWER", "DONE"
+            want.append((s, turn, stage, rounds, kind))
+    got = dialogue.dialogue_states(spark.createDataFrame(rows, "session_id long, turn long, aside boolean, level string"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_gains(spark):
     items = spark.createDataFrame([(f, "i", "LO", 1) for f in ("pre", "post")], "form string, item_id string, objective_id string, max_score int")
     points = spark.createDataFrame([(1, "pre", "i", 0), (1, "post", "i", 1), (2, "pre", "i", 1), (2, "post", "i", 1)], "participant_id long, form string, item_id string, points int")
