@@ -46,9 +46,14 @@ def underscores(chars: Column, strokes: Column, size: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
-def fragments(spans: DataFrame) -> DataFrame:
-    """(document_id, page, line, x0, x1, y0, y1, size, length, spans) of the reader's lines."""
+def fragments(spans: DataFrame, dealt: bool = False) -> DataFrame:
+    """(document_id, page, line, x0, x1, y0, y1, size, length, spans) of the reader's lines.
+
+    Spans are shuffled once, by page, and no later step moves them; not at all if they are ``dealt`` already, which says
+    that they come partitioned by document or page.
+    """
     good = spans.where(~F.coalesce("rotated", F.lit(False)) & (F.trim("text") != ""))
+    good = good if dealt else good.repartition(*PAGE)
     place = Window.partitionBy(*PAGE, F.trim("text"), F.round("x0"), F.round("y0")).orderBy("line", "span")
     good = good.withColumn("again", F.row_number().over(place)).where("again = 1")
     held = F.collect_list(F.struct("x0", "span", "x1", "text", "size", "bold", "mono"))
@@ -75,20 +80,19 @@ def _not_overprinted(items: Column) -> Column:
     return F.aggregate(items, F.array().cast(f"array<{OF_ITEM}>"), step)
 
 
-def visual_lines(spans: DataFrame) -> DataFrame:
+def visual_lines(spans: DataFrame, dealt: bool = False) -> DataFrame:
     """(document_id, page, line, y0, y1, spans): spans from left to right, gutter numbers before them left out."""
     item = F.struct(*[F.col(c) for c in ("line", "x0", "x1", "y0", "y1", "length", "size", "spans")])
-    kept = bands(fragments(spans)).groupBy(*PAGE, "band").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    kept = bands(fragments(spans, dealt)).groupBy(*PAGE, "band").agg(F.sort_array(F.collect_list(item)).alias("items"))
     rows = kept.select(*PAGE, "band", F.explode(_not_overprinted(F.col("items").cast(f"array<{OF_ITEM}>"))).alias("i")).select(*PAGE, "band", "i.*")
     along = Window.partitionBy(*PAGE, "band").orderBy("x0", "line")
     before = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
     cut = F.coalesce((F.col("x0") - before >= LINE_GAP * F.col("size")).cast("int"), F.lit(0))
     rows = rows.withColumn("cut", cut).withColumn("part", F.sum("cut").over(along))
-    joined = rows.groupBy(*PAGE, "band", "part").agg(F.min("line").alias("line"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    most = F.array_max(F.transform("spans", lambda s: s["size"]))
+    joined = rows.groupBy(*PAGE, "band", "part").agg(F.min("line").alias("line"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("size").alias("most"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     text_at = F.array_position(F.transform("spans", lambda s: ~(F.trim(s["text"]).rlike("^[0-9]+$") & (s["size"] < GUTTER * F.col("most")))), True)
     start = F.when(text_at == 0, F.size("spans")).otherwise(text_at).cast("int")
-    return joined.withColumn("most", most).withColumn("spans", F.slice("spans", start, F.size("spans"))).drop("most", "band", "part")
+    return joined.withColumn("spans", F.slice("spans", start, F.size("spans"))).drop("most", "band", "part")
 
 
 def line_text(spans: Column) -> Column:
@@ -115,12 +119,16 @@ def measured(lines: DataFrame, pages: DataFrame) -> DataFrame:
     n = F.char_length(F.trim("text"))
     mono = F.aggregate("spans", F.lit(0), lambda a, s: a + F.when(s["mono"], F.char_length(F.trim(s["text"]))).otherwise(0))
     first = F.coalesce(F.get(F.filter("spans", lambda s: s["mono"]), F.lit(0)), F.col("spans")[0])
-    rows = lines.withColumn("text", line_text(F.col("spans"))).where(F.trim("text") != "").join(pages.select(*PAGE, "height"), list(PAGE))
-    return rows.select(
+    # an explode of one: a filter on text would otherwise be pushed into the lambdas, and each step build the line anew
+    rows = lines.select("*", F.explode(F.array(line_text(F.col("spans")))).alias("text")).where(F.trim("text") != "")
+    rows = rows.select(
         *PAGE, "line", "text", n.cast("long").alias("n"), dominant_size(F.col("spans")).alias("size"), mono.cast("long").alias("mono_chars"), F.forall("spans", lambda s: s["bold"]).alias("bold"),
-        F.round(first["x0"], 1).alias("x0"), F.array_max(F.transform("spans", lambda s: s["x1"])).alias("x1"), "y0", "y1", F.round(F.col("y0") / F.col("height"), 3).alias("top"),
-        F.round(F.col("y1") / F.col("height"), 3).alias("bottom"), F.round((first["x1"] - first["x0"]) / F.greatest(F.char_length(first["text"]), F.lit(1)), 2).alias("cw"), F.trim("text").rlike("^[0-9]+$").alias("digits"),
+        F.round(first["x0"], 1).alias("x0"), F.array_max(F.transform("spans", lambda s: s["x1"])).alias("x1"), "y0", "y1",
+        F.round((first["x1"] - first["x0"]) / F.greatest(F.char_length(first["text"]), F.lit(1)), 2).alias("cw"), F.trim("text").rlike("^[0-9]+$").alias("digits"),
     )
+    # the page is met when the spans are gone
+    share = {"top": F.round(F.col("y0") / F.col("height"), 3), "bottom": F.round(F.col("y1") / F.col("height"), 3)}
+    return rows.join(pages.select(*PAGE, "height"), list(PAGE)).withColumns(share).drop("height")
 
 
 def typography(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,13 +144,15 @@ def typography(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     return body.join(code, "document_id").join(wide, "document_id", "left").join(counts, "document_id", "left").fillna(0, "sizes").fillna(False, "slides"), ranks
 
 
-def page_lines(spans: DataFrame, pages: DataFrame) -> DataFrame:
+def page_lines(spans: DataFrame, pages: DataFrame, dealt: bool = False) -> DataFrame:
     """SPANS and PAGES -> LINES (with size): headings, code, paragraph breaks and margins, from the layout alone."""
-    lines = stored(measured(visual_lines(spans), pages))
+    lines = stored(measured(visual_lines(spans, dealt), pages))
     types, ranks = typography(lines, pages)
     page = Window.partitionBy(*PAGE)
     titled = (F.col("top") < TITLE_ZONE) | (F.col("page") == 1)
-    rows = lines.join(types, "document_id").join(ranks, ["document_id", "size"], "left").withColumn("title_size", F.max(F.when(titled, F.col("size"))).over(page))
+    # ranks of sizes go with the document's row: joined by size, the lines would be shuffled a second time
+    own = ranks.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("size", "heading"))).alias("ranks"))
+    rows = lines.join(types.join(own, "document_id", "left"), "document_id").withColumn("heading", F.try_element_at("ranks", F.col("size"))).drop("ranks").withColumn("title_size", F.max(F.when(titled, F.col("size"))).over(page))
     rows = rows.where(~(F.col("digits") & (F.col("size") <= TINY * F.col("body"))))
     share = F.col("mono_chars") / F.col("n")
     title = (F.col("size") == F.col("title_size")) & (F.col("title_size") >= SLIDE_TITLE * F.col("body")) & titled
