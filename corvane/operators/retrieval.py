@@ -16,6 +16,8 @@ RRF_K, CANDIDATES = 60, 50
 # The payload fields that a filter may name.
 FILTERABLE = ("topic_area", "document_type", "source", "professor", "module", "semester", "content_type", "chunk_type", "course", "document_id", "filename", "subtopics", "problem_types")
 BLOCK = 4096
+#: Queries of a block that are compared at once: a slice's scores are all that a Python worker holds of them.
+SLICE = 128
 
 
 def check_top_k(top_k: int) -> int:
@@ -115,7 +117,8 @@ def norms(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 def cosine(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None) -> DataFrame:
     """vectors(doc_id, v), queries(query_id, v) -> (query_id, rank, doc_id, score): exact, the query's own id left out.
 
-    Queries and vectors meet in blocks of BLOCK rows, a matrix product each; a block returns k rows a query at most.
+    Queries and vectors meet in blocks of BLOCK rows, a matrix product for each
+    SLICE of its queries; a block returns k rows a query at most.
     """
     check_top_k(k)
     parts = [max(1, -(-t.count() // BLOCK)) for t in (vectors, queries)]
@@ -129,16 +132,20 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = No
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(ids) and len(asked):
             x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
-            s = y @ x.T / (np.sqrt((y * y).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
-            s = np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s)
-            s[asked[:, None] == ids[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            i = np.repeat(np.arange(len(asked)), order.shape[1])
-            found = s[i, order.ravel()]
-            fit = np.isfinite(found)
-            out = [asked[i][fit], ids[order.ravel()][fit], found[fit]]
+            parts = [ranked(ids, x, asked[i : i + SLICE], y[i : i + SLICE]) for i in range(0, len(asked), SLICE)]
+            out = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table(dict(zip(("query_id", "doc_id", "score"), out, strict=True)))
 
+    def ranked(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        s = y @ x.T / (np.sqrt((y * y).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
+        s = np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s)
+        s[asked[:, None] == ids[None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        i = np.repeat(np.arange(len(asked)), order.shape[1])
+        found = s[i, order.ravel()]
+        fit = np.isfinite(found)
+        return [asked[i][fit], ids[order.ravel()][fit], found[fit]]
+
     found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(block, "query_id long, doc_id long, score double")
     return top(found, k).select("query_id", "rank", "doc_id", "score")
 
