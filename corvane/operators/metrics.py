@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 RECALL, HIT, PRECISION, MRR, NDCG, MAP = (1, 3, 5, 10), (1, 3, 5, 10), (5,), (5, 10), (5, 10), (5,)
 
 
+def judged(qrels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The judgments of pairs(query_id, doc_id).  Results are few and judgments may be many: the pairs are sent to them, and
+    only what judges one of them is moved."""
+    return qrels.join(F.broadcast(pairs.select("query_id", "doc_id").distinct()), ["query_id", "doc_id"], "left_semi")
+
+
 def labelled(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """run plus grade: the judged grade (0 where judged not relevant), null where unjudged."""
-    return run.join(qrels.select("query_id", "doc_id", "grade"), ["query_id", "doc_id"], "left")
+    return run.join(judged(qrels.select("query_id", "doc_id", "grade"), run), ["query_id", "doc_id"], "left")
 
 
 def names(depth: int) -> list[str]:
@@ -31,9 +37,12 @@ def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame, depth: int =
     by = Window.partitionBy("query_id").orderBy("rank")
     seen = labelled(run, qrels).withColumn("again", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank")) > 1)
     seen = seen.withColumn("hits", F.sum(F.when(rel, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    ideal = qrels.where("grade > 0").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
     gain = lambda g, r: g / F.log2(r + 1)
-    best = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"), *[F.sum(F.when(F.col("pos") <= k, gain(F.col("grade"), F.col("pos")))).alias(f"ideal_{k}") for k in NDCG])
+    # the best list needs how many judgments there are of each grade, not the judgments in order
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ideal = qrels.where("grade > 0").groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    part = lambda k: F.when(F.col("before") < k, F.aggregate(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k))), F.lit(0.0), lambda a, p: a + gain(F.col("grade"), p)))
+    best = ideal.groupBy("query_id").agg(F.sum("n").alias("n_rel"), *[F.sum(part(k)).alias(f"ideal_{k}") for k in NDCG])
     within = lambda k, c: F.when(rel & (F.col("rank") <= k), c)
     sums = []
     for name in names(depth):
@@ -90,8 +99,12 @@ def error_tags(run: DataFrame, qrels: DataFrame, meta: DataFrame, queries: DataF
     meta(doc_id, document_id, chunk_index, section, subtopics, class_id, image_only), queries(query_id, subtopics).
     """
     wrong = labelled(run, qrels).where((F.col("rank") <= most) & (F.coalesce("grade", F.lit(0)) == 0)).join(meta, "doc_id").join(queries.select("query_id", F.col("subtopics").alias("asked")), "query_id")
-    right = qrels.where("grade > 0").join(meta.select("doc_id", "document_id", "chunk_index"), "doc_id")
-    beside = right.select("query_id", "document_id", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index")).distinct().withColumn("near", F.lit(True))
+    # the neighbours of wrong results are few; those that are relevant are found among the judgments
+    at = wrong.select("query_id", "document_id", "chunk_index").distinct()
+    around = at.select("*", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("other"))
+    around = around.join(meta.select("doc_id", "document_id", F.col("chunk_index").alias("other")), ["document_id", "other"])
+    relevant = judged(qrels.where("grade > 0").select("query_id", "doc_id"), around)
+    beside = around.join(relevant, ["query_id", "doc_id"]).select("query_id", "document_id", "chunk_index").distinct().withColumn("near", F.lit(True))
     pairs = duplicate_pairs(run, meta.where(F.col("class_id").isNotNull()).select("doc_id", "class_id"), most)
     double = pairs.select("query_id", F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("double", F.lit(True))
     every = wrong.join(beside, ["query_id", "document_id", "chunk_index"], "left").join(double, ["query_id", "doc_id"], "left")
@@ -124,11 +137,12 @@ def validate_benchmark(queries: DataFrame, qrels: DataFrame, chunks: DataFrame,
     found = [
         said(queries.groupBy("query_id").count().where("count > 1"), "duplicate query_id"),
         said(queries.where("coalesce(trim(query), '') = ''"), "empty query"),
-        said(queries.join(qrels.where("grade > 0"), "query_id", "left_anti"), "no relevant chunks"),
+        said(queries.join(qrels.where("grade > 0").select("query_id").distinct(), "query_id", "left_anti"), "no relevant chunks"),
         said(qrels.where("grade not in (0, 1, 2) or grade is null"), "bad relevance grade"),
-        said(qrels.join(chunks.select("doc_id"), "doc_id", "left_anti"), "unknown chunk"),
+        said(qrels.join(qrels.select("doc_id").distinct().join(chunks.select("doc_id"), "doc_id", "left_anti"), "doc_id", "left_semi"), "unknown chunk"),
+        said(qrels.where("doc_id is null"), "unknown chunk"),
         said(qrels.groupBy("query_id", "doc_id").count().where("count > 1"), "chunk judged twice"),
-        said(qrels.join(queries, "query_id", "left_anti"), "judgment of an unknown query"),
+        said(qrels.select("query_id").distinct().join(queries, "query_id", "left_anti"), "judgment of an unknown query"),
         *[said(queries.where(F.col(c).isNull() | ~F.col(c).isin(list(values))), f"unknown {c}") for c, values in kinds.items()],
     ]
     out = found[0]
@@ -148,7 +162,8 @@ def compare(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame, qrels: DataFrame, cut: int) -> DataFrame:
     """Per query: common results in the top ``cut``, and relevant ones that both, only a, or only b found."""
     side = lambda run, name: run.where(F.col("rank") <= cut).select("query_id", "doc_id").distinct().withColumn(name, F.lit(1))
-    both = side(a, "in_a").join(side(b, "in_b"), ["query_id", "doc_id"], "full_outer").join(qrels.where("grade > 0").select("query_id", "doc_id", F.lit(1).alias("rel")), ["query_id", "doc_id"], "left")
+    found = side(a, "in_a").join(side(b, "in_b"), ["query_id", "doc_id"], "full_outer")
+    both = found.join(judged(qrels.where("grade > 0").select("query_id", "doc_id", F.lit(1).alias("rel")), found), ["query_id", "doc_id"], "left")
     both_in, only_a, only_b = F.col("in_a").isNotNull() & F.col("in_b").isNotNull(), F.col("in_b").isNull(), F.col("in_a").isNull()
     rel = F.col("rel").isNotNull()
     return both.groupBy("query_id").agg(F.count_if(both_in).alias("common"), F.count_if(both_in & rel).alias("rel_both"), F.count_if(only_a & rel).alias("rel_a_only"), F.count_if(only_b & rel).alias("rel_b_only"))

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import assessment, chunk, clean, dedup, dialogue, metadata, metrics, quality, retrieval
+from corvane.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 DEPTH = 20
+#: Made judgments in one task.
+JUDGMENTS = 1_000_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -55,7 +58,8 @@ def dense_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf: str, dims: int | None = None, k: int = DEPTH) -> DataFrame:
-    return retrieval.cosine(vectors(spark, sf).select("doc_id", "v"), dense_queries(spark, sf).select("query_id", "v"), k, dims)
+    """Written once, as measures read it several times."""
+    return stored(retrieval.cosine(vectors(spark, sf).select("doc_id", "v"), dense_queries(spark, sf).select("query_id", "v"), k, dims))
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +67,9 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf).select("doc_id", F.col("label").alias("own"))
     judged = asked.select("query_id", F.explode(F.array(F.struct(F.col("label").alias("own"), F.lit(1).alias("g")), F.struct(F.col("next").alias("own"), F.lit(0).alias("g")))).alias("x")).select("query_id", "x.own", "x.g")
     grade = F.when(F.col("g") == 0, 0).when((F.col("doc_id") - F.col("query_id")) % 2 == 0, 2).otherwise(1)
-    return rows.join(judged, "own").where("doc_id <> query_id").select("query_id", "doc_id", grade.alias("grade"))
+    # their number grows with the square of the vectors: they stay where their vector is dealt to, about JUDGMENTS a part
+    n = rows.groupBy("own").count().join(judged.groupBy("own").agg(F.count(F.lit(1)).alias("m")), "own").agg(F.sum(F.expr("count * m"))).first()[0] or 0
+    return rows.repartition(-(-n // JUDGMENTS) or 1, "doc_id").join(F.broadcast(judged), "own").where("doc_id <> query_id").select("query_id", "doc_id", grade.alias("grade"))
 
 
 # ---------------------------------------------------------------- SQL building blocks
