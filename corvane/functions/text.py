@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,23 +63,32 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _grams(text: Column, k: int) -> Column:
-    """The runs of k words of the plain form as structs w0, w1, ...; a shorter text is one, with nulls at its end."""
-    words = F.split(plain_form(text), " ")
-    # shifted copies side by side: a lambda over positions would split the text anew for each of them
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: Spark repeats an expression wherever a branch or a lambda names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _grams(words: Column, k: int) -> Column:
+    """The runs of k words as structs w0, w1, ...; fewer words are one, with nulls at its end."""
+    # shifted copies side by side: a lambda over positions would look the words up anew for each of them
     zipped = F.arrays_zip(*[F.slice(words, F.lit(i + 1), F.size(words)).alias(f"w{i}") for i in range(k)])
     return F.slice(zipped, F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
 
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-word shingles of the plain form; a shorter text is one shingle, an empty one has none."""
-    grams = F.transform(_grams(text, k), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(k)]))
-    return F.when(plain_form(text) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def own(plain: Column) -> Column:
+        grams = bound(F.split(plain, " "), lambda words: F.transform(_grams(words, k), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(k)])))
+        return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    return bound(plain_form(text), own)
 
 
 def shingle_hashes(text: Column, k: int = 5) -> Column:
     """XXH64 of each distinct shingle's words, in order; an empty text is one shingle of an empty word."""
-    return F.sort_array(F.array_distinct(F.transform(_grams(text, k), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(k)]))))
+    hashes = bound(F.split(plain_form(text), " "), lambda words: F.transform(_grams(words, k), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(k)])))
+    return F.sort_array(F.array_distinct(hashes))
 
 
 def document_id(path: Column) -> Column:
