@@ -58,8 +58,8 @@ def near_duplicate_pairs(docs: DataFrame, k: int = 5, near: float = NEAR, overla
     sets = shingle_sets(docs, k) if sets is None else sets
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("s").alias("s")).select("id", "s", F.size("s").alias("n"))
     held = classes.select("id", "n", F.explode("s").alias("g"))
-    shared = held.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = held.join(shared, "g").select("id", "n", "g", "df")
+    # counted where they meet: a count joined back would make and shuffle all shingles twice
+    ranked = held.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df > 1")
     rare = stored(ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs")))
     # a set's shingles that no other set has are its rarest: they fill the prefix first
     least = F.ceil(F.col("n") * F.lit(min(near, overlap)))
