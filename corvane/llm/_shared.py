@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.sources.shared import shared_dir, stored  # noqa: F401  shared_dir for the operators
+from corvane.sources.shared import shared_dir, small_arrow, stored  # noqa: F401  shared_dir for the operators
 
 #: A null id is read as this value: it ranks after every other id.
 NULL_ID = 2**63 - 1
 #: The white space of all contracts: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-ARROW_BYTES = "2m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,21 +29,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-@contextmanager
-def small_arrow(spark: SparkSession) -> Iterator[None]:
-    """Within it, batches that go to Python are bounded in bytes, not in rows alone, so long texts do not add up."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ARROW_BYTES)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     with small_arrow(df.sparkSession):

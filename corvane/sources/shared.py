@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of sessions in one process that name none, by application: Spark lets nobody set its own key afterwards.
 _OWN: dict[str, str] = {}
+ARROW_BYTES = "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +41,18 @@ def written(table: DataFrame, path: str) -> DataFrame:
 def stored(table: DataFrame) -> DataFrame:
     """table written in the shared folder and read back: lineage ends there, and what several steps read is made once."""
     return written(table, fresh_path(table.sparkSession))
+
+
+@contextmanager
+def small_arrow(spark: SparkSession) -> Iterator[None]:
+    """Within it, batches that go to Python are bounded in bytes, not in rows alone, so long texts do not add up."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
