@@ -1,9 +1,9 @@
 """A stored inverted index for BM25 with bounded top-k.
 
 Texts are tokenised once.  Each posting has an impact, its term's share of a score without the query's weight; postings of
-a term lie in LEVELS bands of impact and, within a crowded band, in blocks of about BLOCK by a hash of the document, so no
-term's list is ever sorted or held whole.  A block carries its highest impact; a term carries the count and the range of
-impacts of each of its bands.
+a term lie in LEVELS bands of impact and, within a band, in blocks of BLOCK at most.  A block is of documents that a task
+read one after the other (PACKED postings at a time, of all terms), so no term's postings are ever shuffled or held whole.
+A block carries its highest impact; a term carries the count and the range of impacts of each of its bands.
 
 A search runs all queries at once:
 
@@ -11,30 +11,34 @@ A search runs all queries at once:
 2. Postings of the highest small bands, summed by document, give a better one; a sum over some terms is a lower bound.
 3. Terms whose highest contributions together stay below the threshold can't bring in a document; the others are
    essential.  Of their blocks those are read whose maximum, with all that other terms can add, reaches the threshold.
-4. A document's sum over essential terms and what the others could add decide whether it is looked up in those others.
+4. A document's sum over essential terms and what the others could add decide whether it is looked up in those others: k
+   documents have the k-th best of these sums at least, so what can't reach it is left out as well.
 
 What is left out has a score below that of k documents, so the result is that of scoring everything.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
-from corvane.operators.retrieval import B, K1, check_top_k, inverse_frequency, top
-from corvane.sources.shared import stored, written
+from corvane.operators.retrieval import B, K1, check_top_k, counted, impact, inverse_frequency, merged, top
+from corvane.sources.shared import small_arrow, stored, written
 
 BLOCK, LEVELS = 1024, 16
 #: Postings of a band that may be summed for the threshold, and how many of a query are wanted, times k.
 SEED_ROWS, SEEDS = 16_384, 64
 #: Scores are rounded to 6 places: a bound must be below by more than that.
 MARGIN = 2e-6
-#: Crowded bands that are sent to every executor; more meet the postings in a shuffle.
-SENT = 200_000
+#: Postings that a task puts together by term before they are shuffled, and rows of them that go back to Spark at once.
+PACKED, SENT_ROWS = 1 << 20, 1 << 14
 
 
 @dataclass
@@ -51,28 +55,62 @@ class InvertedIndex:
         return tuple(self.stats.select("n", "avgdl", "k1", "b").first())
 
 
-def impact(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+def pieces(rows: DataFrame, avgdl: float, k1: float, b: float, block: int) -> DataFrame:
+    """Rows of ``retrieval.merged`` -> (term, level, n, low, high, postings): about PACKED postings at a time are put together
+    by term and level, ``block`` in a row at most."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        terms, tf = (pa.concat_arrays(t.column(c).chunks) for c in ("terms", "tfs"))
+        row = np.repeat(np.arange(len(t)), terms.value_lengths().to_numpy())
+        tf, dl, terms = tf.flatten().to_numpy(), t.column("dl").to_numpy()[row], terms.flatten().dictionary_encode()
+        own = impact(tf.astype(float), dl, avgdl, k1, b)
+        key = terms.indices.to_numpy().astype(np.int64) * LEVELS + np.minimum(np.floor(own * LEVELS / (k1 + 1)), LEVELS - 1).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        within = np.arange(len(key)) - np.repeat(new, np.diff(np.r_[new, len(key)]))
+        starts = np.flatnonzero(within % block == 0)
+        ends = np.r_[starts, len(key)].astype(np.int32)
+        each = pa.StructArray.from_arrays([t.column("doc_id").chunk(0).take(pa.array(row[order])), pa.array(tf[order]), pa.array(dl[order].astype(np.int32))], ["doc_id", "tf", "dl"])
+        columns = {
+            "term": terms.dictionary.take(pa.array(key[starts] // LEVELS)), "level": pa.array((key[starts] % LEVELS).astype(np.int32)), "n": pa.array(np.diff(ends).astype(np.int64)),
+            "low": pa.array(np.minimum.reduceat(own, starts)), "high": pa.array(np.maximum.reduceat(own, starts)), "postings": pa.ListArray.from_arrays(pa.array(ends), each),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column("terms").flatten())
+            if n >= PACKED:
+                yield from parts(packed(held))
+                held, n = [], 0
+        if n:
+            yield from parts(packed(held))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(i, SENT_ROWS) for i in range(0, batch.num_rows, SENT_ROWS))
+
+    return rows.select("doc_id", "dl", "terms", "tfs").mapInArrow(run, f"term string, level int, n long, low double, high double, postings array<struct<doc_id:{kind},tf:int,dl:int>>")
 
 
 def build(docs: DataFrame, path: str | None = None, k1: float = K1, b: float = B, block: int = BLOCK) -> InvertedIndex:
     """The index of docs(doc_id, text), written below ``path`` (default: the shared folder).  A null text has no terms and no
-    length; rows that repeat an id and a length are one document."""
+    length; rows that repeat an id and a length are one document.
+
+    Terms are counted where a text is read, and postings put together there: none is shuffled, only the figures of bands.
+    """
     spark = docs.sparkSession
     keep = (lambda t, name: written(t, f"{path}/{name}")) if path else (lambda t, _: stored(t))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    counted = stored(words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    n, texts = docs.agg(F.count(F.lit(1)), F.count("text")).first()  # a null text is a document without a length
-    avgdl = (counted.agg(F.sum("tf")).first()[0] or 0) / max(texts, 1)
+    rows = counted(docs)
+    n, length, texts = rows.agg(F.count(F.lit(1)), F.sum("dl"), F.count("dl")).first()  # a null text is a document without a length
+    avgdl = (length or 0) / max(texts, 1)
     stats = keep(spark.createDataFrame([(n, avgdl, k1, b)], "n long, avgdl double, k1 double, b double").coalesce(1), "stats")
-    own = impact(F.col("tf"), F.col("dl"), avgdl or 1.0, k1, b)
-    graded = counted.withColumn("impact", own).withColumn("level", F.least(F.floor(F.col("impact") * LEVELS / (k1 + 1)), F.lit(LEVELS - 1)).cast("int"))
-    crowded = graded.groupBy("term", "level").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block).select("term", "level", F.ceil(F.col("c") / block).alias("parts"))
-    crowded = stored(crowded)
-    small = crowded.count() <= SENT
-    dealt = graded.join(F.broadcast(crowded) if small else crowded, ["term", "level"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    packed = dealt.groupBy("term", "level", "block").agg(F.count(F.lit(1)).alias("n"), F.min("impact").alias("low"), F.max("impact").alias("high"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("postings"))
-    blocks = keep(packed.sortWithinPartitions("term", F.col("level").desc()), "blocks")
+    with small_arrow(spark):
+        blocks = keep(pieces(merged(rows), avgdl or 1.0, k1, b, block).select("term", "level", F.monotonically_increasing_id().alias("block"), "n", "low", "high", "postings"), "blocks")
     bands = blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     terms = keep(bands.groupBy("term").agg(F.sum("n").alias("df"), F.reverse(F.array_sort(F.collect_list(F.struct("level", "n", "low", "high")))).alias("bands")), "terms")
     return InvertedIndex(stats, terms, blocks)
@@ -123,6 +161,14 @@ def thresholds(index: InvertedIndex, asked: DataFrame, k: int) -> DataFrame:
     return asked.groupBy("query_id").agg(F.max("reached").alias("first")).join(kth, "query_id", "left").select("query_id", F.greatest("first", F.coalesce("s", F.lit(0.0))).alias("threshold"))
 
 
+def narrowed(found: DataFrame, k: int) -> DataFrame:
+    """found(query_id, doc_id, s, might) without the rows whose s and all they might get stay below the k-th best s."""
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc()))).where(F.col("r") <= k)
+    kth = best.where(F.col("r") == k).select(F.col("query_id").alias("__q"), (F.col("s") - MARGIN).alias("kth"))
+    left = found.join(kth, F.col("query_id").eqNullSafe(F.col("__q")), "left")
+    return stored(left.where(F.col("kth").isNull() | (F.col("s") + F.col("might") >= F.col("kth"))).select("query_id", "doc_id", "s"))
+
+
 def search(index: InvertedIndex, queries: DataFrame, k: int, work: Observation | None = None) -> DataFrame:
     """queries(query_id, text) -> (query_id, rank, doc_id, score); repeated query tokens count, ties go by doc_id.
 
@@ -143,11 +189,11 @@ def search(index: InvertedIndex, queries: DataFrame, k: int, work: Observation |
     sums = _postings(read.select("query_id", "w", "postings")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * own).alias("s"))
     if work is not None:
         sums = sums.observe(work, F.count(F.lit(1)).alias("scored"))
-    open_ = sums.join(might, "query_id").where(F.col("s") + F.col("might") >= F.col("least")).select("query_id", "doc_id", "s")
+    open_ = sums.join(might, "query_id").where(F.col("s") + F.col("might") >= F.col("least")).select("query_id", "doc_id", "s", "might")
     if others.isEmpty():
-        scored = open_
+        scored = open_.drop("might")
     else:
-        open_ = stored(open_)
+        open_ = narrowed(stored(open_), k)
         wanted = open_.select("query_id", "doc_id").join(others.select("query_id", "term", "w"), "query_id")
         lists = _postings(index.blocks.select("term", "postings").join(others.select("term").distinct(), "term", "left_semi"))
         added = lists.join(wanted, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("w") * own).alias("s"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
-from corvane.operators import retrieval
+from corvane.operators import inverted, retrieval
 
 ODD = ["A__b _c_ d_e_f", "İstanbul Kelvin 9été_x", None, "", " ... ", "x_1_", "_", "café CAFÉ naïve_id", "one two\tthree_\nfour", "lock lock Lock"]
 
@@ -53,3 +53,23 @@ def test_bm25_shuffles_no_scored_pairs(spark, monkeypatch, sent):
     assert sorted((r.query_id, r.rank, r.doc_id, r.score) for r in found.collect()) == sorted(plain_bm25(docs, asked, 5))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "sum(" not in plan  # the version before summed a row for each query, document and term
+
+
+def test_postings_are_put_together_where_they_are_read(spark):
+    """500 documents of 40 words: the version before shuffled a row for each of 20,000 postings, twice."""
+    rows = retrieval.counted(texts(spark, [(i, " ".join(f"w{j}" for j in range(40))) for i in range(500)]).coalesce(1))
+    found = inverted.pieces(retrieval.merged(rows), 40.0, 1.2, 0.75, 64).select("term", "n", F.size("postings").alias("held")).collect()
+    assert len(found) == 40 * 8 and all(r.n == r.held <= 64 for r in found)
+    docs = texts(spark, [(i % 90, " ".join(f"w{i * j % 23}" for j in range(i % 7 + 1))) for i in range(100)] + [(200, None), (201, "")])
+    index = inverted.build(docs, block=8)
+    held = {(r.term, r.p.doc_id, r.p.dl): r.p.tf for r in index.blocks.select("term", F.explode("postings").alias("p")).collect()}
+    want = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "doc_id", "dl").count()
+    assert held == {(r.term, r.doc_id, r.dl): r["count"] for r in want.collect()}
+    assert index.blocks.agg(F.max("n")).first()[0] < 16 and index.figures[0] == 102
+
+
+def test_only_what_can_reach_the_best_is_looked_up(spark):
+    rows = [(q, i, float(i), 10.5) for q in (1, 2) for i in range(100)] + [(3, 1, 0.5, 9.0), (None, 1, 0.5, 9.0)]
+    kept = inverted.narrowed(spark.createDataFrame(rows, "query_id long, doc_id long, s double, might double"), 5).collect()
+    want = {(q, i) for q in (1, 2) for i in range(100) if i + 10.5 >= 95} | {(3, 1), (None, 1)}  # fewer than k: all stay
+    assert {(r.query_id, r.doc_id) for r in kept} == want and len(kept) == len(want)
