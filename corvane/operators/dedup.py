@@ -26,8 +26,9 @@ def exact_duplicates(docs: DataFrame, name_col: str | None = None) -> DataFrame:
     Originals come first in corpus order, but names that contain "copy" come last; blank texts are skipped in pass 2.
     """
     copy = F.lower(F.col(name_col)).contains("copy") if name_col else F.lit(False)
-    rank = [F.coalesce(copy, F.lit(False)), F.col("doc_id")]
-    base = docs.withColumns({"__file": F.sha2("text", 256), "__plain": F.when(F.trim("text") != "", content_hash(F.col("text")))})
+    rank = [F.col("__copy"), F.col("doc_id")]
+    # written once: both passes read the keys twice, and neither a text again
+    base = stored(docs.select("doc_id", F.coalesce(copy, F.lit(False)).alias("__copy"), F.sha2("text", 256).alias("__file"), F.when(F.trim("text") != "", content_hash(F.col("text"))).alias("__plain")))
     one = canonical(base, "__file", rank).withColumn("__dup", F.when(F.col("__first") != F.col("doc_id"), F.col("__first"))).drop("__first")
     rest = canonical(one.where(F.col("__dup").isNull()), "__plain", rank).where(F.col("__first") != F.col("doc_id"))
     found = one.where(F.col("__dup").isNotNull()).select("doc_id", F.col("__dup").alias("duplicate_of"), F.lit("exact_file").alias("duplicate_type"))

@@ -11,6 +11,7 @@ from corvane.operators.dedup import count_pairs
 from corvane.operators.medians import medians
 
 MIN_DOCUMENT, TINY_CHUNK, CHUNK_LIMIT, QA_LIMIT, OVERSIZE = 100, 20, 600, 1000, 1.1
+ISSUES = "array<struct<level:string,code:string,message:string>>"
 # The location field that chunks of a file type need.
 PAGED = {"pdf": "page_start", "pptx": "slide_start", "ppt": "slide_start"}
 
@@ -23,19 +24,26 @@ def _issues(rows: DataFrame, level: str, code: str, message: Column | str, chunk
 def document_issues(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """docs(document_id, extraction_status, extraction_error, char_count, token_count, is_duplicate, duplicate_of,
     duplicate_type, near_duplicates, image_only_units): one row an issue; a failed extraction has no other issues."""
-    ok = docs.where("extraction_status = 'ok'")
-    near = ok.select("document_id", F.explode("near_duplicates").alias("n")).where("document_id < n.document_id")
-    said = F.concat(F.lit("with "), F.col("n.document_id"), F.lit(" (jaccard="), F.col("n.jaccard"), F.lit(", containment="), F.col("n.containment"), F.lit(")"))
-    parts = [
-        _issues(docs.where("extraction_status <> 'ok'"), "error", "extraction_failed", F.coalesce("extraction_error", F.lit("extraction failed"))),
-        _issues(ok.where("coalesce(char_count, 0) = 0"), "error", "empty_document", "no text extracted"),
-        _issues(ok.where(f"char_count > 0 and token_count < {MIN_DOCUMENT}"), "warning", "tiny_document", F.concat(F.lit("only "), F.col("token_count"), F.lit(" tokens extracted"))),
-        _issues(ok.where("char_count > 0").join(chunks.select("document_id"), "document_id", "left_anti"), "error", "no_chunks", "document produced no chunks"),
-        _issues(ok.where("is_duplicate"), "info", "duplicate_document", F.concat(F.col("duplicate_type"), F.lit(" duplicate of "), F.col("duplicate_of"))),
-        near.select(F.lit("info").alias("level"), F.col("n.relation").alias("code"), "document_id", F.lit(None).cast("string").alias("chunk_id"), said.alias("message")),
-        _issues(ok.where("size(image_only_units) > 0"), "warning", "image_only_content", F.concat(F.size("image_only_units"), F.lit(" page(s)/slide(s) have images but almost no text: "), F.array_join(F.col("image_only_units").cast("array<string>"), ", "))),
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    known = chunks.select("document_id", F.lit(True).alias("__chunks")).distinct()
+    ok, failed = F.col("extraction_status") == "ok", F.col("extraction_status") != "ok"
+
+    def issue(where: Column, level: str, code: str | Column, message: Column | str) -> Column:
+        code, message = (F.lit(x) if isinstance(x, str) else x for x in (code, message))
+        return F.when(where, F.struct(F.lit(level).alias("level"), code.alias("code"), message.alias("message")))
+
+    said = lambda n: F.concat(F.lit("with "), n["document_id"], F.lit(" (jaccard="), n["jaccard"], F.lit(", containment="), n["containment"], F.lit(")"))
+    near = F.transform("near_duplicates", lambda n: issue(ok & (F.col("document_id") < n["document_id"]), "info", n["relation"], said(n)))
+    parts = F.array(
+        issue(failed, "error", "extraction_failed", F.coalesce("extraction_error", F.lit("extraction failed"))),
+        issue(ok & (F.coalesce("char_count", F.lit(0)) == 0), "error", "empty_document", "no text extracted"),
+        issue(ok & (F.col("char_count") > 0) & (F.col("token_count") < MIN_DOCUMENT), "warning", "tiny_document", F.concat(F.lit("only "), F.col("token_count"), F.lit(" tokens extracted"))),
+        issue(ok & (F.col("char_count") > 0) & F.col("__chunks").isNull(), "error", "no_chunks", "document produced no chunks"),
+        issue(ok & F.col("is_duplicate"), "info", "duplicate_document", F.concat(F.col("duplicate_type"), F.lit(" duplicate of "), F.col("duplicate_of"))),
+        issue(ok & (F.size("image_only_units") > 0), "warning", "image_only_content", F.concat(F.size("image_only_units"), F.lit(" page(s)/slide(s) have images but almost no text: "), F.array_join(F.col("image_only_units").cast("array<string>"), ", "))),
+    )
+    # all of a document's issues in one pass: each part on its own would work the documents out anew
+    every = docs.join(known, "document_id", "left").select("document_id", F.explode(F.concat(parts, F.coalesce(near, F.array().cast(ISSUES)))).alias("i"))
+    return every.where("i is not null").select("i.level", "i.code", "document_id", F.lit(None).cast("string").alias("chunk_id"), "i.message")
 
 
 def chunk_issues(chunks: DataFrame, docs: DataFrame) -> DataFrame:

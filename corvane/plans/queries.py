@@ -388,7 +388,9 @@ def described(spark, sf):
     """documents as the validator wants them; every 97th counts as a failed extraction."""
     d = table(spark, sf, "documents")
     dup = dedup.exact_duplicates(d).withColumn("is_duplicate", F.lit(True))
-    rows = d.join(dup, "doc_id", "left").withColumns({"document_id": F.concat(F.lit("d"), F.col("doc_id")), "char_count": F.char_length("text").cast("long"), "token_count": F.size(T.tokens(F.col("text"))).cast("long"), "is_duplicate": F.coalesce("is_duplicate", F.lit(False)), "extraction_status": F.when(F.col("doc_id") % 97 == 0, "failed").otherwise("ok"), "extraction_error": F.lit(None).cast("string")})
+    # counted before the join, so that no text is shuffled
+    counts = d.select("doc_id", F.char_length("text").cast("long").alias("char_count"), F.size(T.tokens(F.col("text"))).cast("long").alias("token_count"))
+    rows = counts.join(dup, "doc_id", "left").withColumns({"document_id": F.concat(F.lit("d"), F.col("doc_id")), "is_duplicate": F.coalesce("is_duplicate", F.lit(False)), "extraction_status": F.when(F.col("doc_id") % 97 == 0, "failed").otherwise("ok"), "extraction_error": F.lit(None).cast("string")})
     near = "array<struct<document_id:string,relation:string,jaccard:double,containment:double>>"
     other = F.struct(F.concat(F.lit("d"), F.col("doc_id") + 1), F.lit("near_duplicate"), F.lit(0.85), F.lit(0.9))
     return rows.withColumns({
@@ -408,8 +410,8 @@ union all select 'warning', 'image_only_content', document_id, '2 page(s)/slide(
 
 
 def issues(spark, sf):
-    d = described(spark, sf)
-    return quality.document_issues(d, d.where("doc_id % 37 <> 0").select("document_id"))
+    chunks = table(spark, sf, "documents").where("doc_id % 37 <> 0").select(F.concat(F.lit("d"), "doc_id").alias("document_id"))
+    return quality.document_issues(described(spark, sf), chunks)
 
 
 @query(f"with {_ISSUES} select * from issues")
