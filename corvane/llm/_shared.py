@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.folds import small_batches  # noqa: F401  for the operators
 from corvane.sources.shared import shared_dir, small_arrow, stored  # noqa: F401  shared_dir for the operators
 
 #: A null id is read as this value: it ranks after every other id.
@@ -79,18 +77,6 @@ def ranked(df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Se
     return out.drop("__r", "__b", "__o", "__ov")
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a binary column has about ``most`` bytes in each; a longer value comes alone."""
-    for batch in batches:
-        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).cast(pa.float64()).to_numpy(zero_copy_only=False)))
-        ends, at = np.cumsum(sizes), 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def split_words(text: Column) -> Column:
     """How many runs of other characters than white space a text has (null: 0)."""
     bare = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACES))

@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from corvane.operators.folds import small_batches
 from corvane.sources import versions
-from corvane.sources.shared import stored
+from corvane.sources.shared import small_arrow, stored
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ class Registry(dict[str, Spec]):
 
 
 EMBEDDED = "chunk_id string, vector array<float>, n_tokens int, error string"
+#: Rows, and bytes of text, that a task holds and a model gets at once.
+ROWS, BYTES = 1024, 2 << 20
 
 
 def embed(rows: DataFrame, spec: Spec, tokens: Callable[[str], int], model: Callable[[Sequence[str]], np.ndarray], query: bool = False) -> DataFrame:
@@ -47,7 +50,7 @@ def embed(rows: DataFrame, spec: Spec, tokens: Callable[[str], int], model: Call
 
     Inputs that are null, blank or longer than the model takes are refused, never cut; a vector that is not of the
     model's length, not finite or zero is an error of its row, and the others go on.  The model gets the texts of a batch
-    together; where that fails, one by one.
+    together, ROWS and about BYTES of them at most; where that fails, one by one.
     """
     prefix = spec.query_prefix if query else spec.document_prefix
 
@@ -66,17 +69,18 @@ def embed(rows: DataFrame, spec: Spec, tokens: Callable[[str], int], model: Call
             return None, f"the model gave no vector of {spec.dim} finite numbers"
         return (vector / length).tolist(), None
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [None if t is None or not t.strip() else prefix + t for t in part["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_batches((b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)), 1, BYTES):
+            texts = [None if t is None or not t.strip() else prefix + t for t in part.column(1).to_pylist()]
             sizes = [0 if t is None else tokens(t) for t in texts]
             found = [(None, "empty input" if t is None else f"input has {n} tokens, {spec.name} takes {spec.max_tokens}") for t, n in zip(texts, sizes, strict=True)]
             good = [i for i, (t, n) in enumerate(zip(texts, sizes, strict=True)) if t is not None and n <= spec.max_tokens]
             for i, vector in zip(good, called([texts[i] for i in good]) if good else [], strict=True):
                 found[i] = checked(vector)
-            yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": [v for v, _ in found], "n_tokens": sizes, "error": [e for _, e in found]})
+            columns = [part.column(0), pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array(sizes, pa.int32()), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "vector", "n_tokens", "error"])
 
-    return rows.select("chunk_id", "text").mapInPandas(run, EMBEDDED)
+    return rows.select(F.col("chunk_id").cast("string"), "text").mapInArrow(run, EMBEDDED)
 
 
 def build_index(chunks: DataFrame, path: str, spec: Spec, tokens: Callable[[str], int], model: Callable[[Sequence[str]], np.ndarray], corpus: str, recreate: bool = False) -> tuple[Row, DataFrame, dict[str, int]]:
@@ -88,7 +92,8 @@ def build_index(chunks: DataFrame, path: str, spec: Spec, tokens: Callable[[str]
     seen = Observation()
     count = lambda c: F.count_if(c)
     figures = [F.count(F.lit(1)).alias("rows"), count(F.col("error").isNotNull()).alias("failures"), F.max("n_tokens").alias("longest"), count(F.col("n_tokens") > 512).alias("over_512"), count(F.col("n_tokens") > spec.max_tokens).alias("over_max")]
-    done = stored(embed(chunks, spec, tokens, model).observe(seen, *figures))
+    with small_arrow(chunks.sparkSession):
+        done = stored(embed(chunks, spec, tokens, model).observe(seen, *figures))
     found = {k: v or 0 for k, v in seen.get.items()}
     rows = done.where("error is null").select("chunk_id", "vector").join(chunks.drop("text"), "chunk_id")
     return versions.create(rows, path, spec.name, corpus, recreate), done.where("error is not null").select("chunk_id", "error"), found
