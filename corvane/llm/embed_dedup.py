@@ -1,6 +1,11 @@
-"""Embedding near-dedup by a subspace pigeonhole join.
+"""Embedding near-dedup: all pairs in blocks, or a subspace pigeonhole join of very many vectors.
 
-For unit vectors, cosine >= c means a squared distance of 2 (1 - c) at most.  All vectors are turned by one seeded
+Up to ALWAYS pairs, and beyond where the join would cost more, vectors are written once in blocks, and every pair of blocks
+is compared where it is read: a Cartesian product of files, so no vector is shuffled to meet another.  A product over the
+leading coordinates of the turned vectors gives a part of the squared distance, which is no more than the whole; the few
+pairs within the limit there are checked exactly.  How many coordinates is laid by a sample, and links don't depend on it.
+
+The join: for unit vectors, cosine >= c means a squared distance of 2 (1 - c) at most.  All vectors are turned by one seeded
 rotation and split into blocks of 8 dimensions; a linked pair keeps to its proportional share of the squared distance
 in one block at least.  So in each block vectors are joined within that share: a grid over the block's leading
 coordinates brings a vector to its own cell and to the neighbour cells its range touches, and in a cell block distances
@@ -8,7 +13,7 @@ select candidates, which are checked exactly on the original vectors.  Over how
 laid by the cells found on about SAMPLE vectors: what a finer grid saves in crowded cells against what it adds in
 neighbours.  Links do not depend on it.
 A pair counts in the first block in which it keeps to the share, and in one cell, so unions need no pair list: cells
-return link counts and a spanning forest of their links.
+return link counts and a spanning forest of their links.  Its vectors go to a cell and its neighbours in each block.
 
 Equal vectors are one class with a number of copies.  A cell over CHUNK rows is dealt out as pairs of chunks, each a
 task's work of bounded memory, so a crowded cell is spread and nothing is dropped.
@@ -25,17 +30,22 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import id_column, materialise
+from corvane.llm._shared import id_column, materialise, small_arrow
 from corvane.llm.components import connected_components
-from corvane.llm.vectors import lists, matrix, valid_vectors
+from corvane.llm.vectors import lists, matrix, takes_part, valid_vectors
+from corvane.sources.shared import fresh_path
 
 BLOCK = 8
 #: Rows of a chunk (two of them in a task), vectors that the grid is fitted on, and pairs compared in a dealt row's time.
 CHUNK, SAMPLE, PAIRS = 32_768, 8192, 2000
 SLACK = 1e-6
+#: Rows of a block of the all-pairs comparison and of a tile of it, blocks of a file, pairs that are always compared that way,
+#: coordinates that may be compared first, and products of a coordinate in the time of one exact check.
+ROWS, TILE, FILE_BLOCKS, ALWAYS, LEADS, CHECK = 8192, 512, 8, 1 << 40, (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256), 2000
 
 
 class Subspaces:
@@ -49,6 +59,8 @@ class Subspaces:
         self.share = (2 * (1 - cosine) + SLACK) * width / dim
         self.grid = [0] * len(width)
         self.step = 2 * np.sqrt(self.share) + 1e-9
+        #: of a squared distance that single precision gives
+        self.limit = np.float32(2 * (1 - cosine) + SLACK + 1e-5)
 
     def dealt(self, y: np.ndarray, b: int, rows: int) -> tuple[float, float]:
         """(copies of a vector, pairs compared) in block b of a table of ``rows`` vectors that ``y`` are drawn from."""
@@ -67,6 +79,18 @@ class Subspaces:
                 costs.append(copies * rows + pairs / PAIRS)
             self.grid[b] = int(np.argmin(costs))
 
+    def cheaper(self, drawn: np.ndarray, rows: int) -> bool:
+        """Whether the join, as fitted, costs less than all pairs of ``rows`` vectors like ``drawn``."""
+        y, half = self.rotated(drawn), rows * (rows - 1) / 2
+        return half > ALWAYS and sum(copies * rows * PAIRS + pairs for copies, pairs in (self.dealt(y, b, rows) for b in range(len(self.edges)))) < half
+
+    def lead(self, drawn: np.ndarray) -> int:
+        """How many leading coordinates to compare first: their products and the exact checks that they leave cost least."""
+        y, dim = self.rotated(drawn), len(self.turn)
+        choices = [k for k in LEADS if k < dim] + [dim]
+        passed = [float((_apart(y[:, :k], y[:, :k]) <= self.limit).mean()) for k in choices]
+        return choices[int(np.argmin([k + CHECK * p for k, p in zip(choices, passed, strict=True)]))]
+
     def rotated(self, x: np.ndarray, b: int | None = None) -> np.ndarray:
         """Unit vectors turned (block b of them); summed one coordinate after another, so a vector's result depends on
         it alone."""
@@ -127,6 +151,126 @@ class Subspaces:
                 yield p[first & within[:, b]], q[first & within[:, b]]
 
 
+def _sides(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays: a row of the first times one of the second is the squared distance of the two, in one product."""
+    part = part.astype(np.float32)
+    square = (part * part).sum(1, keepdims=True)
+    one = np.ones_like(square)
+    return np.concatenate([-2 * part, square, one], axis=1), np.concatenate([part, one, square], axis=1)
+
+
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _sides(left)[0] @ _sides(right)[1].T
+
+
+def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """root, a forest of stars, with the links p, q in it."""
+    while np.any(root[p] != root[q]):
+        low = np.minimum(root[p], root[q])
+        np.minimum.at(root, root[p], low)
+        np.minimum.at(root, root[q], low)
+        while np.any(root != root[root]):
+            root = root[root]
+    return root
+
+
+def _said(node: np.ndarray, count: np.ndarray, root: np.ndarray) -> dict:
+    """Link counts and a spanning forest as columns a, b, n."""
+    linked, child = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(root)))
+    return {"a": np.concatenate([node[linked], node[child]]), "b": pa.array(np.concatenate([np.zeros(len(linked), np.int64), node[root[child]]]), mask=np.arange(len(linked) + len(child)) < len(linked)), "n": np.concatenate([count[linked], np.zeros(len(child), np.int64)])}
+
+
+def blocks_of(classes: DataFrame, dim: int, kind: str) -> DataFrame:
+    """classes(node, copies, k, l, v) written in blocks of ROWS at most: (block, node, copies, k, l, v), arrays as bytes."""
+    held, most = np.float32 if "float" in kind else np.float64, ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        block = TaskContext.get().partitionId() << 32
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal kept, block
+            table = pa.Table.from_batches(kept)
+            row = {c: [table.column(c).to_numpy().tobytes()] for c in ("node", "copies", "k", "l")}
+            yield pa.RecordBatch.from_pydict({"block": [block], **row, "v": [matrix(table.column("v"), dim).astype(held).tobytes()]})
+            kept, block = [], block + 1
+
+        for batch in batches:
+            while batch.num_rows:  # full blocks, whatever the batches
+                room = most - sum(b.num_rows for b in kept)
+                kept.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in kept) == most:
+                    yield from packed()
+        if kept:
+            yield from packed()
+
+    spark, path = classes.sparkSession, fresh_path(classes.sparkSession)
+    made = classes.select("node", "copies", "k", "l", "v").mapInArrow(run, "block long, node binary, copies binary, k binary, l binary, v binary")
+    with small_arrow(spark):
+        made.write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)  # a reader holds the blocks of a file at once
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def members_of(blocks: DataFrame, kind: str | None = None, dim: int = 0) -> DataFrame:
+    """The rows of blocks again: (node, copies, k, l), with a kind (node, copies, v)."""
+    names = ["node", "copies", *(["v"] if kind else ["k", "l"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in names), strict=True):
+                found = [np.frombuffer(x.as_py(), np.int64) for x in row[: 2 if kind else 4]]
+                if kind:
+                    held, made = (np.float32, pa.float32()) if "float" in kind else (np.float64, pa.float64())
+                    found.append(lists(np.frombuffer(row[2].as_py(), held).reshape(-1, dim), made))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
+
+    return blocks.select(*names).mapInArrow(run, "node long, copies long, " + (f"v {kind}" if kind else "k long, l long"))
+
+
+def all_links(blocks: DataFrame, spaces: Subspaces, dim: int, kind: str, lead: int) -> DataFrame:
+    """Link counts and links as ``vector_links`` gives them, by every pair of blocks."""
+    held = np.float32 if "float" in kind else np.float64
+    side = lambda x: blocks.select(*[F.col(c).alias(x + c) for c in ("block", "node", "copies", "v")])
+    # of two blocks one order is taken, each block being first in about half of its pairs
+    once = F.expr("ablock = bblock or (ablock < bblock) = ((xxhash64(ablock) ^ xxhash64(bblock)) & 1 = 0)")
+    met = side("a").join(side("b").hint("shuffle_replicate_nl"), once)
+
+    def read(node: pa.Scalar, copies: pa.Scalar, v: pa.Scalar) -> tuple:
+        x = np.frombuffer(v.as_py(), held).reshape(-1, dim).astype(np.float64)
+        norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+        return np.frombuffer(node.as_py(), np.int64), np.frombuffer(copies.as_py(), np.int64), x, norm, *_sides(x / norm[:, None] @ spaces.turn[:, :lead])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple = (None, None)  # the last block: the next pairs of a task have the same one
+        for batch in batches:
+            for a, an, ac, av, b, bn, bc, bv in zip(*batch.columns, strict=True):
+                if seen[0] != a.as_py():
+                    seen = (a.as_py(), read(an, ac, av))
+                same, left = a.as_py() == b.as_py(), seen[1]
+                right = left if same else read(bn, bc, bv)
+                shift = 0 if same else len(left[0])
+                node, copies = (left[k] if same else np.concatenate([left[k], right[k]]) for k in (0, 1))
+                count, root = np.zeros(len(node), np.int64), np.arange(len(node))
+                for m in range(0, len(left[0]), TILE):
+                    for n in range(m if same else 0, len(right[0]), TILE):
+                        near = left[4][m : m + TILE] @ right[5][n : n + TILE].T <= spaces.limit
+                        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                        i, j = i + m, j + n
+                        if same:
+                            i, j = i[j > i], j[j > i]
+                        for s in range(0, len(i), 1 << 15):
+                            p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+                            linked = (left[2][p] * right[2][q]).sum(1) / (left[3][p] * right[3][q]) >= spaces.cosine
+                            p, q = p[linked], q[linked] + shift
+                            np.add.at(count, p, copies[q])
+                            np.add.at(count, q, copies[p])
+                            root = _joined(root, p, q)
+                yield pa.RecordBatch.from_pydict(_said(node, count, root))
+
+    return met.select(*[x + c for x in "ab" for c in ("block", "node", "copies", "v")]).mapInArrow(run, "a long, b long, n long")
+
+
 def _keyed(classes: DataFrame, spaces: Subspaces, dim: int, kind: str, payload: bool) -> DataFrame:
     held = pa.float32() if "float" in kind else pa.float64()
 
@@ -166,14 +310,8 @@ def vector_links(classes: DataFrame, spaces: Subspaces, dim: int, kind: str) ->
             for p, q in spaces.links(b, x, y, left, right, upper):
                 np.add.at(count, p, copies[q])
                 np.add.at(count, q, copies[p])
-                while np.any(root[p] != root[q]):
-                    low = np.minimum(root[p], root[q])
-                    np.minimum.at(root, root[p], low)
-                    np.minimum.at(root, root[q], low)
-                    while np.any(root != root[root]):
-                        root = root[root]
-        linked, child = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(x)))
-        return pa.table({"a": np.concatenate([node[linked], node[child]]), "b": pa.array(np.concatenate([np.zeros(len(linked), np.int64), node[root[child]]]), mask=np.arange(len(linked) + len(child)) < len(linked)), "n": np.concatenate([count[linked], np.zeros(len(child), np.int64)])})
+                root = _joined(root, p, q)
+        return pa.table(_said(node, count, root))
 
     # dealt by the pair of chunks too: a partitioning by cell, as a join may leave it, would do a cell's pairs in one task
     dealt = dealt.select("b", "cell", "i", "j", "home", "node", "copies", "c", "v").repartition("b", "cell", "i", "j")
@@ -188,14 +326,21 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     kind = table.schema[vector_col].dataType.simpleString()
     if not dim:
         return table.select(id_column(id_col).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), id_column(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    classes = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    n, spaces = classes.count(), Subspaces(dim, cosine)
-    drawn = classes.where(F.pmod(F.xxhash64(F.lit(19), "v"), F.lit(max(1, n))) < SAMPLE).select("v").toArrow()
-    if drawn.num_rows:
-        spaces.fit(matrix(drawn.column("v"), dim), n)
-    found = materialise(vector_links(classes, spaces, dim, kind))
+    # what a row's vector is found by again: 128 bits, so no vector is shuffled for it; -0.0 is 0.0
+    key = lambda seed: F.xxhash64(F.lit(seed), F.transform("v", lambda x: x + F.lit(0).cast("float")))
+    grouped = rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    blocks = blocks_of(grouped.select("*", key(1).alias("k"), key(2).alias("l")).coalesce(max(1, -(-rows.count() // ROWS))), dim, kind)
+    n, spaces = blocks.agg(F.sum(F.octet_length("node") / 8)).first()[0] or 0, Subspaces(dim, cosine)
+    classes = members_of(blocks, kind, dim)
+    drawn = matrix(classes.where(F.pmod(F.xxhash64(F.lit(19), "v"), F.lit(max(1, int(n)))) < SAMPLE).select("v").toArrow().column("v"), dim)
+    grid = False
+    if len(drawn) and n * (n - 1) / 2 > ALWAYS:
+        spaces.fit(drawn, int(n))
+        grid = spaces.cheaper(drawn, int(n))
+    found = materialise(vector_links(classes, spaces, dim, kind) if grid else all_links(blocks, spaces, dim, kind, spaces.lead(drawn[:1024]) if len(drawn) else dim))
     reach = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    named = classes.join(counts, "node", "left").join(reach, "node", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    every = table.select(id_column(id_col).alias("vec_id"), F.col(vector_col).alias("v")).join(named, "v", "left")
+    named = members_of(blocks).join(counts, "node", "left").join(reach, "node", "left").select("k", "l", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    every = table.select(id_column(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
+    every = every.select("vec_id", F.when(takes_part("v", dim), key(1)).alias("k"), F.when(takes_part("v", dim), key(2)).alias("l")).join(named, ["k", "l"], "left")
     return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))

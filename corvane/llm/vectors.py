@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm._shared import id_column
 
 
+def takes_part(vector: str, dim: int) -> Column:
+    """Whether a vector takes part among those of dimension dim; never null."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0) & (F.size(vector) == dim), F.lit(False))
+
+
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """(vec_id, v) of the vectors that take part, v in the column's own type, and their dimension.
 
