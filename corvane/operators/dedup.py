@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_hash, plain_form, shingle_hashes
+from corvane.operators import overlaps
 from corvane.sources.files import stored
 
 NEAR, OVERLAP = 0.8, 0.5
@@ -41,42 +42,34 @@ def duplicate_chunks(chunks: DataFrame, id_col: str = "doc_id", text_col: str =
     return canonical(keyed, "__key", [F.col("doc_id")]).where(F.col("__first") != F.col("doc_id")).select("doc_id", F.col("__first").alias("duplicate_of"))
 
 
-def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, key, s): hashes of a document's shingles in order and a key of equal sets; texts without shingles are left
-    out.  Written once, for the operators that read it."""
-    sets = docs.where(plain_form(F.col("text")) != "").select("doc_id", shingle_hashes(F.col("text"), k).alias("s"))
-    return stored(sets.select("doc_id", F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).alias("key"), "s"))
+def shingle_sets(docs: DataFrame, k: int = 5) -> overlaps.Sets:
+    """The shingles of documents, written once, for the operators that read them; texts without shingles are left out."""
+    return overlaps.shingle_sets(docs, k)
 
 
-def near_duplicate_pairs(docs: DataFrame, k: int = 5, near: float = NEAR, overlap: float = OVERLAP, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b, relation, jaccard, containment) of classes of equal shingle sets, a < b, and each class's members' pairs.
+def near_duplicate_pairs(docs: DataFrame, k: int = 5, near: float = NEAR, overlap: float = OVERLAP, sets: overlaps.Sets | None = None) -> DataFrame:
+    """(a, b, relation, jaccard, containment) of classes of equal shingle sets, a < b; no pairs within a class.
 
-    Prefix filter: sets that share half of the smaller one share a shingle of that one's rarest half (and one more),
-    so only those are looked up in the other sets, and a shingle of one set alone in none.  Equal sets are one class;
-    a class is represented by its smallest id, and ``shingle_classes`` says who belongs to it.  Only shingles of more
-    than one set are looked up, compared and carried with a pair; ``sets`` are those of ``shingle_sets``, if at hand.
+    A class is represented by its smallest id, and ``shingle_classes`` says who belongs to it; ``sets`` are those of
+    ``shingle_sets``, if at hand.  Pairs come from where two blocks of sets are compared (``overlaps``): none is shuffled.
     """
-    sets = shingle_sets(docs, k) if sets is None else sets
-    classes = sets.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("s").alias("s")).select("id", "s", F.size("s").alias("n"))
-    held = classes.select("id", "n", F.explode("s").alias("g"))
-    # counted where they meet: a count joined back would make and shuffle all shingles twice
-    ranked = held.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df > 1")
-    rare = stored(ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs")))
-    # a set's shingles that no other set has are its rarest: they fill the prefix first
-    least = F.ceil(F.col("n") * F.lit(min(near, overlap)))
-    prefix = rare.select("id", "n", F.explode(F.slice("gs", F.lit(1), F.greatest(F.size("gs") - least + 1, F.lit(0)).cast("int"))).alias("x")).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("x.g").alias("g"))
-    other = rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("gs.g").alias("g"))
-    pairs = prefix.join(other, "g").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") != F.col("b")))).select("a", "b").distinct()
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda x: rare.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("gs.g").alias(f"s{x}"))
-    inter = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
-    scored = inter.withColumns({"j": F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), "c": F.col("i") / F.least("na", "nb")}).where((F.col("j") >= near) | (F.col("c") >= overlap))
-    return scored.select("a", "b", F.when(F.col("j") >= near, "near_duplicate").otherwise("overlap").alias("relation"), F.round("j", 3).alias("jaccard"), F.round("c", 3).alias("containment"))
-
-
-def shingle_classes(docs: DataFrame, k: int = 5, sets: DataFrame | None = None) -> DataFrame:
+    found = overlaps.overlapping(shingle_sets(docs, k) if sets is None else sets, near, overlap).where("a <> b")
+    scored = found.withColumns({"j": F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), "c": F.col("i") / F.least("na", "nb")})
+    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("j") >= near, "near_duplicate").otherwise("overlap").alias("relation"), F.round("j", 3).alias("jaccard"), F.round("c", 3).alias("containment"))
+
+
+def pair_counts(docs: DataFrame, k: int = 5, near: float = NEAR, overlap: float = OVERLAP, sets: overlaps.Sets | None = None) -> DataFrame:
+    """(n): numbers whose sum is the pairs of documents in two near classes, for ``count_pairs``; no pair leaves its block."""
+    return overlaps.overlapping(shingle_sets(docs, k) if sets is None else sets, near, overlap, counted=True)
+
+
+def shingle_classes(docs: DataFrame, k: int = 5, sets: overlaps.Sets | None = None) -> DataFrame:
     """(doc_id, class_id): documents with equal shingle sets share a class, named by its smallest id."""
-    keyed = (shingle_sets(docs, k) if sets is None else sets).select("doc_id", "key")
+    if sets is None:
+        own = docs.where(plain_form(F.col("text")) != "").select("doc_id", shingle_hashes(F.col("text"), k).alias("s"))
+        keyed = stored(own.select("doc_id", F.struct(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).alias("key")))
+    else:
+        keyed = sets.texts.select("doc_id", F.struct("n", "h", "i").alias("key"))
     return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("class_id")), "key").select("doc_id", "class_id")
 
 
@@ -97,8 +90,14 @@ def adjacency(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def count_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """One row near_duplicate_pairs: the unordered pairs of documents, those within a class included, without listing them."""
+    """One row near_duplicate_pairs: the unordered pairs of documents, those within a class included, without listing them.
+
+    pairs are of classes, or what ``pair_counts`` gives.
+    """
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (sizes.select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    between = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b").select((F.col("na") * F.col("nb")).alias("n"))
+    if pairs.columns == ["n"]:
+        between = pairs
+    else:
+        a, b = (sizes.select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+        between = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b").select((F.col("na") * F.col("nb")).alias("n"))
     return between.unionAll(sizes.select(F.expr("n * (n - 1) div 2"))).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("near_duplicate_pairs"))
