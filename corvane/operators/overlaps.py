@@ -31,9 +31,9 @@ from corvane.sources.shared import fresh_path, small_arrow, stored
 PLAIN = bytes(ord(c) if (c := chr(i).lower()) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for i in range(128)) + b" " * 128
 #: Shingles of a run, texts of it at most, shingles of a range, rows and sets of a block, blocks of a file, and incidences up
 #: to which a set's are sorted with others' instead of counted over the block.
-RUN, TEXTS, RANGE, ROWS, SETS, FILE_BLOCKS, FEW = 1 << 21, 1 << 16, 1 << 21, 1 << 19, 1 << 15, 4, 256
+RUN, TEXTS, RANGE, ROWS, SETS, FILE_BLOCKS, FEW = 1 << 20, 1 << 16, 1 << 20, 1 << 19, 1 << 15, 2, 256
 #: Incidences and sums of a stretch of sets that are counted at once, and those of one group that are counted by themselves.
-CELLS, LONG = 1 << 20, 1024
+CELLS, LONG = 1 << 19, 1024
 #: Beyond all places of texts, so that no place has 0 as its share of a list's hash.
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 

@@ -438,9 +438,10 @@ def token_stats(spark, sf):
 @query(f"""with {_DOC_PAIRS}, dup as ({_EXACT}) select (select count(*) from documents) as documents, (select count(*) from dup) as duplicate_documents, (select cast(sum(length(text)) as bigint) from documents) as characters,
 (select count(*) from documents) as chunks, (select cast(sum(len({TOKENS})) as bigint) from documents) as chunk_tokens, (select count(*) from pairs) as near_duplicate_pairs""")
 def corpus_manifest(spark, sf):
-    d, texts = described(spark, sf), docs(spark, sf)
+    # written once: totals and chunks are both counted on it
+    d, texts = stored(described(spark, sf).select("is_duplicate", "char_count", "token_count")), docs(spark, sf)
     sets = dedup.shingle_sets(texts)
-    return quality.manifest(d, d.select("token_count"), dedup.near_duplicate_pairs(texts, sets=sets), dedup.shingle_classes(texts, sets=sets))
+    return quality.manifest(d, d.select("token_count"), dedup.pair_counts(texts, sets=sets), dedup.shingle_classes(texts, sets=sets))
 
 
 _FAULTY = """chunks as (select d.*, len(regexp_extract_all(text, '\\S+')) as tokens, case when doc_id % 11 = 0 then 'c0' else 'c' || doc_id end as chunk_id, case when doc_id % 13 = 0 then 'none' else 'd' || doc_id end as document_id,
