@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_hash, plain_form, shingle_hashes
@@ -60,7 +60,7 @@ def near_duplicate_pairs(docs: DataFrame, k: int = 5, near: float = NEAR, overla
 
 def pair_counts(docs: DataFrame, k: int = 5, near: float = NEAR, overlap: float = OVERLAP, sets: overlaps.Sets | None = None) -> DataFrame:
     """(n): numbers whose sum is the pairs of documents in two near classes, for ``count_pairs``; no pair leaves its block."""
-    return overlaps.overlapping(shingle_sets(docs, k) if sets is None else sets, near, overlap, counted=True)
+    return overlaps.overlapping(shingle_sets(docs, k) if sets is None else sets, near, overlap, "counts")
 
 
 def shingle_classes(docs: DataFrame, k: int = 5, sets: overlaps.Sets | None = None) -> DataFrame:
@@ -81,14 +81,33 @@ def adjacency(pairs: DataFrame, members: DataFrame) -> DataFrame:
     twin has the links of its class, and a large class is never expanded into pairs.
     """
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    ways = [pairs.select(F.col(x).alias("class_id"), F.col(y).alias("other"), "relation", "jaccard", "containment") for x, y in (("a", "b"), ("b", "a"))]
-    links = ways[0].unionAll(ways[1]).join(sizes.withColumnRenamed("class_id", "other"), "other")
+    ways = F.array(*[F.struct(F.col(x).alias("class_id"), F.col(y).alias("other")) for x, y in ("ab", "ba")])  # pairs are worked out once
+    links = pairs.select(F.explode(ways).alias("w"), "relation", "jaccard", "containment").select("w.*", "relation", "jaccard", "containment").join(sizes.withColumnRenamed("class_id", "other"), "other")
     own = sizes.where("n > 1").select(F.col("class_id").alias("other"), "class_id", F.lit("near_duplicate").alias("relation"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"), (F.col("n") - 1).alias("n"))
     every = links.unionByName(own).select("class_id", "n", F.struct(F.col("other").alias("document_id"), "relation", "jaccard", "containment", F.col("n").alias("documents")).alias("e"))
     lists = every.groupBy("class_id").agg(F.sum("n").alias("n_near_duplicates"), F.array_sort(F.collect_list("e")).alias("near_duplicates"))
     return members.join(lists, "class_id").select("doc_id", "class_id", "n_near_duplicates", "near_duplicates")
 
 
+def near_adjacency(docs: DataFrame, k: int = 5, near: float = NEAR, overlap: float = OVERLAP, sets: overlaps.Sets | None = None) -> DataFrame:
+    """What ``adjacency`` gives of ``near_duplicate_pairs``, in one shuffle of lists of neighbours instead of rows of pairs."""
+    sets = shingle_sets(docs, k) if sets is None else sets
+    one = lambda c, kind: F.array(F.col(c).cast(kind))
+    own = overlaps.classes_of(sets).where("m > 1").select("id", "n", F.array("id").alias("others"), one("n", "int").alias("sizes"), F.array((F.col("m") - 1).cast("int")).alias("texts"), one("n", "int").alias("both"))
+    held = F.struct("others", "sizes", "texts", "both")
+    # a class's rows stay as they are until its documents have joined: an entry as a struct is several times as large
+    rows = overlaps.overlapping(sets, near, overlap, "lists").unionByName(own).groupBy(F.col("id").alias("class_id")).agg(F.max("n").alias("n"), F.collect_list(held).alias("rows"))
+    found = shingle_classes(docs, k, sets).join(rows, "class_id")
+
+    def link(x: Column) -> Column:
+        j, c = x["both"] / (F.col("n") + x["sizes"] - x["both"]), x["both"] / F.least(F.col("n"), x["sizes"])
+        return F.struct(x["others"].alias("document_id"), F.when(j >= near, "near_duplicate").otherwise("overlap").alias("relation"), F.round(j, 3).alias("jaccard"), F.round(c, 3).alias("containment"), x["texts"].cast("long").alias("documents"))
+
+    links = F.transform(F.flatten(F.transform("rows", lambda r: F.arrays_zip(*[r[c].alias(c) for c in ("others", "sizes", "texts", "both")]))), link)
+    total = F.aggregate("near_duplicates", F.lit(0).cast("long"), lambda t, x: t + x["documents"])
+    return found.select("doc_id", "class_id", F.array_sort(links).alias("near_duplicates")).select("doc_id", "class_id", total.alias("n_near_duplicates"), "near_duplicates")
+
+
 def count_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """One row near_duplicate_pairs: the unordered pairs of documents, those within a class included, without listing them.
 

@@ -323,12 +323,31 @@ def block_pairs(a: Small, b: Block, near: float, overlap: float) -> Iterator[tup
         m = to
 
 
-def overlapping(sets: Sets, near: float, overlap: float, counted: bool = False) -> DataFrame:
+def classes_of(sets: Sets) -> DataFrame:
+    """(id, loc, n, m): classes of equal sets by their smallest id, with n shingles and m texts."""
+    classes = sets.texts.where("doc_id is not null").groupBy("n", "h", "i").agg(F.min(F.struct("doc_id", "loc")).alias("f"), F.count(F.lit(1)).alias("m"))
+    return classes.select(F.col("f.doc_id").alias("id"), F.col("f.loc").alias("loc"), "n", "m")
+
+
+def _lists(own: Block, other: Block, x: np.ndarray, y: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+    """The pairs x, y as a row for each x, with lists of its y's ids, shingles, texts and shingles in both."""
+    order = np.argsort(x, kind="stable")
+    x, y, both = x[order], y[order], both[order]
+    edge = np.flatnonzero(np.diff(x, prepend=-1))
+    ends = pa.array(np.append(edge, len(x)).astype(np.int32))
+    held = {"others": other.ids.take(pa.array(y)), **{c: pa.array(v.astype(np.int32)) for c, v in (("sizes", other.n[y]), ("texts", other.m[y]), ("both", both))}}
+    return pa.RecordBatch.from_pydict({"id": own.ids.take(pa.array(x[edge])), "n": own.n[x[edge]], **{c: pa.ListArray.from_arrays(ends, v) for c, v in held.items()}})
+
+
+def overlapping(sets: Sets, near: float, overlap: float, form: str = "pairs") -> DataFrame:
     """(a, na, b, nb, i): pairs of classes of equal sets, with their shingles and those in both, where Jaccard is ``near`` or
-    ``overlap`` of the smaller one is in both; each pair once.  counted: (n), counts whose sum is their pairs of texts."""
+    ``overlap`` of the smaller one is in both; each pair once.
+
+    form "counts": (n), counts whose sum is their pairs of texts; form "lists": (id, n, others, sizes, texts, both), some rows
+    of a class, each with a list of others, so that a pair takes a few bytes where a class's rows come together.
+    """
     kind, least = sets.texts.schema["doc_id"].dataType.simpleString(), min(near, overlap)
-    classes = sets.texts.where("doc_id is not null").groupBy("n", "h", "i").agg(F.min(F.struct("doc_id", "loc")).alias("f"), F.count(F.lit(1)).alias("m"))
-    named = classes.select(F.col("f.doc_id").alias("id"), F.col("f.loc").alias("loc"), "n", "m")
+    named = classes_of(sets)
     with small_arrow(sets.groups.sparkSession):
         entries = sets.groups.mapInArrow(_listed, "loc long, sid long, w long, df long")
         held = stored(entries.join(named, "loc").groupBy("loc", "id", "n", "m").agg(F.collect_list(F.struct("df", "sid", "w")).alias("gs"), F.sum("w").alias("total")))
@@ -347,10 +366,14 @@ def overlapping(sets: Sets, near: float, overlap: float, counted: bool = False)
                 a, b, total = seen[1], Block(row[width:]), 0
                 for p, q, both in block_pairs(a, b, near, overlap):
                     total += int((a.m[p] * b.m[q]).sum())
-                    for s in range(0, 0 if counted else len(p), 1 << 16):
+                    if form == "lists" and len(p):
+                        yield _lists(a, b, p, q, both)
+                        yield _lists(b, a, q, p, both)
+                    for s in range(0, len(p) if form == "pairs" else 0, 1 << 16):
                         x, y = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
                         yield pa.RecordBatch.from_pydict({"a": a.ids.take(pa.array(x)), "na": a.n[x], "b": b.ids.take(pa.array(y)), "nb": b.n[y], "i": both[s : s + (1 << 16)].astype(np.int64)})
-                if counted:
+                if form == "counts":
                     yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
 
-    return met.mapInArrow(run, "n long" if counted else f"a {kind}, na long, b {kind}, nb long, i long")
+    schemas = {"counts": "n long", "pairs": f"a {kind}, na long, b {kind}, nb long, i long", "lists": f"id {kind}, n long, others array<{kind}>, sizes array<int>, texts array<int>, both array<int>"}
+    return met.mapInArrow(run, schemas[form])

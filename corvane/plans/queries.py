@@ -192,9 +192,7 @@ ways as (select a as doc_id, b as other, relation from pairs union all select b,
 select doc_id, class_id, n_near_duplicates, neighbours from (select doc_id, cast(sum(n) as bigint) as n_near_duplicates, string_agg(other || ':' || relation || ':' || n, ',' order by other) as neighbours from named group by doc_id) join m using (doc_id)""")
 def near_dup_adjacency(spark, sf):
     """Each document's near duplicates, as classes with the number of documents in each; twins have each other."""
-    texts = docs(spark, sf)
-    sets = dedup.shingle_sets(texts)
-    found = dedup.adjacency(dedup.near_duplicate_pairs(texts, sets=sets), dedup.shingle_classes(texts, sets=sets))
+    found = dedup.near_adjacency(docs(spark, sf))
     return found.select("doc_id", "class_id", "n_near_duplicates", F.array_join(F.transform("near_duplicates", lambda n: F.concat_ws(":", n["document_id"], n["relation"], n["documents"])), ",").alias("neighbours"))
 
 

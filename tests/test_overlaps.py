@@ -69,6 +69,9 @@ def test_pairs(spark, monkeypatch, values, kind):
     members = dedup.shingle_classes(docs, sets=sets)
     assert sorted((str(r.doc_id), r.class_id) for r in members.collect()) == sorted((str(r.doc_id), r.class_id) for r in dedup.shingle_classes(docs).collect())
     members = members.where("doc_id is not null")
+    near = dedup.near_adjacency(docs.where("doc_id is not null"))  # pairs were rows, made twice and shuffled three times
+    assert "CartesianProduct" in (plan := near._jdf.queryExecution().executedPlan().toString()) and plan.count("CartesianProduct") <= 2
+    assert sorted(near.collect()) == sorted(dedup.adjacency(found, members).collect())
     assert dedup.count_pairs(found, members).first()[0] == dedup.count_pairs(dedup.pair_counts(docs, sets=sets), members).first()[0]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan  # pairs were shuffled twice, and their sets with them
