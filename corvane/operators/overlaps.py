@@ -339,6 +339,18 @@ def _lists(own: Block, other: Block, x: np.ndarray, y: np.ndarray, both: np.ndar
     return pa.RecordBatch.from_pydict({"id": own.ids.take(pa.array(x[edge])), "n": own.n[x[edge]], **{c: pa.ListArray.from_arrays(ends, v) for c, v in held.items()}})
 
 
+def gathered(found: Iterator[tuple], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of rows put together up to ``most`` and more, so that lists are long."""
+    held: list[tuple] = []
+    for x in found:
+        held.append(x)
+        if sum(len(p) for p, _, _ in held) >= most:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def overlapping(sets: Sets, near: float, overlap: float, form: str = "pairs") -> DataFrame:
     """(a, na, b, nb, i): pairs of classes of equal sets, with their shingles and those in both, where Jaccard is ``near`` or
     ``overlap`` of the smaller one is in both; each pair once.
@@ -364,7 +376,7 @@ def overlapping(sets: Sets, near: float, overlap: float, form: str = "pairs") ->
                 if seen[0] != key:
                     seen = (key, Small(row[:width], least))
                 a, b, total = seen[1], Block(row[width:]), 0
-                for p, q, both in block_pairs(a, b, near, overlap):
+                for p, q, both in gathered(block_pairs(a, b, near, overlap)) if form == "lists" else block_pairs(a, b, near, overlap):
                     total += int((a.m[p] * b.m[q]).sum())
                     if form == "lists" and len(p):
                         yield _lists(a, b, p, q, both)
